@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe
 from .shard import op1_sharding
+from .token_count import op7_token_counts
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding}
+    found = (op1_sharding, op2_bpe, op7_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
