@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,15 +71,15 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataF
     return df.join(share, F.col(label) == F.col("__label")).where(u * F.col("__n") < per_class).drop("__label", "__n")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Record batches cut so that each has about `chars` characters; with the texts, '' for null."""
+def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = SLICE_CHARS, each: int = 16) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Record batches cut so that each has about `chars` characters, where each text adds `each`; with the texts, '' for null."""
     for batch in batches:
         col = batch.column(text)
         n = batch.num_rows
         if not n:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        cut = np.cumsum(sizes + 16) // chars
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cut = np.cumsum(sizes + each) // chars
         starts = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), n]
         for a, b in zip(starts, starts[1:], strict=False):
             if b > a:
