@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .language import op3_language_id
+from .quality import op5_quality
 from .shard import op1_sharding
 from .token_count import op7_token_counts
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    found = (op1_sharding, op2_bpe, op7_token_counts)
+    found = (op1_sharding, op2_bpe, op3_language_id, op5_quality, op7_token_counts, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
