@@ -1,9 +1,9 @@
 """Toxicity by a classifier chain.
 
-The categories stand in a fixed order.  Each has a linear (logistic) model over the presence of selected words and over the
-probabilities of all categories before it.  For training, those probabilities are out-of-fold predictions, so a later model
+The categories stand in a fixed order.  Each has a linear (logistic) model over the presence of selected words and
+word stems and over the probabilities of all categories before it.  For training, those probabilities are out-of-fold predictions, so a later model
 learns from values as uncertain as it will meet; for prediction they come from the models fitted on all training rows.
-The words are those with the largest chi-square statistic against the last category on the training rows.
+The words and stems are those with the largest chi-square statistic against the last category on the training rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from .common import bounded_sample, slices, table
 PER_CLASS = 4000
 N_WORDS = 256
 LEAST_ROWS = 5
+STEM = 4
 FOLDS = 5
 RIDGE = 1.0
 THRESHOLD = 0.5
@@ -34,7 +35,9 @@ CATEGORIES = (*KINDS, "toxic")
 
 
 def words(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """Distinct words, and the stems (first STEM letters, marked by *) of longer ones, which inflected forms share."""
+    found = set(WORD.findall(text.lower()))
+    return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
@@ -139,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     some = bounded_sample(marked, "toxic", "doc_id", per_class)  # its size is bounded by per_class, so it can be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    return learn(rows.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text"))
+    found = rows.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
+    return learn(found.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "toxic", "text"), F.struct("doc_id", "toxic")).alias("r")).select("r.*"))  # copies count once
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
