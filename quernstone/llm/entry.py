@@ -7,13 +7,14 @@ from .language import op3_language_id
 from .quality import op5_quality
 from .shard import op1_sharding
 from .token_count import op7_token_counts
+from .topk import OP8_SQL, op8_topk
 from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    found = (op1_sharding, op2_bpe, op3_language_id, op5_quality, op7_token_counts, op9_toxicity)
+    found = (op1_sharding, op2_bpe, op3_language_id, op5_quality, op7_token_counts, op8_topk, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_topk": OP8_SQL}
