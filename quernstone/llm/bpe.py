@@ -25,15 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table
 
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The splitting pattern of the vocabulary file; letters are lower case when it is applied.
-PIECES_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
+#: A newline, which no run holds, separates runs.
+PIECES_ASCII = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 RUNS = re.compile(f"[^{SPACE}]+")
-END, MARK = "</w>", "\0"
+END = "</w>"
 CACHED_RUNS = 250_000
-SHORT = 32
+LONG = 192
+NONE = 1 << 30
 
 
 def byte_chars() -> list[str]:
@@ -44,37 +46,34 @@ def byte_chars() -> list[str]:
 
 
 class Encoder:
-    """Encodes runs of non-space text with the vocabulary of one tokenizer file (BPE with word ends, byte level, lower case)."""
+    """Encodes runs of non-space text with the vocabulary of one tokenizer file (BPE with word ends, byte level, lower case).
+
+    A piece is an array of symbols: its bytes, the last one plus 256.  Tokens have own numbers here: first those that no merge
+    makes, then those that merges make, in the order of the merges.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        form = lambda t: t[: -len(END)] + MARK if t.endswith(END) and t != END else t
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         made = {a + b for a, b in pairs}
-        # own numbers ("ranks"): first what no merge makes, then what each merge makes, in order
-        base = sorted(t for t in vocab if t not in made)
-        order = base + [a + b for a, b in pairs]
-        self.rank = {form(t): i for i, t in enumerate(order)}
-        self.n_base = len(base)
-        self.number = [str(vocab[t]) for t in order]
+        order = sorted(t for t in vocab if t not in made) + [a + b for a, b in pairs]
+        self.n_base = len(order) - len(pairs)
+        self.number = np.array([str(vocab[t]) for t in order], dtype=object)
+        self.text = np.array(order, dtype=object)
         self.content = {i: t for t, i in vocab.items()}
-        self.token_text = [t for t in order]
-        own = np.arange(len(order), dtype=np.int64)
-        self.left, self.right = own.copy(), own.copy()
         index = {t: i for i, t in enumerate(order)}
         l = np.array([index[a] for a, _ in pairs], dtype=np.int64)
         r = np.array([index[b] for _, b in pairs], dtype=np.int64)
+        own = np.arange(len(order), dtype=np.int64)
+        self.left, self.right = own.copy(), own.copy()
         self.left[self.n_base :], self.right[self.n_base :] = l, r
         keys = (l << 20) | r
         by = np.argsort(keys)
         self.pair_keys, self.pair_made = keys[by], by.astype(np.int64) + self.n_base
         self.merge_of = {int(k): self.n_base + i for i, k in enumerate(keys)}
-        self.reach: dict[str, int] = {}  # by its first two characters, the longest token's length
-        for t in self.rank:
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
-        self.bytes = byte_chars()
+        self._trie(order)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.content |= {i: t for t, i in self.special.items()}
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -82,33 +81,70 @@ class Encoder:
         self.older: dict[str, tuple[int, str, str]] = {}
         self.counts = {"pieces": 0, "merged": 0}
 
+    def _trie(self, order: list[str]) -> None:
+        """All tokens as paths of symbols: sorted edges (node, symbol), the nodes they lead to, and the token that ends at a node."""
+        byte_of = {c: b for b, c in enumerate(byte_chars())}
+        edges: dict[int, int] = {}
+        ends = {}
+        for t, text in enumerate(order):
+            last = text.endswith(END) and text != END
+            sym = [byte_of[c] for c in (text[: -len(END)] if last else text)]
+            if last:
+                sym[-1] += 256
+            node = 0
+            for x in sym:
+                node = edges.setdefault((node << 9) | x, len(edges) + 1)
+            ends[node] = t
+        keys = np.fromiter(edges.keys(), np.int64, len(edges))
+        by = np.argsort(keys)
+        self.edge_keys, self.edge_to = keys[by], (by + 1).astype(np.int64)
+        self.token_at = np.full(len(edges) + 1, -1, dtype=np.int64)
+        self.token_at[list(ends)] = list(ends.values())
+        at = np.searchsorted(self.edge_keys, np.arange(512)).clip(max=len(keys) - 1)
+        self.unit = np.where(self.edge_keys[at] == np.arange(512), self.token_at[self.edge_to[at]], -1)
+
     # -- proposing and verifying ------------------------------------------------------------------------------------------
 
-    def propose(self, piece: str) -> list[int] | None:
-        """Greedy longest match over a piece that ends in MARK; None where that leaves the bare end."""
-        rank, reach, n, i, out = self.rank, self.reach, len(piece), 0, []
-        while i < n:
-            for j in range(min(n, i + reach.get(piece[i : i + 2], 2)), i, -1):
-                t = rank.get(piece[i:j])
-                if t is not None:
-                    break
-            else:
-                return None
-            out.append(t)
-            i = j
-        return out
+    def propose(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match over all pieces at once: their tokens in a row, and how many each piece has."""
+        stop = np.cumsum(size)
+        at = stop - size
+        lane, node, far = np.arange(len(size)), np.zeros(len(size), np.int64), at.copy()
+        best = np.full(len(size), -1, np.int64)
+        best_end = at.copy()
+        lanes, tokens = [], []
+        while len(lane):
+            inside = far < stop
+            key = (node << 9) | sym[np.where(inside, far, 0)]
+            e = np.searchsorted(self.edge_keys, key)
+            e[e == len(self.edge_keys)] = 0
+            go = inside & (self.edge_keys[e] == key)
+            node = np.where(go, self.edge_to[e], 0)
+            far = far + go
+            tok = self.token_at[node]
+            hit = go & (tok >= 0)
+            best = np.where(hit, tok, best)
+            best_end = np.where(hit, far, best_end)
+            if not go.all():
+                out = ~go
+                lanes.append(lane[out])
+                tokens.append(best[out])
+                far = np.where(out, best_end, far)
+                left = ~(out & (best_end >= stop))
+                lane, node, far, best, best_end, stop = lane[left], node[left], far[left], best[left], best_end[left], stop[left]
+        lanes, tokens = np.concatenate(lanes or [lane]), np.concatenate(tokens or [lane])
+        by = np.argsort(lanes, kind="stable")
+        return tokens[by], np.bincount(lanes, minlength=len(size))
 
     def verify(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of tokens stand side by side in a merge procedure's own result."""
         a, b = a.astype(np.int64), b.astype(np.int64)
         ok = np.ones(len(a), dtype=bool)
-        bound = np.full(len(a), np.iinfo(np.int64).max)  # a merge over the seam counts only if made before this
+        bound = np.full(len(a), NONE)  # a merge over the seam counts only if made before this
         live = np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = (x << 20) | y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            first = (self.pair_keys[at] == key) & (self.pair_made[at] < bound[live])
+            first = self.joined(x, y) < bound[live]
             ok[live[first]] = False
             live, x, y = live[~first], x[~first], y[~first]
             # undo the later of the two merges; of equal ones the right-hand token's, as the left-hand copy is merged first
@@ -122,14 +158,44 @@ class Encoder:
             live = live[undo_x | undo_y]
         return ok
 
-    def merge(self, piece: str) -> list[int]:
-        """The merge procedure itself: the earliest merge first, leftmost among equal ones; a heap over linked tokens."""
-        body = piece[:-1] if piece.endswith(MARK) else piece
-        units = [*body[:-1], body[-1] + MARK]
-        toks = [self.rank[u] for u in units]
+    def joined(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The token that a merge makes of each pair, or NONE."""
+        key = (x << 20) | y
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where((self.pair_keys[at] == key) & (x >= 0) & (y >= 0), self.pair_made[at], NONE)
+
+    def merge_many(self, toks: np.ndarray) -> np.ndarray:
+        """The merge procedure on rows of tokens filled up with -1: in each row the earliest merge, leftmost among equal ones."""
+        toks = toks.copy()
+        n, width = toks.shape
+        if width < 2:
+            return toks
+        made = self.joined(toks[:, :-1].ravel(), toks[:, 1:].ravel()).reshape(n, width - 1)
+        made = np.column_stack([made, np.full(n, NONE)])  # a row's last place has no right-hand neighbour
+        rows, place = np.arange(n), np.arange(width)
+        while True:
+            j = made[rows].argmin(axis=1)
+            m = made[rows, j]
+            some = m < NONE
+            rows, j, m = rows[some], j[some], m[some]
+            if not len(rows):
+                return toks
+            take = np.minimum(place[None, :] + (place[None, :] > j[:, None]), width - 1)
+            t, g = np.take_along_axis(toks[rows], take, 1), np.take_along_axis(made[rows], take, 1)
+            t[:, -1], g[:, -1] = -1, NONE
+            k = np.arange(len(rows))
+            t[k, j] = m
+            after = np.where(j + 1 < width, t[k, np.minimum(j + 1, width - 1)], -1)
+            g[k, j] = self.joined(m, after)
+            before = j > 0
+            g[k[before], j[before] - 1] = self.joined(t[k[before], j[before] - 1], m[before])
+            toks[rows], made[rows] = t, g
+
+    def merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The same for one long piece: a heap over linked tokens."""
+        toks = self.unit[sym].tolist()
         n = len(toks)
-        if n <= SHORT:
-            return self._merge_short(toks)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         made, alive = self.merge_of, [True] * n
         heap = [(m, i, toks[i], toks[i + 1]) for i in range(n - 1) if (m := made.get((toks[i] << 20) | toks[i + 1])) is not None]
@@ -148,75 +214,101 @@ class Encoder:
             h = before[i]
             if h >= 0 and (v := made.get((toks[h] << 20) | m)) is not None:
                 heapq.heappush(heap, (v, h, toks[h], m))
-        return [t for t, x in zip(toks, alive, strict=True) if x]
-
-    def _merge_short(self, toks: list[int]) -> list[int]:
-        """The same for a few tokens: look for the earliest merge again after each one."""
-        made, none = self.merge_of.get, len(self.token_text)
-        options = [made((x << 20) | y, none) for x, y in zip(toks, toks[1:], strict=False)]
-        while options and (m := min(options)) != none:
-            i = options.index(m)
-            toks[i : i + 2] = [m]
-            del options[i]
-            if i < len(options):
-                options[i] = made((m << 20) | toks[i + 1], none)
-            if i:
-                options[i - 1] = made((toks[i - 1] << 20) | m, none)
-        return toks
-
-    def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        """Own numbers of each distinct piece (stand-ins of bytes, without the end mark)."""
-        out = {p: self.propose(p + MARK) for p in pieces}
-        todo = [p for p, got in out.items() if got is None]
-        some = [(p, got) for p, got in out.items() if got is not None and len(got) > 1]
-        if some:
-            flat = np.fromiter((t for _, got in some for t in got), np.int64)
-            size = np.fromiter((len(got) for _, got in some), np.int64, len(some))
-            ends = np.cumsum(size) - 1
-            seam = np.ones(len(flat), dtype=bool)
-            seam[ends] = False  # a word's last token has no right-hand neighbour
-            at = np.flatnonzero(seam)
-            keys, back = np.unique((flat[at] << 20) | flat[at + 1], return_inverse=True)
-            fine = self.verify(keys >> 20, keys & ((1 << 20) - 1))[back]
-            word = np.repeat(np.arange(len(some)), size)[at]
-            todo += [some[i][0] for i in np.unique(word[~fine]).tolist()]
-        self.counts["pieces"] += len(out)
-        self.counts["merged"] += len(todo)
-        for p in todo:
-            out[p] = self.merge(p + MARK)
-        return out
+        return np.array([t for t, x in zip(toks, alive, strict=True) if x], dtype=np.int64)
+
+    def encode_symbols(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces in a row, and how many each piece has."""
+        if not len(size):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        start = np.cumsum(size) - size
+        long = size > LONG
+        if long.any():  # walked one by one: a step for each symbol of the longest piece would hold all others up
+            rest = np.repeat(~long, size)
+            flat, many = self.encode_symbols(sym[rest], size[~long])
+            own = [self.merge_long(sym[start[i] : start[i] + size[i]]) for i in np.flatnonzero(long)]
+            out = np.zeros(len(size), np.int64)
+            out[~long], out[long] = many, [len(x) for x in own]
+            where = np.repeat(long, out)
+            both = np.zeros(len(where), np.int64)
+            both[~where], both[where] = flat, np.concatenate(own)
+            return both, out
+        flat, many = self.propose(sym, size)
+        owner = np.repeat(np.arange(len(size)), many)
+        seam = np.flatnonzero(owner[:-1] == owner[1:])
+        keys, back = np.unique((flat[seam] << 20) | flat[seam + 1], return_inverse=True)
+        fine = self.verify(keys >> 20, keys & ((1 << 20) - 1))[back]
+        failed = np.zeros(len(size), dtype=bool)
+        failed[owner[seam[~fine]]] = True
+        self.counts["pieces"] += len(size)
+        self.counts["merged"] += int(failed.sum())
+        todo = np.flatnonzero(failed)
+        if not len(todo):
+            return flat, many
+        todo = todo[np.argsort(size[todo], kind="stable")]
+        found = []
+        for a in range(0, len(todo), 2048):  # of about equal length
+            part = todo[a : a + 2048]
+            width = int(size[part].max())
+            place = np.arange(width)
+            inside = place[None, :] < size[part][:, None]
+            merged = self.merge_many(np.where(inside, self.unit[sym[np.where(inside, start[part][:, None] + place, 0)]], -1))
+            many[part] = (merged >= 0).sum(axis=1)
+            found.append((part, merged))
+        out_start = np.cumsum(many) - many
+        out = np.zeros(int(many.sum()), np.int64)
+        out[~np.repeat(failed, many)] = flat[~failed[owner]]
+        for part, merged in found:
+            inside = merged >= 0
+            out[(out_start[part][:, None] + np.arange(merged.shape[1]))[inside]] = merged[inside]
+        return out, many
 
     # -- runs and texts -----------------------------------------------------------------------------------------------------
 
-    def split(self, run: str) -> list[str | int]:
-        """Pieces of a run as stand-ins of bytes; special tokens as their ids."""
-        if self.special_re is not None and "<" in run and self.special_re.search(run):
-            out, at = [], 0
-            for m in self.special_re.finditer(run):
-                out += self._plain(run[at : m.start()])
-                out.append(self.special[m.group()])
-                at = m.end()
-            return out + self._plain(run[at:])
-        return self._plain(run)
-
-    def _plain(self, run: str) -> list[str]:
-        if run.isascii():
-            return [p if p.isprintable() else "".join(self.bytes[b] for b in p.encode()) for p in PIECES_ASCII.findall(run.lower())]
-        run = unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
-        return ["".join(self.bytes[b] for b in p.encode("utf-8", "surrogatepass")) for p in PIECES.findall(run)]
-
     def learn(self, runs: list[str]) -> None:
         """Puts the runs into the cache."""
-        parts = {r: self.split(r) for r in runs}
-        pieces = self.encode_pieces(list({p for ps in parts.values() for p in ps if isinstance(p, str)}))
-        number, words = self.number, self.token_text
-        text = {p: (len(t), " ".join([number[x] for x in t]), " ".join([words[x] for x in t])) for p, t in pieces.items()}
-        for r, ps in parts.items():
-            if len(ps) == 1 and isinstance(ps[0], str):
-                self.runs[r] = text[ps[0]]
-                continue
-            got = [text[p] if isinstance(p, str) else (1, str(p), self.content[p]) for p in ps]
-            self.runs[r] = (sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+        plain = []
+        for r in runs:
+            if "<" in r and self.special_re is not None and self.special_re.search(r):
+                self.runs[r] = self._with_special(r)
+            else:
+                plain.append(r)
+        for r, got in zip(plain, self._encode_runs(plain), strict=True):
+            self.runs[r] = got
+
+    def _with_special(self, run: str) -> tuple[int, str, str]:
+        got, at = [], 0
+        for m in [*self.special_re.finditer(run), None]:
+            between = run[at : m.start() if m else len(run)]
+            got += self._encode_runs([between]) if between else []
+            if m:
+                got.append((1, str(self.special[m.group()]), m.group()))
+                at = m.end()
+        return sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+
+    def _encode_runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
+        if not runs:
+            return []
+        joined = "\n".join(runs)
+        if joined.isascii():
+            pieces = PIECES_ASCII.findall(joined.lower())
+        else:
+            pieces = PIECES.findall(unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower())
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        sym = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        stop = np.cumsum(size)
+        ends_run = sym[stop - 1] == 10  # a run has no white space, so the joining newlines are pieces of their own
+        sym[stop[~ends_run] - 1] += 256
+        keep = np.repeat(~ends_run, size)
+        flat, many = self.encode_symbols(sym[keep], size[~ends_run])
+        run_of = np.cumsum(ends_run)[~ends_run]
+        counts = np.bincount(run_of, weights=many, minlength=len(runs)).astype(np.int64).tolist()
+        number, text = self.number[flat].tolist(), self.text[flat].tolist()
+        out, a = [], 0
+        for n in counts:
+            out.append((n, " ".join(number[a : a + n]), " ".join(text[a : a + n])))
+            a += n
+        return out
 
     def ready(self, runs: list[list[str]]) -> dict[str, tuple[int, str, str]]:
         """A dictionary that has all these runs: number of tokens, ids and contents joined by a space."""
