@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     banded = reps.where(F.col("sig").isNotNull()).select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("x2")).where("n > 1")
     buckets = stage.keep(buckets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = banded.join(buckets, "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "n")).alias("in"), F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("band"))).alias("mask"))
+    members = banded.join(buckets, "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "n")).alias("in"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
     # of a bucket with more than `block` nodes each block meets each block, itself too
     cells = (
         members.select("node", F.explode("in").alias("b")).select("node", "b.*")
