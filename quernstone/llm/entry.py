@@ -6,6 +6,7 @@ from .bpe import op2_bpe
 from .decontaminate import op4_decontamination
 from .jaccard_join import op10_jaccard_join
 from .language import op3_language_id
+from .pii import op6_pii
 from .quality import op5_quality
 from .shard import op1_sharding
 from .token_count import op7_token_counts
@@ -14,7 +15,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    found = (op1_sharding, op2_bpe, op3_language_id, op4_decontamination, op5_quality, op7_token_counts, op8_topk, op9_toxicity, op10_jaccard_join)
+    found = (op1_sharding, op2_bpe, op3_language_id, op4_decontamination, op5_quality, op6_pii, op7_token_counts, op8_topk, op9_toxicity, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 

@@ -258,8 +258,8 @@ def digest(text):
     return F.substring(F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("n")).cast("binary"), 256)), 1, 16)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, kept for each row of (doc_id, text).
+def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """doc_id, digest, class_id, n_links, n_copies, kept for each row of (doc_id, text).
 
     class_id is the smallest doc_id of the class: the texts connected by links, a link being a Jaccard similarity of at least
     `threshold`.  n_links is the number of other texts linked with this row's; n_copies the number of rows with its text; kept is 1
@@ -304,7 +304,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     info = reps.select("node", "digest", "rep", "n_copies").join(named, "node", "left").select("digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
     info = stage.keep(info, "classes")
     stage.drop(reps, found)
-    return keyed.select("doc_id", "digest").join(info, "digest").select("doc_id", "class_id", "n_links", "n_copies", F.col("doc_id").eqNullSafe(F.col("class_id")).cast("int").alias("kept"))
+    return keyed.select("doc_id", "digest").join(info, "digest").select("doc_id", "digest", "class_id", "n_links", "n_copies", F.col("doc_id").eqNullSafe(F.col("class_id")).cast("int").alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is that of their class, repeated rows once."""
+    kept = classes(docs).where("kept = 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept")).distinct()
+    rows = docs.withColumn("__digest", digest(F.col("text")))
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """What classes() says, without the digest."""
+    return classes(docs, threshold, block).drop("digest")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, slices, table
+from .common import attach, bounded_sample, slices, table
 
 PER_CLASS = 4000
 N_WORDS = 256
@@ -157,5 +157,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: score_batches(it, model), schema)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of docs that are not rejected, all columns as they are."""
+    model = train(docs, labels, per_class)
+    compute = lambda texts: [(predict(model, texts)[:, -1] >= THRESHOLD).tolist()]
+    return attach(docs, [("__rejected", "boolean", pa.bool_())], compute, each=512).where("not __rejected").drop("__rejected")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
