@@ -34,6 +34,8 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 1024
 SEED = 40_961
+#: A table of wanted nodes (40 bytes a row) goes to the executors whole up to so many rows.
+BROADCAST_ROWS = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -291,7 +293,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     signed = stage.keep(reps.join(members.select("node", "mask"), "node").select("node", "digest", "rep", "sig", "mask"), "signed")
     pruned = stage.keep(cells.join(signed.select("node", "sig", "mask"), "node").groupBy("key", "lo", "hi").applyInArrow(_candidates(threshold), schema), "pruned")
     wanted = stage.keep(pruned.select("node").distinct().join(signed.select("node", "digest", "rep"), "node"), "wanted")
-    texts = keyed.join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    few = wanted if wanted.count() > BROADCAST_ROWS else F.broadcast(wanted)  # under 200 MB; beyond that the texts are shuffled
+    texts = keyed.join(few, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     sets = texts.mapInArrow(_set_batches, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     full = stage.keep(sets.join(signed.select("node", "sig", "mask"), "node"), "sets")
     found = stage.keep(pruned.join(full, "node").groupBy("key", "lo", "hi").applyInArrow(_links(threshold), "node long, n long, root long"), "links")
