@@ -34,7 +34,7 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 1024
 SEED = 40_961
-#: A table of wanted nodes (40 bytes a row) goes to the executors whole up to so many rows.
+#: A written table of narrow rows (40 bytes at most) goes to the executors whole up to so many rows.
 BROADCAST_ROWS = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -229,6 +229,11 @@ def _links(threshold: float):
     return cell
 
 
+def few(written: DataFrame) -> DataFrame:
+    """A written table marked for broadcast where its counted rows stay under 160 MB; else as it is, and both sides are shuffled."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 CELL = ["key", "lo", "hi", "band", "side", "node"]
 
 
@@ -280,7 +285,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     banded = reps.where(F.col("sig").isNotNull()).select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("x2")).where("n > 1")
     buckets = stage.keep(buckets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = banded.join(buckets, "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "n")).alias("in"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    members = banded.join(few(buckets), "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "n")).alias("in"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
     # of a bucket with more than `block` nodes each block meets each block, itself too
     cells = (
         members.select("node", F.explode("in").alias("b")).select("node", "b.*")
@@ -293,8 +298,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     signed = stage.keep(reps.join(members.select("node", "mask"), "node").select("node", "digest", "rep", "sig", "mask"), "signed")
     pruned = stage.keep(cells.join(signed.select("node", "sig", "mask"), "node").groupBy("key", "lo", "hi").applyInArrow(_candidates(threshold), schema), "pruned")
     wanted = stage.keep(pruned.select("node").distinct().join(signed.select("node", "digest", "rep"), "node"), "wanted")
-    few = wanted if wanted.count() > BROADCAST_ROWS else F.broadcast(wanted)  # under 200 MB; beyond that the texts are shuffled
-    texts = keyed.join(few, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    texts = keyed.join(few(wanted), "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     sets = texts.mapInArrow(_set_batches, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     full = stage.keep(sets.join(signed.select("node", "sig", "mask"), "node"), "sets")
     found = stage.keep(pruned.join(full, "node").groupBy("key", "lo", "hi").applyInArrow(_links(threshold), "node long, n long, root long"), "links")
