@@ -1,11 +1,365 @@
-"""Named queries over the test tables, and their SQL."""
+"""Named queries over the test tables, each over whole tables and whole texts, and their SQL.
+
+Questions are the items of `benchmark`; the retrieval queries run them all against all documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.functions import text as T
+from quernstone.operators import answer as A
+from quernstone.operators import evaluate as E
+from quernstone.operators import search as S
+from quernstone.operators import store
+from quernstone.operators.arrow import attach
+from quernstone.operators.chunk import chunk, hard_split
+from quernstone.operators.embed import HashingEmbedder
+from quernstone.operators.rerank import OverlapReranker
+from quernstone.sources.extract import SECTION, html_sections, text_sections
+
+DIMS, LIMIT, DEPTH, CANDIDATES = 384, 1200, 10, 12
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("text", F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("tie"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"))
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("long").alias("doc_id"), F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def tokenize_stats(spark, d):
+    t = T.tokens(F.col("text"))
+    return _documents(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+def _postings(spark, d) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.explode(T.lexical_tokens(F.col("text"))).alias("term"))
+
+
+def stem_terms(spark, d):
+    return _postings(spark, d).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def postings(spark, d):
+    return S.with_terms(_documents(spark, d)).select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
+
+
+def term_df(spark, d):
+    return postings(spark, d).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def doc_lengths(spark, d):
+    return S.with_terms(_documents(spark, d)).select("doc_id", "len")
+
+
+def content_term_stats(spark, d):
+    text = F.col("text")
+    return _documents(spark, d).select("doc_id", F.size(T.content_terms(text)).cast("long").alias("n_terms"), F.size(T.bigrams(text)).cast("long").alias("n_pairs"))
+
+
+def _lexical(spark, d, k: int) -> DataFrame:
+    return S.lexical(S.with_terms(_index(spark, d)), _questions(spark, d), k)
+
+
+def _dense(spark, d, k: int) -> DataFrame:
+    e = HashingEmbedder(DIMS)
+    return S.dense(e.embed(_index(spark, d)), e.embed(_questions(spark, d), "question"), k)
+
+
+def bm25_topk(spark, d):
+    return _hits(_lexical(spark, d, DEPTH))
+
+
+def hash_embed(spark, d):
+    v = HashingEmbedder(DIMS).embed(_documents(spark, d)).select("doc_id", F.posexplode("vector").alias("bucket", "w"))
+    return v.where("w > 0").select("doc_id", "bucket", F.round("w", 6).alias("w"))
+
+
+def dense_hash_topk(spark, d):
+    return _hits(_dense(spark, d, DEPTH))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+def _cosine(spark, d) -> DataFrame:
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "vector")
+    return S.dense(v.withColumn("id", F.col("vec_id").cast("string")).withColumn("tie", F.col("vec_id")), q, DEPTH)
+
+
+def dense_cosine_topk(spark, d):
+    return _hits(_cosine(spark, d)).withColumnRenamed("doc_id", "vec_id")
+
+
+def hybrid_rrf(spark, d):
+    return _hits(S.fuse([_dense(spark, d, CANDIDATES), _lexical(spark, d, CANDIDATES)], [1.0, 1.0], 60, DEPTH))
+
+
+def rerank_overlap(spark, d):
+    text = _index(spark, d).select("id", "text")
+    found = _lexical(spark, d, CANDIDATES).join(_questions(spark, d), "query_id").join(text, "id")
+    return _hits(OverlapReranker().rerank(found, 4))
+
+
+def _passages(spark, d) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", T.citation(F.col("source"), F.col("doc_id").cast("string")).alias("citation"))
+    return _lexical(spark, d, 4).drop("tie").join(_questions(spark, d), "query_id").join(docs, "id").persist()  # four rows a question
+
+
+def extractive_answer(spark, d):
+    return A.extract_answers(_passages(spark, d)).select(F.col("query_id").cast("long").alias("query_id"), "completion")
+
+
+def citations(spark, d):
+    p = _passages(spark, d)
+    return A.cited(p, A.extract_answers(p)).select(F.col("query_id").cast("long").alias("query_id"), F.array_join("citations", ";").alias("citations"))
+
+
+def retrieval_metrics(spark, d):
+    v = _vectors(spark, d)
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("label").alias("asked"))
+    size = v.groupBy("label").agg(F.count("*").alias("n_relevant"))
+    hits = _cosine(spark, d).select("query_id", "id", "rank").join(q, "query_id").join(v.select(F.col("vec_id").cast("string").alias("id"), "label"), "id")
+    hits = hits.select("query_id", "rank", (F.col("label") == F.col("asked")).cast("int").alias("hit"))
+    out = E.retrieval_scores(q.join(size, q.asked == size.label).select("query_id", "n_relevant"), hits)
+    return out.select("questions", *(F.round(m, 6).alias(m) for m in E.METRICS))
+
+
+def refusal_rates(spark, d):
+    rows = _table(spark, d, "labels").select((F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 1).alias("escalated"))
+    out = E.refusal_scores(rows)
+    return out.select("unanswerable", "answerable", F.round("false_answer_rate", 6).alias("false_answer_rate"), F.round("wrongly_refused_rate", 6).alias("wrongly_refused_rate"))
+
+
+def sentence_split(spark, d):
+    s = T.sentences(F.col("text"))
+    return _documents(spark, d).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.array_max(F.transform(s, lambda x: F.length(T.collapse(x)))).cast("long").alias("longest"))
+
+
+def hard_windows(spark, d):
+    w = hard_split(F.col("text"), LIMIT)
+    return _documents(spark, d).select("doc_id", F.posexplode(w).alias("pos", "part")).select("doc_id", "pos", F.md5(F.col("part").cast("binary")).alias("part_md5"))
+
+
+def chunks(spark, d):
+    one = F.array(F.struct(F.col("text"), F.lit("body").alias("label"), F.lit(0).alias("ordinal")))
+    docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("filename"), one.alias("sections"))
+    return chunk(docs).select("chunk_id", "doc_id", "ordinal", F.length("text").alias("n_chars"))
+
+
+def _sections(df: DataFrame, col: str, key: str, read) -> DataFrame:
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("ordinal", pa.int32())]))
+    compute = lambda texts: [[[{"text": t, "label": x, "ordinal": i} for i, (t, x) in enumerate(read(v or ""))] for v in texts]]
+    return attach(df, [col], [("sections", SECTION, kind)], compute).select(key, F.explode("sections").alias("s")).select(key, "s.ordinal", "s.label", "s.text")
+
+
+def html_page_sections(spark, d):
+    return _sections(_table(spark, d, "pages").select("page_id", "html"), "html", "page_id", lambda v: html_sections(v)[0])
+
+
+def text_file_sections(spark, d):
+    return _sections(_documents(spark, d), "text", "doc_id", lambda v: text_sections(v.encode("utf-8", "replace"))[0])
+
+
+def route_intent(spark, d):
+    return _table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
+
+
+def content_ids(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.content_id(F.col("source"), F.col("n_chars").cast("string")).alias("content_id"), T.section_key(F.col("source"), F.col("lang")).alias("section_key"), T.citation(F.col("source"), F.col("lang")).alias("citation"))
+
+
+def upsert_latest(spark, d):
+    turns = _table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return store.latest(turns, ["conv_id"], "turn").select("conv_id", "turn", "role")
+
+
+def upsert_replace(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", F.lit("old").alias("state"))
+    new = _table(spark, d, "labels").select("doc_id", F.lit("new").alias("state")).distinct()
+    return store.upsert(docs, new, ["doc_id"])
+
+
+def delete_anti(spark, d):
+    gone = _table(spark, d, "labels").where("toxic = 1")
+    return store.without(_documents(spark, d).select("doc_id"), gone, ["doc_id"])
+
+
+def _metadata(spark, d) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), F.ceil(F.col("n_chars") / LIMIT).cast("long").alias("chunk_count"))
+
+
+def doc_stats(spark, d):
+    return store.statistics(_metadata(spark, d))
+
+
+def list_documents(spark, d):
+    return store.listing(_metadata(spark, d))
+
+
+def inventory(spark, d):
+    return A.inventory(_metadata(spark, d))
+
+
+def validate_labels(spark, d):
+    wanted = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.concat(F.lit("src"), (F.col("item_id") % 30).cast("string"))).alias("relevant"))
+    return E.missing_labels(wanted, _table(spark, d, "documents").select(F.col("source").alias("key")))
+
 
 def queries() -> dict:
-    return {}
+    found = (
+        bm25_topk, tokenize_stats, stem_terms, postings, term_df, doc_lengths, content_term_stats, hash_embed, dense_hash_topk, dense_cosine_topk, hybrid_rrf, rerank_overlap, extractive_answer, citations,
+        retrieval_metrics, refusal_rates, sentence_split, hard_windows, chunks, html_page_sections, text_file_sections, route_intent, content_ids, upsert_latest, upsert_replace, delete_anti, doc_stats, list_documents, inventory, validate_labels,
+    )
+    return {f.__name__: f for f in found}
+
+
+# -- the same in SQL ---------------------------------------------------------------------------------------------------------------
+
+TOK = "regexp_extract_all(lower({x}), '[a-z0-9'']+')"
+STEM = """case when length({t}) < 5 then {t} when suffix({t}, 'ing') and length({t}) >= 6 then left({t}, length({t}) - 3)
+ when suffix({t}, 'ed') or suffix({t}, 'es') then left({t}, length({t}) - 2) when suffix({t}, 's') then left({t}, length({t}) - 1) else {t} end"""
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+
+
+def _tok(x: str) -> str:
+    return TOK.format(x=x)
+
+
+def _terms(table: str, key: str) -> str:
+    return f"select {key}, {STEM.format(t='t')} as term from (select {key}, unnest({_tok('text')}) as t from {table})"
+
+
+def _content(x: str) -> str:
+    return f"list_distinct(list_filter({_tok(x)}, lambda t: length(t) > 1 and not list_contains({STOP}, t)))"
+
+
+BM25 = f"""
+tf as (select doc_id, term, count(*) as tf from ({_terms('documents', 'doc_id')}) group by all),
+len as (select doc_id, len({_tok('text')}) as len from documents),
+n as (select count(*) as n, sum(len) / count(*) as mean from len),
+df as (select term, count(*) as df from tf group by term),
+asked as (select item_id as query_id, term from ({_terms('benchmark', 'item_id')})),
+lexical_all as (
+  select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(len, 1) / mean))), 9) as score
+  from asked join df using (term) join tf using (term) join len using (doc_id) cross join n group by all),
+lexical as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from lexical_all where score > 0)"""
+
+_WORD = "('0x' || substr(md5(t), {k}, 8))::bigint"
+_FOLD = "0"
+for _k in (1, 9, 17, 25):
+    _FOLD = f"((({_FOLD}) * {(1 << 32) % DIMS} + {_WORD.format(k=_k)}) % {DIMS})"
+
+
+def _hashed(table: str, key: str) -> str:
+    tokens = f"select {key} as k, unnest({_tok('text')}) as t from {table}"
+    grams = f"select k, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as t, 0.35 as w from ({tokens}) where length(t) >= 3"
+    parts = f"select k, t, sum(w) as w from (select k, t, 1.0 as w from ({tokens}) union all {grams}) group by k, t"
+    sums = f"select k, {_FOLD} as bucket, sum(w)::double as w from ({parts}) group by k, bucket"
+    return f"select k, bucket, w / sqrt(sum(w * w) over (partition by k)) as w from ({sums})"
+
+
+DENSE = f"""
+dv as ({_hashed('documents', 'doc_id')}), qv as ({_hashed('benchmark', 'item_id')}),
+dots as (select q.k as query_id, d.k as doc_id, sum(q.w * d.w) as s from qv q join dv d using (bucket) group by all),
+dense as (
+  select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
+    select q.k as query_id, doc_id, round(coalesce(s, 0), 9) as score from (select distinct k from qv) q cross join (select doc_id from documents) d left join dots on dots.query_id = q.k and dots.doc_id = d.doc_id))""".replace(
+    "select q.k as query_id, doc_id, round", "select q.k as query_id, d.doc_id, round"
+)
+COSINE = """
+v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+cosine as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
+    select q.vec_id as query_id, q.label as asked, v.vec_id, v.label, round(list_cosine_similarity(q.e, v.e), 9) as score from v q join v on q.vec_id % 100 = 0))"""
+ANSWER = f"""{BM25},
+passage as (select query_id, rank, doc_id, d.text, d.source, b.text as question from lexical join documents d using (doc_id) join benchmark b on b.item_id = query_id where rank <= 4),
+sentence as (
+  select query_id, rank, pos, s, len(list_intersect(list_distinct({_tok('s')}), {_tok('question')})) as common from (
+    select query_id, rank, question, pos, trim(regexp_replace(parts[pos], '\\s+', ' ', 'g')) as s from (
+      select *, unnest(range(1, len(parts) + 1)) as pos from (
+        select query_id, rank, question, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as parts from passage)))
+  where length(s) >= 20),
+best as (select query_id, s, min(struct_pack(a := -round(common + 1 / rank, 12), b := rank, c := pos)) as first_at from sentence where common > 0 group by all),
+completion as (
+  select query_id, string_agg(s, ' ' order by n) as completion from (select *, row_number() over (partition by query_id order by first_at) as n from best) where n <= 3 group by query_id)"""
+HIT = "cast(query_id as bigint) as query_id, cast(doc_id as bigint) as doc_id, cast(rank as integer) as rank, round(score, 6) as score"
 
 
 def oracle_sql() -> dict:
-    return {}
+    meta = f"select doc_id, source as filename, cast(ceil(n_chars / {LIMIT}) as bigint) as chunk_count from documents"
+    gain = "sum(case when hit = 1 then 1 / log2(rank + 1) else 0 end)"
+    return {
+        "bm25_topk": f"with {BM25} select {HIT} from lexical where rank <= {DEPTH}",
+        "tokenize_stats": f"select doc_id, len({_tok('text')}) as n_tokens, len(list_distinct({_tok('text')})) as n_distinct from documents",
+        "stem_terms": f"select term, count(*) as n from ({_terms('documents', 'doc_id')}) group by term",
+        "postings": f"select doc_id, term, count(*) as tf from ({_terms('documents', 'doc_id')}) group by all",
+        "term_df": f"select term, count(distinct doc_id) as df from ({_terms('documents', 'doc_id')}) group by term",
+        "doc_lengths": f"select doc_id, cast(len({_tok('text')}) as bigint) as len from documents",
+        "content_term_stats": f"""select doc_id, cast(len({_content('text')}) as bigint) as n_terms,
+          cast(len(list_distinct(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) as bigint) as n_pairs from (select doc_id, text, {_tok('text')} as ts from documents)""",
+        "hash_embed": f"select k as doc_id, cast(bucket as integer) as bucket, round(w, 6) as w from ({_hashed('documents', 'doc_id')})",
+        "dense_hash_topk": f"with {DENSE} select {HIT} from dense where rank <= {DEPTH}",
+        "dense_cosine_topk": f"with {COSINE} select query_id, vec_id, cast(rank as integer) as rank, round(score, 6) as score from cosine where rank <= {DEPTH}",
+        "hybrid_rrf": f"""with {BM25}, {DENSE}, lists as (
+            select query_id, doc_id, rank, 0 as list from dense where rank <= {CANDIDATES} union all select query_id, doc_id, rank, 1 from lexical where rank <= {CANDIDATES}),
+          fused as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 12) as score, min(struct_pack(a := list, b := rank)) as seen from lists group by all),
+          o as (select *, row_number() over (partition by query_id order by score desc, seen) as rank from fused)
+          select {HIT} from o where rank <= {DEPTH}""",
+        "rerank_overlap": f"""with {BM25}, c as (
+            select query_id, doc_id, rank, lower(d.text) as low, {_content('b.text')} as q, {_content('d.text')} as p, {_tok('b.text')} as qt
+            from lexical join documents d using (doc_id) join benchmark b on b.item_id = query_id where rank <= {CANDIDATES}),
+          g as (select *, list_distinct(list_transform(range(1, len(qt)), lambda i: qt[i] || ' ' || qt[i + 1])) as pairs, len(list_intersect(q, p)) as common from c),
+          s as (select query_id, doc_id, rank as was, round(case when common = 0 then 0 else 0.6 * common / len(q) +
+              case when len(pairs) = 0 then 0 else 0.3 * len(list_filter(pairs, lambda x: contains(low, x))) / len(pairs) end + 0.1 / rank end, 12) as score from g),
+          o as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, was) as rank from s)
+          select {HIT} from o where rank <= 4""",
+        "extractive_answer": f"with {ANSWER} select query_id, completion from completion",
+        "citations": f"""with {ANSWER}, named as (
+            select query_id, rank, '[' || source || ', ' || doc_id || ']' as name,
+              len(list_filter(list_slice(string_split(text, '. '), 1, 4), lambda x: x <> '' and contains(completion, x))) > 0 as used from passage join completion using (query_id)),
+          u as (select query_id, string_agg(name, ';' order by rank) filter (used) as names, arg_min(name, rank) as first from named group by query_id)
+          select query_id, coalesce(names, first) as citations from u""",
+        "retrieval_metrics": f"""with {COSINE}, h as (select query_id, asked, rank, cast(label = asked as integer) as hit from cosine where rank <= 10),
+          r as (select label, count(*) as n from v group by label),
+          q as (select query_id, any_value(n) as n, sum(hit) filter (rank <= 1) as h1, sum(hit) filter (rank <= 5) as h5, sum(hit) as h10, max(hit / rank) as rr, {gain} as g from h join r on r.label = asked group by query_id)
+          select count(*) as questions, round(avg(h1), 6) as p_at_1, round(avg(h5 / 5), 6) as p_at_5, round(avg(h5 / n), 6) as r_at_5, round(avg(h10 / n), 6) as r_at_10, round(avg(rr), 6) as mrr,
+            round(avg(g / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1)))), 6) as ndcg_at_10 from q""",
+        "refusal_rates": """select count(*) filter (quality <> 1) as unanswerable, count(*) filter (quality = 1) as answerable,
+          round(coalesce(avg(case when toxic = 1 then 0.0 else 1.0 end) filter (quality <> 1), 0), 6)::double as false_answer_rate,
+          round(coalesce(avg(case when toxic = 1 then 1.0 else 0.0 end) filter (quality = 1), 0), 6)::double as wrongly_refused_rate from labels""",
+        "sentence_split": """select doc_id, cast(len(s) as bigint) as n_sentences, cast(list_max(list_transform(s, lambda x: length(trim(regexp_replace(x, '\\s+', ' ', 'g'))))) as bigint) as longest
+          from (select doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as s from documents)""",
+        "hard_windows": f"""select doc_id, cast(pos as integer) as pos, md5(substr(text, pos * {LIMIT} + 1, {LIMIT})) as part_md5
+          from (select doc_id, text, unnest(range(0, cast(ceil(length(text) / {LIMIT}) as bigint))) as pos from documents)""",
+        "route_intent": r"""select conv_id, turn, case when regexp_matches(text, '(?i)\b(what (documents|files|sources)|which documents|list (the )?(documents|files)|what do you (have|know))\b') then 'inventory'
+          when regexp_matches(text, '(?i)\b(summar(y|ise|ize)|overview|tl;?dr|key points|main points)\b') then 'summarise'
+          when regexp_matches(text, '\b([A-Z][A-Z0-9_]{4,}|error code|sku|invoice \d+)\b') then 'lookup' else 'answer' end as intent from conversations where role = 'user'""",
+        "content_ids": "select doc_id, left(sha256(source || ' ' || n_chars), 32) as content_id, source || '#' || lang as section_key, '[' || source || ', ' || lang || ']' as citation from documents",
+        "upsert_latest": "select conv_id, max(turn) as turn, arg_max(role, turn) as role from conversations group by conv_id",
+        "upsert_replace": "select doc_id, 'old' as state from documents where doc_id not in (select doc_id from labels) union all select distinct doc_id, 'new' from labels",
+        "delete_anti": "select doc_id from documents where doc_id not in (select doc_id from labels where toxic = 1)",
+        "doc_stats": f"select count(doc_id) as documents, cast(coalesce(sum(chunk_count), 0) as bigint) as chunks from ({meta})",
+        "list_documents": f"{meta} order by filename, doc_id",
+        "inventory": f"select count(*) || ' document(s) indexed: ' || string_agg(filename, ', ' order by filename) as text, count(*) = 0 as escalated from ({meta})",
+        "validate_labels": "select item_id as query_id, 'src' || item_id % 30 as label from benchmark where 'src' || item_id % 30 not in (select source from documents)",
+    }
