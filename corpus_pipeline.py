@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import bpe_encode, tokenizer_path
 from quernstone.llm.common import Stage, table
-from quernstone.llm.decontaminate import with_regions
+from quernstone.llm.decontaminate import without_leaks
 from quernstone.llm.jaccard_join import one_of_each
 from quernstone.llm.pii import redact
 from quernstone.llm.toxicity import without_toxic
@@ -29,12 +29,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return with_regions(docs, table(spark, sf_dir, "benchmark")).where(F.size("regions") == 0).drop("regions")
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the text."""
-    out = redact(docs).withColumn("text", F.col("__clean")).drop("__clean")
+    out = redact(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 

@@ -95,19 +95,25 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate(([0], np.cumsum(sizes)))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def attach(docs: DataFrame, fields: list[tuple[str, str, pa.DataType]], compute, text_col: str = "text", each: int = 16) -> DataFrame:
     """The rows of docs with more columns: compute(texts) gives an array for each of fields (name, SQL type, Arrow type).
 
-    One pass without a shuffle.  A column of docs that has a new column's name is replaced by it.
+    One pass without a shuffle.  The new names must not be among the columns of docs (see fresh()).
     """
-    names = {n for n, _, _ in fields}
-    base = docs.drop(*names) if names & set(docs.columns) else docs
-    at = base.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), *(f"`{n}` {t}" for n, t, _ in fields)])
+    at = docs.columns.index(text_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` {t}" for n, t, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, at, each=each):
             new = [pa.array(x, kind) for x, (_, _, kind) in zip(compute(texts), fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(n for n, _, _ in fields)])
 
-    return base.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, codes, table
+from .common import attach, codes, fresh, table
 
 Q = 8
 EDITS = 0.08
@@ -199,8 +199,8 @@ def parts(benchmark: DataFrame, chars: int = PART_CHARS) -> list[tuple[tuple[int
     return [tuple((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()) for i in range(n)]
 
 
-def with_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """docs with a column `regions`: array of (item, start, end, edits); a pass for each part of the benchmark, no shuffle.
+def with_regions(docs: DataFrame, benchmark: DataFrame, name: str = "regions", q: int = Q, edits: float = EDITS) -> DataFrame:
+    """docs with a new column: array of (item, start, end, edits); a pass for each part of the benchmark, no shuffle.
 
     Empty and null texts have none; an empty benchmark finds none; items null or without a letter or digit are ignored; an item that
     stands more than once in a text has a region for each place.  Offsets are code points of the text, the end exclusive.
@@ -208,20 +208,27 @@ def with_regions(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float
     kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
     sql = "array<struct<item:bigint,start:bigint,end:bigint,edits:bigint>>"
     names = ("item", "start", "end", "edits")
-    out = docs.withColumn("regions", F.array().cast(sql))
+    out = docs.withColumn(name, F.array().cast(sql))
+    more = fresh(out, "more_regions")
     for part in parts(benchmark):
 
         def compute(texts: list[str], part=part) -> list:
             return [[[dict(zip(names, r, strict=True)) for r in rs] for rs in index(part, q, edits).find(texts)]]
 
-        out = attach(out.withColumnRenamed("regions", "__before"), [("__found", sql, kind)], compute)
-        out = out.withColumn("regions", F.concat("__before", "__found")).drop("__before", "__found")
+        out = attach(out, [(more, sql, kind)], compute)
+        out = out.withColumn(name, F.concat(name, more)).drop(more)
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item of the benchmark, all columns as they are."""
+    name = fresh(docs, "regions")
+    return with_regions(docs, benchmark, name).where(F.size(name) == 0).drop(name)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
     """doc_id, contaminated (0 or 1), n_items, items (ids in order), regions (item:start:end:edits, comma-joined) of each document."""
-    found = with_regions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, q, edits)
+    found = with_regions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "regions", q, edits)
     items = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["item"])))
     said = F.array_join(F.transform(F.array_sort("regions"), lambda r: F.concat_ws(":", r["item"], r["start"], r["end"], r["edits"])), ",")
     return found.select("doc_id", (F.size("regions") > 0).cast("int").alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), said.alias("regions"))

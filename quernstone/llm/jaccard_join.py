@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, slices, table
+from .common import Stage, fresh, slices, table
 from .decontaminate import normal
 
 WORDS = 5
@@ -315,11 +315,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is that of their class, repeated rows once."""
-    kept = classes(docs).where("kept = 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept")).distinct()
-    rows = docs.withColumn("__digest", digest(F.col("text")))
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    """The rows of docs whose doc_id is that of their class, repeated rows once; all columns as they are."""
+    name = fresh(docs, "digest")
+    kept = classes(docs).where("kept = 1").select("doc_id", "digest").distinct()
+    rows = docs.withColumn(name, digest(F.col("text")))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (rows[name] == kept["digest"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", name]).drop(name)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, slices, table
+from .common import attach, fresh, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
@@ -439,14 +439,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column `__clean`: the text without its personal data; null for null."""
+    """docs with its texts' personal data replaced by <KIND>; null stays null, all other columns are as they were."""
     m = learn(docs)
 
     def compute(texts: list[str]) -> list:
         return [[redacted(t, b + a) for t, (b, a) in zip(texts, all_spans(m, texts), strict=True)]]
 
-    out = attach(docs, [("__clean", "string", pa.string())], compute, text_col)
-    return out.withColumn("__clean", F.when(F.col(text_col).isNotNull(), F.col("__clean")))
+    name = fresh(docs, "clean")
+    out = attach(docs, [(name, "string", pa.string())], compute, text_col)
+    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col(name))).drop(name)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

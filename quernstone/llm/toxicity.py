@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_sample, slices, table
+from .common import attach, bounded_sample, fresh, slices, table
 
 PER_CLASS = 4000
 N_WORDS = 256
@@ -161,7 +161,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     """The rows of docs that are not rejected, all columns as they are."""
     model = train(docs, labels, per_class)
     compute = lambda texts: [(predict(model, texts)[:, -1] >= THRESHOLD).tolist()]
-    return attach(docs, [("__rejected", "boolean", pa.bool_())], compute, each=512).where("not __rejected").drop("__rejected")
+    name = fresh(docs, "rejected")
+    return attach(docs, [(name, "boolean", pa.bool_())], compute, each=512).where(~F.col(name)).drop(name)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
