@@ -33,7 +33,7 @@ PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 RUNS = re.compile(f"[^{SPACE}]+")
 END = "</w>"
-CACHED_RUNS = 250_000
+CACHED_RUNS = 125_000
 LONG = 192
 NONE = 1 << 30
 

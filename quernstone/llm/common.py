@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many characters, so that scratch memory is bounded by a slice or by the longest text.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = SLICE_CHAR
             if b > a:
                 part = batch.slice(a, b - a)
                 yield part, [x if x is not None else "" for x in part.column(text).to_pylist()]
+    pa.default_memory_pool().release_unused()  # the worker process lives on
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
