@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 
 from .arrow import attach
+from .embed import _openai, once
 
 #: Fixed value: the text of a refusal.
 REFUSAL = (
@@ -57,10 +57,7 @@ class ModelAnswers:
         self.model, self.client = model, client
 
     def complete(self, passages: DataFrame) -> DataFrame:
-        from .embed import _openai
-
         model, make = self.model, self.client or _openai
-        made = functools.cache(lambda: make())
         listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), "citation", F.lit("]\n"), "text").alias("t")))), lambda x: x["t"])
         asked = passages.groupBy("query_id").agg(F.first("question").alias("question"), F.array_join(listed, "\n\n").alias("context"))
 
@@ -68,7 +65,7 @@ class ModelAnswers:
             out = []
             for q, c in zip(questions, contexts, strict=True):
                 told = [{"role": "system", "content": "Answer only from the context and cite it."}, {"role": "user", "content": f"Context:\n{c}\n\nQuestion: {q}"}]
-                out.append(made().chat.completions.create(model=model, temperature=0, messages=told).choices[0].message.content or "")
+                out.append(once(make).chat.completions.create(model=model, temperature=0, messages=told).choices[0].message.content or "")
             return [out]
 
         return attach(asked, ["question", "context"], [("completion", "string", pa.string())], compute).select("query_id", "completion")

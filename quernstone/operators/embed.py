@@ -61,12 +61,11 @@ class ModelEmbedder:
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "vector") -> DataFrame:
         dims, model, make = self.dimensions, self.model, self.client or _openai
-        made = functools.cache(lambda: make())
 
         def compute(texts: list) -> list:
             got: list = []
             for a in range(0, len(texts), BATCH):
-                reply = made().embeddings.create(model=model, input=[t or "" for t in texts[a : a + BATCH]], dimensions=dims)
+                reply = once(make).embeddings.create(model=model, input=[t or "" for t in texts[a : a + BATCH]], dimensions=dims)
                 got += [list(map(float, r.embedding)) for r in reply.data]
             if any(len(v) != dims for v in got):
                 raise ValueError(f"the model's vectors don't have {dims} numbers")
@@ -75,6 +74,12 @@ class ModelEmbedder:
         return attach(df, [text], [(out, "array<double>", pa.list_(pa.float64()))], compute)
 
 
+@functools.cache
+def once(make: Callable):
+    """What a factory makes, built once in each worker process."""
+    return make()
+
+
 def _openai():
     try:
         from openai import OpenAI

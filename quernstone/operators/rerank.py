@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 
 from .arrow import attach
+from .embed import once
 
 #: The weights of coverage, of neighbouring pairs and of the incoming rank.
 COVERAGE, PHRASE, PRIOR = 0.6, 0.3, 0.1
@@ -62,8 +63,7 @@ class CrossEncoderReranker:
 
     def rerank(self, candidates: DataFrame, limit: Column | int) -> DataFrame:
         load = self.load
-        model = functools.cache(lambda: load())
-        compute = lambda qs, ts: [[float(x) for x in model().predict(list(zip(qs, ts, strict=True)))]]
+        compute = lambda qs, ts: [[float(x) for x in once(load).predict(list(zip(qs, ts, strict=True)))]]
         out = attach(candidates, ["question", "text"], [("new", "double", pa.float64())], compute)
         order = Window.partitionBy("query_id").orderBy(F.col("new").desc(), "rank")
         out = out.withColumn("to", F.row_number().over(order)).where(F.col("to") <= limit)
