@@ -3,7 +3,8 @@
 An item of m characters that occurs in a text with at most e edits shares at least m + 1 - q (e + 1) q-grams with it, all on
 diagonals (text position less item position) no more than 2 e apart.  For each text, hits of its q-grams in the items' index are counted
 in overlapping diagonal bands, twice 2 e + 1 wide and half overlapping, so that some band holds all hits of an occurrence.
-Only bands that reach the bound are kept, and each is verified by a banded alignment of the item with that stretch of text.
+Only bands that reach the bound are kept, and each is verified by a banded alignment of the item with that stretch of text (where the
+item stands there unchanged, comparing symbols is that alignment).
 
 Texts and items are compared as lower-case letters and digits with single spaces.  Items of under q characters are looked up as they are.
 """
@@ -75,6 +76,15 @@ def grams(sym: np.ndarray, q: int = Q) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * PRIME
 
 
+def equal_at(stretch: np.ndarray, p: np.ndarray) -> int:
+    """The first place where p stands in a stretch as it is, or -1."""
+    text, part = stretch.tobytes(), p.tobytes()
+    at = text.find(part)
+    while at % 4 and at >= 0:  # a symbol has four bytes
+        at = text.find(part, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 class Index:
     """The q-grams of some items: for each hash the items and offsets where it stands."""
 
@@ -133,6 +143,9 @@ class Index:
         """
         p, n = self.sym[item], len(stretch)
         m = len(p)
+        same = equal_at(stretch, p)
+        if same >= 0:  # the alignment without edits
+            return 0, same, same + m
         wide = max(n - m, 0) + int(self.budget[item]) + 1
         far = np.int32(m + n + 1)
         text = np.full(m + wide, 0x7FFFFFFF, dtype=np.uint32)  # beyond the stretch nothing is equal
