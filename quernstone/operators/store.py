@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,46 +32,51 @@ def listing(documents: DataFrame) -> DataFrame:
     return documents.orderBy("filename", "doc_id")
 
 
-class Tables:
-    """Versioned Parquet tables under one root.
+class Log:
+    """Append-only Parquet segments of some tables under one root.
 
-    A write goes to a new folder; a small pointer file then names it, so a failed write leaves the table as it was.
+    A commit writes new segments, then one manifest that lists all segments of all tables; the newest manifest is what holds.  So a commit
+    costs what it adds, however large the tables are, a failed one leaves no trace in any table, and of two commits at once the
+    second fails because its manifest exists.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str):
-        return self.path(f"{self.root}/{name}/CURRENT")
-
-    def current(self, name: str) -> str | None:
-        at = self._pointer(name)
-        if not self.fs.exists(at):
-            return None
-        stream = self.fs.open(at)
+    def manifest(self) -> dict:
+        """{"version": n, "tables": {name: [segment, ...]}} of the newest commit."""
+        there = self.path(f"{self.root}/manifests")
+        names = [f.getPath().getName() for f in self.fs.listStatus(there)] if self.fs.exists(there) else []
+        newest = max((n for n in names if n.endswith(".json")), default=None)
+        if newest is None:
+            return {"version": 0, "tables": {}}
+        stream = self.fs.open(self.path(f"{self.root}/manifests/{newest}"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def read(self, name: str, schema: str) -> DataFrame:
-        version = self.current(name)
-        if version is None:
+        segments = self.manifest()["tables"].get(name)
+        if not segments:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        before, version = self.current(name), uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        out = self.fs.create(self._pointer(name), True)
-        out.write(bytearray(version.encode()))
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s}" for s in segments))
+
+    def commit(self, added: dict[str, DataFrame], replace: bool = False) -> int:
+        """Adds rows to tables (replace: puts them in the place of all their rows); the new version."""
+        now = self.manifest()
+        version, tables, gone = now["version"] + 1, dict(now["tables"]), []
+        for name, df in added.items():
+            segment = f"{name}/{version:012d}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{segment}")
+            gone += tables.get(name, []) if replace else []
+            tables[name] = [segment] if replace else [*tables.get(name, []), segment]
+        at = self.path(f"{self.root}/manifests/{version:012d}.json")
+        out = self.fs.create(at, False)
+        out.write(bytearray(json.dumps({"version": version, "tables": tables}).encode()))
         out.close()
-        if before is not None:
-            self.fs.delete(self.path(f"{self.root}/{name}/{before}"), True)
-
-
-def row_rank(partition: list[str], order: list) -> object:
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+        for segment in gone:
+            self.fs.delete(self.path(f"{self.root}/{segment}"), True)
+        return version

@@ -1,7 +1,9 @@
 """The engine: ingest, search, ask, list, delete, evaluate.
 
-State is three Parquet tables under one root: `chunks` (text, forward index and vector), `documents` (metadata) and nothing else; what BM25
-needs besides is aggregated from the forward index when a batch of questions comes.
+State is two append-only Parquet tables under one root: `chunks` (text, forward index and vector) and `documents` (metadata).  Every row has the
+version of the commit that wrote it.  A document's newest row holds, unless it marks a deletion; chunks of other versions are left out by an
+anti-join with the few superseded versions.  So ingesting and deleting cost what they add; compact() drops what is superseded.
+What BM25 needs besides is aggregated from the forward index when a batch of questions comes.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from quernstone.operators import search as S
 from quernstone.operators.chunk import chunk
 from quernstone.operators.embed import build_embedder
 from quernstone.operators.rerank import build_reranker
-from quernstone.operators.store import Tables, listing, statistics, upsert, without
+from quernstone.operators.store import Log, latest, listing, statistics
 from quernstone.sources.extract import DOCUMENT, extract, read_files, supported_extensions
 
 CHUNKS = "chunk_id string, doc_id string, filename string, section_label string, ordinal int, text string, vector array<double>, terms array<string>, tfs array<int>, len bigint"
 DOCUMENTS = "doc_id string, filename string, source_type string, section_count int, chunk_count int, ingested_at timestamp"
+CHUNK_LOG, DOCUMENT_LOG = f"{CHUNKS}, version bigint", f"{DOCUMENTS}, version bigint, deleted boolean"
 VARIANTS = ("dense", "lexical", "hybrid", "hybrid + rerank")
 RERANK_DEPTH, DEPTH = 20, 10
 
@@ -38,7 +41,7 @@ class Engine:
         self.spark, self.settings = spark, settings or Settings()
         s = self.settings
         build_vector_store(s.vector_backend)
-        self.tables = Tables(spark, root or s.root)
+        self.log = Log(spark, root or s.root)
         self.embedder = embedder or build_embedder(s.embedder, s.embedding_dimensions)
         self.reranker = reranker or build_reranker(s.reranker)
         self.llm = llm or A.build_llm(s.llm)
@@ -47,14 +50,24 @@ class Engine:
 
     # -- state ---------------------------------------------------------------------------------------------------------
 
+    def _history(self) -> DataFrame:
+        return self.log.read("documents", DOCUMENT_LOG)
+
+    def _live(self) -> DataFrame:
+        return latest(self._history(), ["doc_id"], "version").where("not deleted")
+
     def chunks(self) -> DataFrame:
-        return self.tables.read("chunks", CHUNKS)
+        names = [c.split()[0] for c in CHUNKS.split(", ")]
+        history = self._history().select("doc_id", "version", "deleted")
+        newest = history.groupBy("doc_id").agg(F.max(F.struct("version", "deleted")).alias("m"))
+        old = history.where("not deleted").join(newest, "doc_id").where((F.col("version") < F.col("m.version")) | F.col("m.deleted")).select("doc_id", "version")
+        return self.log.read("chunks", CHUNK_LOG).join(old, ["doc_id", "version"], "left_anti").select(*names)
 
     def documents(self) -> DataFrame:
-        return listing(self.tables.read("documents", DOCUMENTS))
+        return listing(self._live().select(*(c.split()[0] for c in DOCUMENTS.split(", "))))
 
     def get(self, doc_id: str) -> DataFrame:
-        return self.tables.read("documents", DOCUMENTS).where(F.col("doc_id") == doc_id)
+        return latest(self._history().where(F.col("doc_id") == doc_id), ["doc_id"], "version").where("not deleted")
 
     def index(self) -> DataFrame:
         """The chunks as the searches want them; ties go by file name, document and place."""
@@ -62,7 +75,7 @@ class Engine:
         return self.chunks().withColumn("id", F.col("chunk_id")).withColumn("tie", tie)
 
     def stats(self) -> dict:
-        row = statistics(self.tables.read("documents", DOCUMENTS)).first()
+        row = statistics(self._live()).first()
         return {"documents": row["documents"], "chunks": row["chunks"], "indexed_chunks": self.chunks().count()}
 
     def health(self) -> dict:
@@ -80,36 +93,38 @@ class Engine:
         return self.ingest_documents(extract(read_files(self.spark, paths), self.settings.max_upload_mb << 20))
 
     def ingest_documents(self, documents: DataFrame) -> DataFrame:
-        """The same for DOCUMENT rows.  Both tables are written anew beside the old ones and then swapped."""
+        """The same for DOCUMENT rows: one commit of new segments, in which a document's chunks and its metadata come together."""
+        version = F.lit(self.log.manifest()["version"] + 1).cast("long").alias("version")
         read = documents.persist()
         good = read.where("error is null").dropDuplicates(["doc_id"])
-        old = self.chunks()
-        made = S.with_terms(self.embedder.embed(chunk(good, self.chunk_config))).select(*old.columns).persist()
+        made = S.with_terms(self.embedder.embed(chunk(good, self.chunk_config))).select(*(c.split()[0] for c in CHUNKS.split(", "))).persist()
         counts = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
-        before = old.join(good.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("replaced_chunks"))
+        before = self._live().select("doc_id", F.col("chunk_count").cast("long").alias("replaced_chunks"))
         rows = (
             read.join(counts, "doc_id", "left").join(before, "doc_id", "left")
             .select("doc_id", "filename", "source_type", F.size("sections").alias("sections"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.coalesce("replaced_chunks", F.lit(0)).alias("replaced_chunks"), "status", "error")
             .orderBy("filename", "doc_id").collect()
         )
-        meta = good.join(counts, "doc_id", "left").select("doc_id", "filename", "source_type", F.size("sections").alias("section_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"))
-        kept = without(old, good.select("doc_id"), ["doc_id"]).unionByName(made)
-        self.tables.write("chunks", kept)
-        self.tables.write("documents", upsert(self.tables.read("documents", DOCUMENTS), meta, ["doc_id"]))
+        meta = good.join(counts, "doc_id", "left").select("doc_id", "filename", "source_type", F.size("sections").alias("section_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"), version, F.lit(False).alias("deleted"))
+        self.log.commit({"chunks": made.select("*", version), "documents": meta})
         made.unpersist()
         read.unpersist()
         return self.spark.createDataFrame(rows, "doc_id string, filename string, source_type string, sections int, chunks int, replaced_chunks bigint, status int, error string")
 
     def delete(self, doc_id: str) -> int | None:
         """Chunks removed; None where there is no such document."""
-        if self.get(doc_id).isEmpty():
+        row = self.get(doc_id).first()
+        if row is None:
             return None
-        old = self.chunks()
-        gone = self.spark.createDataFrame([(doc_id,)], "doc_id string")
-        removed = old.where(F.col("doc_id") == doc_id).count()
-        self.tables.write("chunks", without(old, gone, ["doc_id"]))
-        self.tables.write("documents", without(self.tables.read("documents", DOCUMENTS), gone, ["doc_id"]))
-        return removed
+        version = self.log.manifest()["version"] + 1
+        self.log.commit({"documents": self.spark.createDataFrame([row.asDict() | {"version": version, "deleted": True}], DOCUMENT_LOG)})
+        return row["chunk_count"]
+
+    def compact(self) -> None:
+        """Both tables anew without what is superseded or deleted; the old segments go."""
+        version = F.lit(self.log.manifest()["version"] + 1).cast("long").alias("version")
+        live = self.documents().select("*", version, F.lit(False).alias("deleted"))
+        self.log.commit({"chunks": self.chunks().select("*", version), "documents": live}, replace=True)
 
     # -- questions -----------------------------------------------------------------------------------------------------
 
@@ -153,7 +168,7 @@ class Engine:
         searched = q.where("intent <> 'inventory' and question <> ''")
         candidates = self._passages(searched, self.hits(searched.select("query_id", "question"), "hybrid", self.settings.candidate_k))
         passages = self.reranker.rerank(candidates, F.col("context_k")).persist()  # a few rows a question, read three times
-        listed = A.inventory(self.tables.read("documents", DOCUMENTS)).select(F.col("text").alias("stock"), F.col("escalated").alias("no_stock"))
+        listed = A.inventory(self._live()).select(F.col("text").alias("stock"), F.col("escalated").alias("no_stock"))
         out = A.answer(q, passages, self.llm, floor).crossJoin(F.broadcast(listed))  # one row on the right
         stock = F.col("intent") == "inventory"
         out = out.withColumns({"text": F.when(stock, F.col("stock")).otherwise(F.col("text")), "escalated": F.when(stock, F.col("no_stock")).otherwise(F.col("escalated"))})

@@ -134,7 +134,12 @@ def test_delete_and_health(spark, files, tmp_path):
     assert e.ask(asked(spark, "how are seats billed")).first()["escalated"]
     e.ingest(f"{files}/handbook.md")
     key = e.documents().first()["doc_id"]
-    assert e.get(key).count() == 1 and e.delete(key) == 3 and e.stats()["indexed_chunks"] == 0
+    e.ingest(f"{files}/handbook.md")
+    e.compact()
+    assert e.stats() == {"documents": 1, "chunks": 3, "indexed_chunks": 3} and e.log.read("chunks", "doc_id string").count() == 3
+    assert e.get(key).count() == 1 and e.delete(key) == 3 and e.stats()["indexed_chunks"] == 0 and e.delete(key) is None
+    e.ingest(f"{files}/handbook.md")
+    assert e.stats()["indexed_chunks"] == 3
     assert e.health()["status"] == "ok" and e.metrics()["embedding_dimensions"] == 384
 
 
@@ -276,12 +281,15 @@ def test_mutations(spark):
     assert sorted(map(tuple, store.upsert(old, new, ["k"]).collect())) == [(1, 1, "a"), (1, 2, "b"), (2, 9, "z"), (3, 9, "z")]
 
 
-def test_failed_write_leaves_the_table(spark, tmp_path):
-    t = store.Tables(spark, str(tmp_path))
-    t.write("x", spark.range(3))
+def test_failed_commit_leaves_all_tables(spark, tmp_path):
+    t = store.Log(spark, str(tmp_path))
+    assert t.commit({"x": spark.range(3)}) == 1
     with pytest.raises(Exception):  # noqa: B017
-        t.write("x", spark.range(3).select(F.raise_error("no").cast("long").alias("id")))
-    assert t.read("x", "id long").count() == 3
+        t.commit({"y": spark.range(1), "x": spark.range(3).select(F.raise_error("no").cast("long").alias("id"))})
+    assert t.read("x", "id long").count() == 3 and t.read("y", "id long").count() == 0
+    assert t.commit({"x": spark.range(2)}) == 2 and t.read("x", "id long").count() == 5
+    t.commit({"x": spark.range(1)}, replace=True)
+    assert t.read("x", "id long").count() == 1
 
 
 def test_watch(spark, files, tmp_path):
