@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, fresh, slices, table
+from .common import Stage, attach, fresh, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
@@ -413,9 +413,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id") -> dict[str, np.ndarray]:
     n = rows.select("doc_id").count()
     part = rows.where(u * n < 20 * SAMPLE_DOCS).withColumn("marked", F.col("text").rlike("[0-9@]").cast("int"))
     at = F.greatest(F.lit(1), F.expr("regexp_instr(text, '[0-9@]')") - 500)
-    part = part.select("doc_id", "marked", F.substring("text", at, F.lit(4000)).alias("text"))
+    stage = Stage(docs.sparkSession)
+    part = stage.keep(part.select("doc_id", "marked", F.substring("text", at, F.lit(4000)).alias("text")), "sample")  # the documents are read once
     some = [part.where(F.col("marked") == k).orderBy(F.xxhash64(F.lit(12), "doc_id"), "doc_id").limit(SAMPLE_DOCS // 2) for k in (0, 1)]
-    return train([r["text"] for r in some[0].unionByName(some[1]).orderBy("doc_id", "text").collect()])
+    texts = [r["text"] for r in some[0].unionByName(some[1]).orderBy("doc_id", "text").collect()]
+    stage.drop(part)
+    return train(texts)
 
 
 def span_batches(batches: Iterator[pa.RecordBatch], m: dict) -> Iterator[pa.RecordBatch]:

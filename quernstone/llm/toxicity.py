@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_sample, fresh, slices, table
+from .common import Stage, attach, bounded_sample, fresh, slices, table
 
 PER_CLASS = 4000
 N_WORDS = 256
@@ -143,7 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     some = bounded_sample(marked, "toxic", "doc_id", per_class)  # its size is bounded by per_class, so it can be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     found = rows.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
-    return learn(found.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "toxic", "text"), F.struct("doc_id", "toxic")).alias("r")).select("r.*"))  # copies count once
+    once = found.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "toxic", "text"), F.struct("doc_id", "toxic")).alias("r")).select("r.*")  # copies count once
+    stage = Stage(docs.sparkSession)
+    sample = stage.keep(once, "sample")  # read several times; the documents are read once
+    model = learn(sample)
+    stage.drop(sample)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
