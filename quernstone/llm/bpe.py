@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The splitting pattern of the vocabulary file; letters are lower case when it is applied.
@@ -380,7 +380,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Null and empty texts have no tokens (hashes of the empty text).  Ids may be null or repeated.  Other columns are not read.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(lambda it: encode_batches(it, path, keep_ids), schema)
+    return small_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(lambda it: encode_batches(it, path, keep_ids), schema)
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

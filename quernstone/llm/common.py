@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many characters, so that scratch memory is bounded by a slice or by the longest text.
 SLICE_CHARS = 1 << 19
+BATCH_BYTES = "8388608b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +97,14 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate(([0], np.cumsum(sizes)))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches have at most BATCH_BYTES from now on: the JVM holds one outside its heap for each task, the worker another."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) != BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like this one that df doesn't have."""
     have = {c.lower() for c in df.columns}
@@ -117,4 +126,4 @@ def attach(docs: DataFrame, fields: list[tuple[str, str, pa.DataType]], compute,
             new = [pa.array(x, kind) for x, (_, _, kind) in zip(compute(texts), fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(n for n, _, _ in fields)])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, fresh, slices, table
+from .common import Stage, fresh, slices, small_batches, table
 from .decontaminate import normal
 
 WORDS = 5
@@ -276,7 +276,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     stage = Stage(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
     reps = stage.keep(
-        keyed.mapInArrow(_signature_batches, "doc_id long, digest binary, sig array<int>")
+        small_batches(keyed).mapInArrow(_signature_batches, "doc_id long, digest binary, sig array<int>")
         .groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id()),
         "reps",

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, codes, crc_mod, slices, table
+from .common import bounded_sample, codes, crc_mod, slices, small_batches, table
 
 DIMS = 1024
 SEED = 20_011
@@ -98,7 +98,7 @@ def bundle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes (unit vectors) from rows (lang, text)."""
-    rows = labelled.mapInArrow(bundle_batches, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
+    rows = small_batches(labelled).mapInArrow(bundle_batches, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
     langs = sorted({r["lang"] for r in rows})
     proto = np.zeros((len(langs), DIMS))
     where = {x: i for i, x in enumerate(langs)}
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs, proto = learn(bounded_sample(known, "lang", "doc_id", per_language).select("lang", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    return rows.mapInArrow(lambda it: predict_batches(it, langs, proto), "doc_id long, held_out boolean, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(lambda it: predict_batches(it, langs, proto), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, attach, fresh, slices, table
+from .common import Stage, attach, fresh, slices, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
@@ -438,7 +438,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     m = learn(docs)
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: span_batches(it, m), schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: span_batches(it, m), schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, codes, crc_mod, slices, table
+from .common import bounded_sample, codes, crc_mod, slices, small_batches, table
 
 PER_CLASS = 4000
 SHRINK_POOLED = 0.10
@@ -113,7 +113,7 @@ def stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame) -> dict | None:
     """A model from rows (quality, text), which must be a bounded sample; None unless both classes have at least two rows."""
-    rows = labelled.mapInArrow(stat_batches, "quality int, stats array<double>").orderBy("quality", "stats").collect()
+    rows = small_batches(labelled).mapInArrow(stat_batches, "quality int, stats array<double>").orderBy("quality", "stats").collect()
     y = np.array([r["quality"] for r in rows], dtype=np.int64)
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return None
@@ -137,7 +137,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = bounded_sample(marked, "quality", "doc_id", per_class)  # its size is bounded by per_class, so it can be broadcast
     model = learn(rows.join(F.broadcast(some), "doc_id").select("quality", "text"))
-    return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(lambda it: score_batches(it, model), "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(rows).select("doc_id", held.alias("held_out"), "text").mapInArrow(lambda it: score_batches(it, model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

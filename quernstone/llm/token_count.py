@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import RUNS, Encoder, encoder, runs_of, tokenizer_path
-from .common import slices, table
+from .common import slices, small_batches, table
 
 WINDOW = 16_384
 OVERLAP = 256
@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, window: int = W
     """
     text = F.col(text_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    out = narrow.mapInArrow(lambda it: count_batches(it, path, window, overlap), "doc_id long, n_bytes long, n_tokens long")
+    out = small_batches(narrow).mapInArrow(lambda it: count_batches(it, path, window, overlap), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, attach, bounded_sample, fresh, slices, table
+from .common import Stage, attach, bounded_sample, fresh, slices, small_batches, table
 
 PER_CLASS = 4000
 N_WORDS = 256
@@ -95,7 +95,7 @@ def label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def learn(labelled: DataFrame, n_words: int = N_WORDS) -> dict | None:
     """A chain from rows (doc_id, toxic, text), which must be a bounded sample; None unless both classes occur."""
-    rows = labelled.mapInArrow(label_batches, "doc_id long, toxic int, kinds array<int>, words array<string>")
+    rows = small_batches(labelled).mapInArrow(label_batches, "doc_id long, toxic int, kinds array<int>, words array<string>")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
@@ -159,7 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """
     model = train(docs, labels, per_class)
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", rejected int"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: score_batches(it, model), schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: score_batches(it, model), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
