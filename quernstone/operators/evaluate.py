@@ -42,8 +42,8 @@ def by_question(questions: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def retrieval_scores(questions: DataFrame, ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Means over questions; zeros without any.  by: further columns of both frames, such as a variant's name."""
+def retrieval_scores(questions: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Means over questions; zeros without any."""
     each = by_question(questions, ranked)
     return each.agg(F.count("*").alias("questions"), *(F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in METRICS))
 

@@ -20,7 +20,7 @@ from quernstone.operators.chunk import chunk
 from quernstone.operators.embed import build_embedder
 from quernstone.operators.rerank import build_reranker
 from quernstone.operators.store import Log, latest, listing, statistics
-from quernstone.sources.extract import DOCUMENT, extract, read_files, supported_extensions
+from quernstone.sources.extract import extract, read_files, supported_extensions
 
 CHUNKS = "chunk_id string, doc_id string, filename string, section_label string, ordinal int, text string, vector array<double>, terms array<string>, tfs array<int>, len bigint"
 DOCUMENTS = "doc_id string, filename string, source_type string, section_count int, chunk_count int, ingested_at timestamp"
@@ -202,7 +202,3 @@ class Engine:
     def evaluate_refusal(self, questions: DataFrame, floor: float | None = None) -> dict:
         answers = self.ask(questions.select("query_id", "question"), floor).join(questions.select("query_id", (F.size("relevant") > 0).alias("answerable")), "query_id")
         return E.refusal_scores(answers).first().asDict()
-
-
-def empty_documents(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], DOCUMENT)
