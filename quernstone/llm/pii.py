@@ -2,7 +2,7 @@
 
 The base patterns (e-mail, IPv4, card with Luhn digits, international phone) are always kept.  The tagger is trained in numpy from
 labelled spans: windows of sampled documents with the base patterns' spans, and the same texts with generated examples set in, also in
-shapes that the base patterns miss, and with look-alikes that are no personal data.  It reads characters as 22 classes.
+shapes that the base patterns miss, and with look-alikes that are no personal data.  It reads characters as 21 classes.
 
 A kind of personal data here always has a digit or an @, so only windows around those are tagged; every such window of every
 text is.  Windows overlap by half.  Spans cut by a window's edge are left to its neighbour, and what the windows of a text propose is reconciled by the
