@@ -4,6 +4,10 @@ The categories stand in a fixed order.  Each has a linear (logistic) model over
 word stems and over the probabilities of all categories before it.  For training, those probabilities are out-of-fold predictions, so a later model
 learns from values as uncertain as it will meet; for prediction they come from the models fitted on all training rows.
 The words and stems are those with the largest chi-square statistic against the last category on the training rows.
+
+Each class is sampled at its own rate, so training rows are weighted by the inverse of their class's rate: words, probabilities and the
+cut are those of the natural class mix, whatever the size of the tables.  The cut on the last probability is the one with the fewest
+misses and false alarms out of fold.
 """
 
 from __future__ import annotations
@@ -40,16 +44,17 @@ def words(text: str) -> set[str]:
     return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
-    """Weights (the last is the constant, which is not penalised) by Newton's method with a ridge penalty."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the constant, which is not penalised) by Newton's method with a ridge penalty; `rows` are row weights."""
+    rows = np.ones(len(x)) if rows is None else rows
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     pen = np.full(x.shape[1], ridge)
     pen[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - pen * w
-        h = (x * (p * (1 - p))[:, None]).T @ x
+        g = x.T @ (rows * (y - p)) - pen * w
+        h = (x * (rows * p * (1 - p))[:, None]).T @ x
         h[np.diag_indices_from(h)] += pen
         step = np.linalg.solve(h, g)
         w = w + step
@@ -62,18 +67,37 @@ def apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    """One weight vector for each column of y, in order."""
-    models = []
+def fit_out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, rows: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """One weight vector for each column of y, in order; and the out-of-fold probabilities of the last column."""
+    rows = np.ones(len(x)) if rows is None else rows
+    models, out = [], np.zeros(len(x))
     for k in range(y.shape[1]):
         target = y[:, k].astype(float)
-        models.append(logistic(x, target))
+        models.append(logistic(x, target, rows=rows))
         out = np.zeros(len(x))
         for f in np.unique(fold):
             here = fold == f
-            out[here] = apply(logistic(x[~here], target[~here]), x[here]) if (~here).any() else target.mean()
+            out[here] = apply(logistic(x[~here], target[~here], rows=rows[~here]), x[here]) if (~here).any() else np.average(target, weights=rows)
         x = np.column_stack([x, out])
-    return models
+    return models, out
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, rows: np.ndarray | None = None) -> list[np.ndarray]:
+    """One weight vector for each column of y, in order."""
+    return fit_out_of_fold(x, y, fold, rows)[0]
+
+
+def best_cut(p: np.ndarray, y: np.ndarray, rows: np.ndarray) -> float:
+    """The cut with the least weight of misses (p under it, y 1) and false alarms; among equals the nearest to THRESHOLD, where no row speaks for another."""
+    order = np.argsort(p, kind="stable")
+    p, missed, alarms = p[order], np.cumsum((rows * y)[order]), np.cumsum((rows * (1 - y))[order])
+    ends = np.append(np.flatnonzero(np.diff(p)), len(p) - 1)  # the last row of each value
+    low = np.concatenate([[0.0], p[ends]])  # a cut lies above low and not above high
+    high = np.append(p[ends], 1.0)
+    errors = np.concatenate([[0.0], missed[ends]]) + alarms[-1] - np.concatenate([[0.0], alarms[ends]])
+    nearest = np.where((low < THRESHOLD) & (THRESHOLD <= high), THRESHOLD, (low + high) / 2)
+    best = np.flatnonzero(errors <= errors.min() + 1e-9 * rows.sum())
+    return float(min(nearest[best], key=lambda c: abs(c - THRESHOLD)))
 
 
 def apply_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -93,19 +117,26 @@ def label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.list_(pa.int32())), pa.array([sorted(w) for w in ws], pa.list_(pa.string()))], names=["doc_id", "toxic", "kinds", "words"])
 
 
-def learn(labelled: DataFrame, n_words: int = N_WORDS) -> dict | None:
-    """A chain from rows (doc_id, toxic, text), which must be a bounded sample; None unless both classes occur."""
+def learn(labelled: DataFrame, n_words: int = N_WORDS, stands_for: dict[int, float] | None = None) -> dict | None:
+    """A chain and its cut from rows (doc_id, toxic, text), which must be a bounded sample; None unless both classes occur.
+
+    `stands_for`: of how many rows one row of each class is the sample.  `held_out` counts the training rows missed and falsely
+    rejected out of fold.
+    """
+    stands_for = stands_for or {0: 1.0, 1: 1.0}
     rows = small_batches(labelled).mapInArrow(label_batches, "doc_id long, toxic int, kinds array<int>, words array<string>")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    n, n1 = sizes[0] + sizes[1], sizes[1]
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
+    n1 = stands_for[1] * sizes[1]
+    n = stands_for[0] * sizes[0] + n1
+    a = F.lit(stands_for[1]) * F.col("a")
+    df = F.lit(stands_for[0]) * (F.col("df") - F.col("a")) + a
     lift = a * n - df * n1
     chosen = (
         rows.select("toxic", F.explode("words").alias("word"))
         .groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("df"))
-        .where((F.col("df") >= LEAST_ROWS) & (F.col("df") < n))
+        .where((F.col("df") >= LEAST_ROWS) & (F.col("df") < sizes[0] + sizes[1]))
         .orderBy((lift * lift / (df * (n - df))).desc(), "word").limit(n_words).select("word").collect()
     )
     vocab = {r["word"]: i for i, r in enumerate(chosen)}
@@ -117,7 +148,12 @@ def learn(labelled: DataFrame, n_words: int = N_WORDS) -> dict | None:
     toxic = np.array([r["toxic"] for r in data])
     y = np.column_stack([*(np.array([r["kinds"] for r in data]).T * toxic), toxic])
     fold = np.array([(r["doc_id"] or 0) * 2_654_435_761 % (1 << 32) * FOLDS >> 32 for r in data])
-    return {"vocab": vocab, "models": fit_chain(x, y, fold)}
+    weight = np.where(toxic == 1, stands_for[1], stands_for[0])
+    weight = weight / weight.mean()  # the ridge penalty is held against as many rows as were sampled
+    models, out = fit_out_of_fold(x, y, fold, weight)
+    cut = best_cut(out, toxic, weight)
+    held_out = {"toxic": int(toxic.sum()), "missed": int(((out < cut) & (toxic == 1)).sum()), "clean": int((toxic == 0).sum()), "false_alarms": int(((out >= cut) & (toxic == 0)).sum())}
+    return {"vocab": vocab, "models": models, "cut": cut, "held_out": held_out}
 
 
 def predict(model: dict | None, texts: list[str]) -> np.ndarray:
@@ -132,10 +168,14 @@ def predict(model: dict | None, texts: list[str]) -> np.ndarray:
     return apply_chain(model["models"], x)
 
 
+def rejects(model: dict | None, p: np.ndarray) -> np.ndarray:
+    return p[:, -1] >= (model["cut"] if model else THRESHOLD)
+
+
 def score_batches(batches: Iterator[pa.RecordBatch], model: dict | None) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches, 1, each=512):
         p = predict(model, texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array((p[:, -1] >= THRESHOLD).astype(np.int32))], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "rejected"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array(rejects(model, p).astype(np.int32))], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "rejected"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
@@ -146,15 +186,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     once = found.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "toxic", "text"), F.struct("doc_id", "toxic")).alias("r")).select("r.*")  # copies count once
     stage = Stage(docs.sparkSession)
     sample = stage.keep(once, "sample")  # read several times; the documents are read once
-    model = learn(sample)
+    stands_for = {0: 1.0, 1: 1.0} | {r["toxic"]: max(1.0, r["n"] / per_class) for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    model = learn(sample, stands_for=stands_for)
     stage.drop(sample)
     return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_toxic, rejected (1 where p_toxic >= 0.5) of each document; one pass without a shuffle.
+    """doc_id, p_insult, p_contempt, p_toxic, rejected (1 where p_toxic >= the cut of the model) of each document; one pass without a shuffle.
 
-    The chain is trained on about `per_class` labelled rows of each class.  Null texts are scored as empty.  Without labelled rows
+    The chain is trained on about `per_class` labelled rows of each class, weighted back to the counted class sizes.  Null texts are scored as empty.  Without labelled rows
     of both classes all probabilities are 0.  Ids may be null or repeated.  Only doc_id, text and toxic are read.
     """
     model = train(docs, labels, per_class)
@@ -165,7 +206,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of docs that are not rejected, all columns as they are."""
     model = train(docs, labels, per_class)
-    compute = lambda texts: [(predict(model, texts)[:, -1] >= THRESHOLD).tolist()]
+    compute = lambda texts: [rejects(model, predict(model, texts)).tolist()]
     name = fresh(docs, "rejected")
     return attach(docs, [(name, "boolean", pa.bool_())], compute, each=512).where(~F.col(name)).drop(name)
 
