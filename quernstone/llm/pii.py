@@ -5,8 +5,8 @@ labelled spans: windows of sampled documents with the base patterns' spans, and
 shapes that the base patterns miss, and with look-alikes that are no personal data.  It reads characters as 21 classes.
 
 A kind of personal data here always has a digit or an @, so only windows around those are tagged; every such window of every
-text is.  Windows overlap by half.  Spans cut by a window's edge are left to its neighbour, and what the windows of a text propose is reconciled by the
-best set of spans that do not overlap.  A proposal must pass its kind's exact check and stay clear of all base spans to be added.
+text is.  Windows overlap by half.  A span cut by a window's edge that no neighbour holds whole is tagged again in a window widened
+until no edge cuts it, and what the windows of a text propose is reconciled by the best set of spans that do not overlap.  A proposal must pass its kind's exact check and stay clear of all base spans to be added.
 """
 
 from __future__ import annotations
@@ -359,25 +359,67 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[Span]:
     return out[::-1]
 
 
+def tagged(m: dict, texts: list[str], where: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int, int], list[tuple[int, int, int, float]]]]:
+    """Windows (text, start, end), with the spans that the tagger sees in each: (kind, start, end, score)."""
+    by_size: dict[int, list] = {}
+    for w in where:
+        by_size.setdefault(max(WINDOW, w[2] - w[1]), []).append(w)
+    for size, same in by_size.items():
+        each = max(1, 1024 * WINDOW // size)
+        for low in range(0, len(same), each):
+            part = same[low : low + each]
+            x = np.zeros((len(part), size), dtype=np.uint8)
+            for k, (i, a, b) in enumerate(part):
+                x[k, : b - a] = read_classes(texts[i][a:b])
+            tags, lead = decode(m, x)
+            spans: list[list] = [[] for _ in part]
+            for k, s in zip(*np.nonzero(tags % 2 == 1), strict=True):
+                a = part[k][1]
+                inside, e = tags[k, s] + 1, s + 1
+                while e < size and tags[k, e] == inside:
+                    e += 1
+                spans[k].append(((int(inside) - 2) // 2, int(a + s), int(a + e), float(max(lead[k, s:e].sum(), 1e-6))))
+            yield from zip(part, spans, strict=True)
+
+
+def hopeless(kind: int, piece: str) -> bool:
+    """Whether no span that holds this piece can be plausible."""
+    if kind == 0:
+        return piece.count("@") > 1 or len(re.findall(r"\s", piece)) > 2
+    if kind == 1:
+        return not all(p.isdecimal() and fine(1, p) for p in piece.split(".")[1:-1])
+    return len(NOT_DIGIT.sub("", piece)) > (19 if kind == 2 else 15)
+
+
+def wider(windows: list[tuple[int, int, int, tuple[int, int]]]) -> dict[tuple[int, int, int], list[tuple[int, int]]]:
+    """Windows (text, start, end, cut piece) as windows with their pieces, overlapping ones of a text together."""
+    out: list[tuple[int, int, int, list]] = []
+    for i, a, b, piece in sorted(windows):
+        if out and out[-1][0] == i and a < out[-1][2]:
+            _, low, high, pieces = out.pop()
+            out.append((i, low, max(high, b), [*pieces, piece]))
+        else:
+            out.append((i, a, b, [piece]))
+    return {(i, a, b): pieces for i, a, b, pieces in out}
+
+
 def proposals(m: dict, texts: list[str]) -> list[list[Span]]:
     """Reconciled spans of the tagger for each text."""
-    where = [(i, a) for i, t in enumerate(texts) for a in window_starts(t)]
+    todo = {(i, a, min(a + WINDOW, len(t))): None for i, t in enumerate(texts) for a in window_starts(t)}
     found: list[list] = [[] for _ in texts]
-    for low in range(0, len(where), 1024):
-        part = where[low : low + 1024]
-        x = np.zeros((len(part), WINDOW), dtype=np.uint8)
-        for k, (i, a) in enumerate(part):
-            got = read_classes(texts[i][a : a + WINDOW])
-            x[k, : len(got)] = got
-        tags, lead = decode(m, x)
-        for k, s in zip(*np.nonzero(tags % 2 == 1), strict=True):
-            i, a = part[k]
-            inside, e = tags[k, s] + 1, s + 1
-            while e < WINDOW and tags[k, e] == inside:
-                e += 1
-            cut = (e == WINDOW and a + e < len(texts[i])) or (s == 0 and a > 0)
-            if not cut:
-                found[i].append(((int(inside) - 2) // 2, int(a + s), int(a + e), float(max(lead[k, s:e].sum(), 1e-6))))
+    while todo:
+        cut = []
+        for (i, a, b), spans in tagged(m, texts, list(todo)):
+            pieces = todo[i, a, b]
+            for kind, s, e, score in spans:
+                if pieces is not None and not any(s < y and x < e for x, y in pieces):
+                    continue  # narrower windows hold it
+                left, right = s == a and a > 0, e == b and b < len(texts[i])
+                if not (left or right):
+                    found[i].append((kind, s, e, score))
+                elif not hopeless(kind, texts[i][s:e]):
+                    cut.append((i, max(0, 2 * a - b) if left else a, min(len(texts[i]), 2 * b - a) if right else b, (s, e), kind))
+        todo = wider([c[:4] for c in cut if not any(k == c[4] and s <= c[3][0] and c[3][1] <= e for k, s, e, _ in found[c[0]])])
     return [reconcile(f) for f in found]
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quernstone.llm import entry, toxicity
+from quernstone.llm import entry, pii, toxicity
 
 # -- op9_toxicity
 
@@ -31,3 +31,21 @@ def test_fewer_toxic_documents_are_missed(spark):
     at = "/root/testdata/sf0.1"
     rows = entry.queries()["op9_toxicity"](spark, at).join(spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
     assert sum(r["toxic"] and not r["rejected"] for r in rows) <= 34 and sum(r["rejected"] and not r["toxic"] for r in rows) <= 8  # 39 and 0 at a fixed cut of 0.5
+
+
+# -- op6_pii
+
+
+def test_long_spans_are_proposed_at_every_offset(monkeypatch):
+    """A tagger that takes all but full stops for an e-mail, as far as its window shows them."""
+
+    def decode(m, x):
+        inside = (x != pii.read_classes(".")[0]) & (x != pii.PAD)
+        first = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(first, 1, np.where(inside, 2, 0)), np.ones(x.shape)
+
+    monkeypatch.setattr(pii, "decode", decode)
+    for size in (20, 36, 48, 56, 63, 64, 90, 300):
+        texts = ["." * k + "a" * (size // 2) + "@" + "b" * (size - size // 2 - 1) + "." * 200 for k in range(64)]
+        assert pii.proposals({}, texts) == [[(0, k, k + size)] for k in range(64)]
+    assert pii.proposals({}, ["@" * 5000 + ".", ".7" * 40]) == [[], [(0, 2 * k + 1, 2 * k + 2) for k in range(40)]]
