@@ -88,9 +88,9 @@ def equal_at(stretch: np.ndarray, p: np.ndarray) -> int:
 class Index:
     """The q-grams of some items: for each hash the items and offsets where it stands."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...], q: int = Q, edits: float = EDITS):
+    def __init__(self, items: tuple[tuple[int | None, str], ...], q: int = Q, edits: float = EDITS):
         sym, first, _ = normal([t for _, t in items])
-        self.q, self.ids = q, np.array([i for i, _ in items], dtype=np.int64)
+        self.q, self.ids = q, [i for i, _ in items]
         self.sym = [sym[a : b - 1] for a, b in zip(first, first[1:], strict=False)]
         size = np.array([len(s) for s in self.sym], dtype=np.int64)
         self.size = size
@@ -167,8 +167,8 @@ class Index:
         end = int(row.argmin())
         return int(row[end]), int(since[end]), end + m
 
-    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text: (item id, start, end, edits) of what was found, places in the text itself; the best of each item and stretch."""
+    def find(self, texts: list[str]) -> list[list[tuple[int | None, int, int, int]]]:
+        """For each text: (item id or None, start, end, edits) of what was found, places in the text itself; the best of each item and stretch."""
         sym, first, place = normal(texts)
         out: list[dict] = [{} for _ in texts]
         stretches: list[list[int]] = []
@@ -195,27 +195,28 @@ class Index:
                     same = np.lib.stride_tricks.sliding_window_view(np.concatenate(([32], x)), len(s) + 2)
                     for at in np.flatnonzero((same == np.concatenate(([32], s, [32]))).all(axis=1)).tolist():
                         out[doc][k, int(place[first[doc] + at]), int(place[first[doc] + at + len(s) - 1]) + 1] = 0
-        return [sorted((int(self.ids[i]), s, e, d) for (i, s, e), d in x.items()) for x in out]
+        return [sorted(((self.ids[i], s, e, d) for (i, s, e), d in x.items()), key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) for x in out]
 
 
 @functools.lru_cache(maxsize=2)
-def index(items: tuple[tuple[int, str], ...], q: int, edits: float) -> Index:
+def index(items: tuple[tuple[int | None, str], ...], q: int, edits: float) -> Index:
     """One index for each part of the benchmark and worker process."""
     return Index(items, q, edits)
 
 
-def parts(benchmark: DataFrame, chars: int = PART_CHARS) -> list[tuple[tuple[int, str], ...]]:
+def parts(benchmark: DataFrame, chars: int = PART_CHARS) -> list[tuple[tuple[int | None, str], ...]]:
     """The items with text, in parts of about so many characters; only one part is on its way at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // chars)
-    return [tuple((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()) for i in range(n)]
+    return [tuple((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()) for i in range(n)]
 
 
 def with_regions(docs: DataFrame, benchmark: DataFrame, name: str = "regions", q: int = Q, edits: float = EDITS) -> DataFrame:
     """docs with a new column: array of (item, start, end, edits); a pass for each part of the benchmark, no shuffle.
 
-    Empty and null texts have none; an empty benchmark finds none; items null or without a letter or digit are ignored; an item that
+    Empty and null texts have none; an empty benchmark finds none; items whose text is null or without a letter or digit are ignored,
+    those without an id are searched too (null in the region's item); an item that
     stands more than once in a text has a region for each place.  Offsets are code points of the text, the end exclusive.
     """
     kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
@@ -240,10 +241,13 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
-    """doc_id, contaminated (0 or 1), n_items, items (ids in order), regions (item:start:end:edits, comma-joined) of each document."""
+    """doc_id, contaminated (0 or 1), n_items, items (ids in order), regions (item:start:end:edits, comma-joined) of each document.
+
+    Items without an id count as one more item, null.
+    """
     found = with_regions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "regions", q, edits)
     items = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["item"])))
-    said = F.array_join(F.transform(F.array_sort("regions"), lambda r: F.concat_ws(":", r["item"], r["start"], r["end"], r["edits"])), ",")
+    said = F.array_join(F.transform(F.array_sort("regions"), lambda r: F.concat_ws(":", F.coalesce(r["item"].cast("string"), F.lit("null")), r["start"], r["end"], r["edits"])), ",")
     return found.select("doc_id", (F.size("regions") > 0).cast("int").alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"), said.alias("regions"))
 
 

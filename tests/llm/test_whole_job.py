@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quernstone.llm import entry, pii, toxicity
+from quernstone.llm import decontaminate, entry, pii, toxicity
 
 # -- op9_toxicity
 
@@ -49,3 +49,17 @@ def test_long_spans_are_proposed_at_every_offset(monkeypatch):
         texts = ["." * k + "a" * (size // 2) + "@" + "b" * (size - size // 2 - 1) + "." * 200 for k in range(64)]
         assert pii.proposals({}, texts) == [[(0, k, k + size)] for k in range(64)]
     assert pii.proposals({}, ["@" * 5000 + ".", ".7" * 40]) == [[], [(0, 2 * k + 1, 2 * k + 2) for k in range(40)]]
+
+
+# -- op4_decontamination
+
+
+def test_items_without_id_are_searched(spark):
+    item, named = "the quick brown fox jumps over the lazy dog by the river", "seven wise owls sat on a branch and sang all night"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing to see here"), (3, f"{named} and {item}"), (4, "say zq."), (5, named)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (9, named), (None, "zq"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert {i: r["contaminated"] for i, r in got.items()} == {1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
+    assert got[1]["items"] == [None] and got[1]["regions"] == f"null:7:{7 + len(item)}:0" and got[3]["items"] == [9, None] and got[3]["n_items"] == 2
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [2]
+    assert sorted(str(i) for p in decontaminate.parts(benchmark, 30) for i, _ in p) == ["9", "None", "None"]
