@@ -270,7 +270,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
 
     class_id is the smallest doc_id of the class: the texts connected by links, a link being a Jaccard similarity of at least
     `threshold`.  n_links is the number of other texts linked with this row's; n_copies the number of rows with its text; kept is 1
-    for the row whose doc_id is the class_id.  Null and empty texts, and texts without a letter or digit, have no links; equal ones share a class.
+    for the rows of one text of the class whose doc_id is the class_id; where several texts of a class have that id, or none has an
+    id, it is the one with the smallest digest.  Null and empty texts, and texts without a letter or digit, have no links; equal ones share a class.
     Rows without id get the class of their text.  Other columns are not read.
     """
     stage = Stage(docs.sparkSession)
@@ -306,16 +307,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     links = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     tree = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), stage)
     tree = links.join(tree, "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
-    named = tree.join(reps.select("node", "rep"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "n_links", "class_id")
-    info = reps.select("node", "digest", "rep", "n_copies").join(named, "node", "left").select("digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"))
+    named = tree.join(reps.select("node", "rep", "digest"), "node")
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("first"))
+    named = named.join(chosen, "root").select("node", "n_links", F.col("first.rep").alias("class_id"), (F.col("digest") == F.col("first.digest")).alias("chosen"))
+    info = reps.select("node", "digest", "rep", "n_copies").join(named, "node", "left").select("digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
     info = stage.keep(info, "classes")
     stage.drop(reps, found)
-    return keyed.select("doc_id", "digest").join(info, "digest").select("doc_id", "digest", "class_id", "n_links", "n_copies", F.col("doc_id").eqNullSafe(F.col("class_id")).cast("int").alias("kept"))
+    return keyed.select("doc_id", "digest").join(info, "digest").select("doc_id", "digest", "class_id", "n_links", "n_copies", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).cast("int").alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is that of their class, repeated rows once; all columns as they are."""
+    """One row of docs of each class, the one that classes() keeps; all columns as they are."""
     name = fresh(docs, "digest")
     kept = classes(docs).where("kept = 1").select("doc_id", "digest").distinct()
     rows = docs.withColumn(name, digest(F.col("text")))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quernstone.llm import decontaminate, entry, pii, toxicity
+from quernstone.llm import decontaminate, entry, jaccard_join, pii, toxicity
 
 # -- op9_toxicity
 
@@ -51,6 +51,20 @@ def test_long_spans_are_proposed_at_every_offset(monkeypatch):
     assert pii.proposals({}, ["@" * 5000 + ".", ".7" * 40]) == [[], [(0, 2 * k + 1, 2 * k + 2) for k in range(40)]]
 
 
+# -- pipeline and op10_jaccard_join
+
+
+def test_one_of_each_class_without_or_with_equal_ids(spark):
+    base = [f"w{k}" for k in range(80)]
+    near = lambda p, k: " ".join([*(p + w for w in base[:-1]), f"end{k}"])
+    rows = [(None, near("a", k)) for k in (1, 2, 3, 3)] + [(7, near("b", k)) for k in (1, 2)] + [(4, near("c", 1)), (None, near("c", 2)), (None, "alone"), (9, "single")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard_join.one_of_each(docs).collect()
+    assert sorted(r["text"][0] for r in kept) == ["a", "a", "b", "c", "s"] and len({r["text"] for r in kept}) == 5
+    assert [r["doc_id"] for r in kept if r["text"][0] in "bc"] in ([7, 4], [4, 7])
+    assert {r["doc_id"]: r["kept"] for r in jaccard_join.classes(docs).where("doc_id in (4, 9)").collect()} == {4: 1, 9: 1}
+
+
 # -- op4_decontamination
 
 
