@@ -328,7 +328,7 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """The contents joined by a space, special tokens too: what a vocabulary file without a decoder means."""
-        return " ".join(self.content[i] for i in ids)
+        return " ".join([self.content[i] for i in ids])
 
 
 def runs_of(text: str) -> list[str]:
@@ -355,11 +355,12 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep_ids: bool)
         for rs in runs:
             got = [have[r] for r in rs]
             joined = " ".join([g[1] for g in got])
+            numbers = list(map(int, joined.split()))
             n.append(sum([g[0] for g in got]))
             ids.append(hashlib.sha256(joined.encode()).hexdigest())
-            text.append(hashlib.sha256(" ".join([g[2] for g in got]).encode("utf-8", "surrogatepass")).hexdigest())
+            text.append(hashlib.sha256(enc.decode(numbers).encode("utf-8", "surrogatepass")).hexdigest())
             if keep_ids:
-                raw.append([int(x) for x in joined.split()])
+                raw.append(numbers)
         cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids:

@@ -1,8 +1,11 @@
 """Cases from the review of round 1 in which an operator did less than the whole job."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 
-from quernstone.llm import decontaminate, entry, jaccard_join, pii, toxicity
+from quernstone.llm import bpe, decontaminate, entry, jaccard_join, pii, toxicity
 
 # -- op9_toxicity
 
@@ -77,3 +80,17 @@ def test_items_without_id_are_searched(spark):
     assert got[1]["items"] == [None] and got[1]["regions"] == f"null:7:{7 + len(item)}:0" and got[3]["items"] == [9, None] and got[3]["n_items"] == 2
     assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [2]
     assert sorted(str(i) for p in decontaminate.parts(benchmark, 30) for i, _ in p) == ["9", "None", "None"]
+
+
+# -- op2_bpe
+
+
+def test_decoded_digest_comes_from_the_ids(monkeypatch):
+    enc = bpe.encoder(bpe.tokenizer_path())
+    seen, decode = [], bpe.Encoder.decode
+    monkeypatch.setattr(bpe.Encoder, "decode", lambda self, ids: seen.append(ids) or decode(self, ids))
+    texts = ["Some words, 12 of them.", "", "x" * 500 + " é" * 3, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in bpe.encode_batches(iter([batch]), bpe.tokenizer_path(), True) for r in b.to_pylist()]
+    assert seen == [r["ids"] for r in rows]
+    assert [r["decoded_sha256"] for r in rows] == [hashlib.sha256(decode(enc, r["ids"]).encode()).hexdigest() for r in rows]
