@@ -65,11 +65,14 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataF
     """About per_class rows of each label, the same ones whatever the partitioning.
 
     A row stays where the hash of its key lies under per_class / (rows of its label); so the expected count is bounded by
-    per_class for each label.  Two passes over (key, label) only; the group-by combines before its shuffle.
+    per_class for each label.  Two passes over (key, label) only; the group-by combines before its shuffle.  All rows of a label with at most
+    per_class rows stay, so only the labels with more, a per_class-th of the rows at most, are sent to the rows; no row is shuffled.
+    Rows without a label are left out.
     """
-    share = F.broadcast(df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n")).limit(4096))
+    share = F.broadcast(df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n")).where(F.col("__n") > per_class))
     u = (F.xxhash64(F.lit(77), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
-    return df.join(share, F.col(label) == F.col("__label")).where(u * F.col("__n") < per_class).drop("__label", "__n")
+    kept = df.where(F.col(label).isNotNull()).join(share, F.col(label) == F.col("__label"), "left")
+    return kept.where(F.col("__n").isNull() | (u * F.col("__n") < per_class)).drop("__label", "__n")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = SLICE_CHARS, each: int = 16) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -98,12 +98,15 @@ def bundle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes (unit vectors) from rows (lang, text)."""
-    rows = small_batches(labelled).mapInArrow(bundle_batches, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
-    langs = sorted({r["lang"] for r in rows})
+    sums = small_batches(labelled).mapInArrow(bundle_batches, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    rows = sums.toArrow()  # DIMS rows a language
+    coded = rows["lang"].combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    rank = {x: i for i, x in enumerate(langs)}
+    which = np.array([rank[x] for x in names], dtype=np.int64)[coded.indices.to_numpy()]
     proto = np.zeros((len(langs), DIMS))
-    where = {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        proto[where[r["lang"]], r["at"]] = r["value"]
+    proto[which, rows["at"].to_numpy()] = rows["value"].to_numpy()
     return langs, unit(proto)
 
 

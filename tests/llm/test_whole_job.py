@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from quernstone.llm import bpe, decontaminate, entry, jaccard_join, pii, toxicity
+from quernstone.llm import bpe, common, decontaminate, entry, jaccard_join, language, pii, toxicity
 
 # -- op9_toxicity
 
@@ -82,6 +82,21 @@ def test_items_without_id_are_searched(spark):
     assert sorted(str(i) for p in decontaminate.parts(benchmark, 30) for i, _ in p) == ["9", "None", "None"]
 
 
+# -- op3_language_id
+
+
+def test_every_label_is_sampled(spark):
+    rows = spark.range(11_000).selectExpr("id", "case when id < 5000 then 'common' when id < 10990 then concat('rare', id) end as label").repartition(3)
+    got = {r["label"]: r["n"] for r in common.bounded_sample(rows, "label", "id", 100).groupBy("label").count().withColumnRenamed("count", "n").collect()}
+    assert len(got) == 5991 and all(n == 1 for k, n in got.items() if k != "common") and 50 < got["common"] < 200
+
+
+def test_languages_are_learned_in_order(spark):
+    rows = spark.createDataFrame([(x, f"{x} words of {x}") for x in ("b", "a", "ü", "c")] + [("d", "123")], "lang string, text string")
+    langs, proto = language.learn(rows)
+    assert langs == ["a", "b", "c", "ü"] and np.allclose((proto**2).sum(1), 1) and language.learn(rows.where("false"))[0] == []
+
+
 # -- op2_bpe
 
 
