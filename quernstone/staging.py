@@ -40,7 +40,6 @@ class Stage:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}", {}
-        self._files(self.root)[1].deleteOnExit(self._files(self.root)[0])
 
     def _files(self, path: str):
         sc = self.spark.sparkContext
@@ -50,6 +49,9 @@ class Stage:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
         df.write.parquet(path)
+        if not self.paths:
+            at, fs = self._files(self.root)
+            fs.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._quern_path = path
