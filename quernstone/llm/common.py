@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.staging import Stage, shared_dir
+
+__all__ = ["Stage", "attach", "bounded_sample", "codes", "crc_mod", "fresh", "shared_dir", "slices", "small_batches", "table"]
+
 #: Texts are handled in slices of about so many characters, so that scratch memory is bounded by a slice or by the longest text.
 SLICE_CHARS = 1 << 19
 BATCH_BYTES = "8388608b"
@@ -21,58 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Only where the session names none (tests) is a local one set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_quern_shared", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="quern-")
-            spark._quern_shared = found
-    return found
-
-
-class Stage:
-    """Writes intermediate tables into the shared folder, so that a lost executor costs a reread, not a recomputation.
-
-    ``keep`` writes and rereads a frame; ``drop`` removes the tables that the final plan does not read.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}", {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._quern_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._quern_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of an id's decimal text, mod m; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About per_class rows of each label, the same ones whatever the partitioning.
+def bounded_sample(df: DataFrame, label: str, keys: list[str], per_class: int) -> DataFrame:
+    """About per_class rows of each label at most, the same ones whatever the partitioning; equal (label, keys) give one row.
 
-    A row stays where the hash of its key lies under per_class / (rows of its label); so the expected count is bounded by
-    per_class for each label.  Two passes over (key, label) only; the group-by combines before its shuffle.  All rows of a label with at most
-    per_class rows stay, so only the labels with more, a per_class-th of the rows at most, are sent to the rows; no row is shuffled.
-    Rows without a label are left out.
+    A row stays where the hash of its keys lies under per_class / (rows of its label).  As rows with equal keys share their hash and only one of them
+    stays, the expected number is at most per_class a label also where one key is repeated any number of times.  Counting takes a pass over
+    the labels; the aggregates combine before their shuffles.  All keys of a label with at most per_class rows stay, so only the labels with
+    more, a per_class-th of the rows at most, are sent to the rows.  Rows without a label are left out.
     """
     share = F.broadcast(df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n")).where(F.col("__n") > per_class))
-    u = (F.xxhash64(F.lit(77), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
+    u = F.xxhash64(F.lit(77), *keys).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     kept = df.where(F.col(label).isNotNull()).join(share, F.col(label) == F.col("__label"), "left")
-    return kept.where(F.col("__n").isNull() | (u * F.col("__n") < per_class)).drop("__label", "__n")
+    kept = kept.where(F.col("__n").isNull() | (u * F.col("__n") < per_class)).drop("__label", "__n")
+    return kept.dropDuplicates([label, *keys])
+
+
+def one_text(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each (key, other columns but the text): that with the smallest hash of its text.  It combines before its shuffle."""
+    rest = [c for c in rows.columns if c != text]
+    first = F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"))).alias("__t")
+    return rows.groupBy(*rest).agg(first).select(*rest, F.col("__t.t").alias(text))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = SLICE_CHARS, each: int = 16) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -21,20 +21,24 @@ DIMS = 1024
 SEED = 20_011
 PER_LANGUAGE = 1500
 BLOCK = 4096
-BITS = 7
+BITS = 10
 SCALE = float(1 << 20)
 
 _tables: dict[str, np.ndarray] = {}
 
 
 def symbols() -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter; a letter of a-z or of Latin-1 has its own, others share 69."""
+    """Symbol of each code point: 0 for what is no letter; a letter of a-z or of Latin-1 has its own.
+
+    Others have the place in their block of 128 code points (scripts fill such blocks), so the letters of one script differ from each other, and
+    a block's number modulo 7 keeps most scripts that share places apart.
+    """
     if "symbols" not in _tables:
         own = {**{0x61 + i: 1 + i for i in range(26)}, **{0xDF + i: 27 + i for i in range(33)}}
-        out = np.zeros(0x110000, dtype=np.uint8)
+        out = np.zeros(0x110000, dtype=np.uint16)
         for c in range(0x110000):
             if chr(c).isalpha():
-                out[c] = own.get(c) or 60 + c % 68
+                out[c] = own.get(c) or 128 + (c >> 7) % 7 * 128 + c % 128
         _tables["symbols"] = out
     return _tables["symbols"]
 
@@ -47,6 +51,21 @@ def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(_tables["letters"])
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and each key's place among them, by a table where the keys are of the first symbols only."""
+    low = 60  # the symbols of a-z and Latin-1
+    narrow = ((key >> 2 * BITS) < low) & (((key >> BITS) & ((1 << BITS) - 1)) < low) & ((key & ((1 << BITS) - 1)) < low)
+    if not narrow.all():
+        return np.unique(key, return_inverse=True)
+    small = ((key >> 2 * BITS) * low + ((key >> BITS) & ((1 << BITS) - 1))) * low + (key & ((1 << BITS) - 1))
+    there = np.zeros(low**3, dtype=bool)
+    there[small] = True
+    found = np.flatnonzero(there)
+    column = np.zeros(low**3, dtype=np.int32)
+    column[found] = np.arange(len(found))
+    return (found // (low * low) << 2 * BITS) | (found // low % low << BITS) | found % low, column[small]
+
+
 def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each text's bundled vector (float32) and its number of letters."""
     points, starts = codes([t.lower() for t in texts])
@@ -60,12 +79,8 @@ def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return out, n_letters
     key = (sym[at - 1] << 2 * BITS) | (sym[at] << BITS) | sym[at + 1]
-    there = np.zeros(1 << 3 * BITS, dtype=bool)
-    there[key] = True
-    grams = np.flatnonzero(there)
-    column = np.zeros(1 << 3 * BITS, dtype=np.int32)
-    column[grams] = np.arange(len(grams))
-    col, owner = column[key], doc[at]
+    grams, col = distinct(key)
+    owner = doc[at]
     first, second, third = letters()
     mask = (1 << BITS) - 1
     for low in range(0, len(grams), BLOCK):
@@ -128,12 +143,13 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of (doc_id, text, lang).
 
     Rows whose crc32(doc_id) mod 4 is 2 are held out; the prototypes come from about `per_language` of the other rows of each
-    language.  Null texts and texts without a letter are `und` with score 0, as is everything where nothing could be learned.
+    language; rows equal in id, language and text count once in learning.  Null texts and texts without a letter are `und` with score 0, as is everything where nothing could be learned.
     Ties go to the first language in order.  Ids may be null or repeated.  Other columns are not read.
     """
     held = crc_mod("doc_id", 4) == 2
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs, proto = learn(bounded_sample(known, "lang", "doc_id", per_language).select("lang", "text"))
+    some = bounded_sample(known.withColumn("h", F.xxhash64("text")), "lang", ["doc_id", "h"], per_language)
+    langs, proto = learn(some.select("lang", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     return small_batches(rows).mapInArrow(lambda it: predict_batches(it, langs, proto), "doc_id long, held_out boolean, lang_pred string, score double")
 

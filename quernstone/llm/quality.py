@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, codes, crc_mod, slices, small_batches, table
+from .common import bounded_sample, codes, crc_mod, one_text, slices, small_batches, table
 
 PER_CLASS = 4000
 SHRINK_POOLED = 0.10
@@ -129,14 +129,15 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: dict | None) -> Iter
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted of each document.
 
-    Trains on about `per_class` labelled rows of each class whose crc32(doc_id) mod 5 is not 0.  Null texts are scored as empty.
+    Trains on about `per_class` labelled ids of each class whose crc32(doc_id) mod 5 is not 0; of rows that share an id one text is
+    learned from, and equal labels of an id count once.  Null texts are scored as empty.
     Where a class has fewer than two labelled rows, every score is 0.5.  Only doc_id, text and quality are read.
     """
     held = crc_mod("doc_id", 5) == 0
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = bounded_sample(marked, "quality", "doc_id", per_class)  # its size is bounded by per_class, so it can be broadcast
-    model = learn(rows.join(F.broadcast(some), "doc_id").select("quality", "text"))
+    some = bounded_sample(marked, "quality", ["doc_id"], per_class)  # its size is bounded by per_class, so it can be broadcast
+    model = learn(one_text(rows.join(F.broadcast(some), "doc_id")).select("quality", "text"))
     return small_batches(rows).select("doc_id", held.alias("held_out"), "text").mapInArrow(lambda it: score_batches(it, model), "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -5,6 +5,9 @@ word stems and over the probabilities of all categories before it.  For training
 learns from values as uncertain as it will meet; for prediction they come from the models fitted on all training rows.
 The words and stems are those with the largest chi-square statistic against the last category on the training rows.
 
+The labels have one mark, so the categories before the last are themes found in the training rows: the toxic rows are clustered by
+the selected words that speak for toxicity (spherical k-means with a fixed start), and a row is of a theme if it is toxic and of that cluster.
+
 Each class is sampled at its own rate, so training rows are weighted by the inverse of their class's rate: words, probabilities and the
 cut are those of the natural class mix, whatever the size of the tables.  The cut on the last probability is the one with the fewest
 misses and false alarms out of fold.
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, attach, bounded_sample, fresh, slices, small_batches, table
+from .common import Stage, attach, bounded_sample, fresh, one_text, slices, small_batches, table
 
 PER_CLASS = 4000
 N_WORDS = 256
@@ -30,12 +33,8 @@ FOLDS = 5
 RIDGE = 1.0
 THRESHOLD = 0.5
 WORD = re.compile(r"[^\W_]+")
-#: Words that tell which kind of toxicity a row labelled toxic has.  They shape training labels only.
-KINDS = {
-    "insult": "idiot moron loser clown scum fool jerk imbecile",
-    "contempt": "pathetic worthless stupid disgusting trash garbage useless dumb",
-}
-CATEGORIES = (*KINDS, "toxic")
+THEMES = 3
+CATEGORIES = (*(f"theme_{i + 1}" for i in range(THEMES)), "toxic")
 
 
 def words(text: str) -> set[str]:
@@ -108,26 +107,50 @@ def apply_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.column_stack(out)
 
 
+def themes(x: np.ndarray, n: int = THEMES, rounds: int = 20) -> np.ndarray:
+    """A cluster (0 to n - 1) for each row of x by spherical k-means; rows without a word, and all where there are no words, are of cluster 0.
+
+    The first centre is the row nearest the mean, each further one the row farthest from the centres before it; ties go to the earlier row.
+    """
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    v = x / np.where(size > 0, size, 1)
+    out = np.zeros(len(x), dtype=np.int64)
+    some = np.flatnonzero(size[:, 0] > 0)
+    if not len(some):
+        return out
+    v = v[some]
+    centres = [v[(v @ v.sum(axis=0)).argmax()]]
+    for _ in range(n - 1):
+        centres.append(v[np.max([v @ c for c in centres], axis=0).argmin()])
+    c = np.array(centres)
+    for _ in range(rounds):
+        own = (v @ c.T).argmax(axis=1)
+        new = np.array([v[own == k].sum(axis=0) if (own == k).any() else c[k] for k in range(n)])
+        new = new / np.maximum(np.sqrt((new * new).sum(axis=1, keepdims=True)), 1e-12)
+        if np.allclose(new, c):
+            break
+        c = new
+    out[some] = (v @ c.T).argmax(axis=1)
+    return out
+
+
 def label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, text) to (doc_id, toxic, one flag for each kind, distinct words)."""
-    kinds = [set(v.split()) for v in KINDS.values()]
+    """(doc_id, toxic, text) to (doc_id, toxic, distinct words)."""
     for batch, texts in slices(batches, 2):
-        ws = [words(t) for t in texts]
-        flags = [[int(bool(w & k)) for k in kinds] for w in ws]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.list_(pa.int32())), pa.array([sorted(w) for w in ws], pa.list_(pa.string()))], names=["doc_id", "toxic", "kinds", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
 
-def learn(labelled: DataFrame, n_words: int = N_WORDS, stands_for: dict[int, float] | None = None) -> dict | None:
+def learn(labelled: DataFrame, n_words: int = N_WORDS, counted: dict[int, int] | None = None) -> dict | None:
     """A chain and its cut from rows (doc_id, toxic, text), which must be a bounded sample; None unless both classes occur.
 
-    `stands_for`: of how many rows one row of each class is the sample.  `held_out` counts the training rows missed and falsely
+    `counted`: how many rows each class has where the sample comes from.  `held_out` counts the training rows missed and falsely
     rejected out of fold.
     """
-    stands_for = stands_for or {0: 1.0, 1: 1.0}
-    rows = small_batches(labelled).mapInArrow(label_batches, "doc_id long, toxic int, kinds array<int>, words array<string>")
+    rows = small_batches(labelled).mapInArrow(label_batches, "doc_id long, toxic int, words array<string>")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
+    stands_for = {c: max(1.0, (counted or sizes).get(c, 0) / sizes[c]) for c in (0, 1)}  # rows that one row of the sample is for
     n1 = stands_for[1] * sizes[1]
     n = stands_for[0] * sizes[0] + n1
     a = F.lit(stands_for[1]) * F.col("a")
@@ -137,16 +160,19 @@ def learn(labelled: DataFrame, n_words: int = N_WORDS, stands_for: dict[int, flo
         rows.select("toxic", F.explode("words").alias("word"))
         .groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("df"))
         .where((F.col("df") >= LEAST_ROWS) & (F.col("df") < sizes[0] + sizes[1]))
-        .orderBy((lift * lift / (df * (n - df))).desc(), "word").limit(n_words).select("word").collect()
+        .orderBy((lift * lift / (df * (n - df))).desc(), "word").limit(n_words).select("word", (lift > 0).alias("speaks")).collect()
     )
     vocab = {r["word"]: i for i, r in enumerate(chosen)}
+    speaks = np.array([r["speaks"] for r in chosen], dtype=bool)
     listed = F.array(*[F.lit(w) for w in vocab]) if vocab else F.array().cast("array<string>")
-    data = rows.select("doc_id", "toxic", "kinds", F.array_intersect("words", listed).alias("words")).orderBy("doc_id", "toxic").collect()
+    data = rows.select("doc_id", "toxic", F.array_intersect("words", listed).alias("words")).orderBy("doc_id", "toxic").collect()
     x = np.zeros((len(data), len(vocab)))
     for i, r in enumerate(data):
         x[i, [vocab[w] for w in r["words"]]] = 1
     toxic = np.array([r["toxic"] for r in data])
-    y = np.column_stack([*(np.array([r["kinds"] for r in data]).T * toxic), toxic])
+    theme = np.full(len(data), -1)
+    theme[toxic == 1] = themes(x[toxic == 1][:, speaks])
+    y = np.column_stack([*(theme == k for k in range(THEMES)), toxic]).astype(int)
     fold = np.array([(r["doc_id"] or 0) * 2_654_435_761 % (1 << 32) * FOLDS >> 32 for r in data])
     weight = np.where(toxic == 1, stands_for[1], stands_for[0])
     weight = weight / weight.mean()  # the ridge penalty is held against as many rows as were sampled
@@ -179,23 +205,24 @@ def score_batches(batches: Iterator[pa.RecordBatch], model: dict | None) -> Iter
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict | None:
+    """The model of about `per_class` labelled ids of each class; one text an id, copies of a text once."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    some = bounded_sample(marked, "toxic", "doc_id", per_class)  # its size is bounded by per_class, so it can be broadcast
+    some = bounded_sample(marked, "toxic", ["doc_id"], per_class)  # its size is bounded by per_class, so it can be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    found = rows.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
+    found = one_text(rows.join(F.broadcast(some), "doc_id"))
     once = found.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("doc_id", "toxic", "text"), F.struct("doc_id", "toxic")).alias("r")).select("r.*")  # copies count once
     stage = Stage(docs.sparkSession)
     sample = stage.keep(once, "sample")  # read several times; the documents are read once
-    stands_for = {0: 1.0, 1: 1.0} | {r["toxic"]: max(1.0, r["n"] / per_class) for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    model = learn(sample, stands_for=stands_for)
+    counted = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    model = learn(sample, counted=counted)
     stage.drop(sample)
     return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_toxic, rejected (1 where p_toxic >= the cut of the model) of each document; one pass without a shuffle.
+    """doc_id, p_theme_1 to p_theme_3, p_toxic, rejected (1 where p_toxic >= the cut of the model) of each document; one pass without a shuffle.
 
-    The chain is trained on about `per_class` labelled rows of each class, weighted back to the counted class sizes.  Null texts are scored as empty.  Without labelled rows
+    The chain is trained on about `per_class` labelled ids of each class, weighted back to the counted class sizes.  Null texts are scored as empty.  Without labelled rows
     of both classes all probabilities are 0.  Ids may be null or repeated.  Only doc_id, text and toxic are read.
     """
     model = train(docs, labels, per_class)
@@ -204,7 +231,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of docs that are not rejected, all columns as they are."""
+    """The rows of docs that are not rejected, all columns as they are.
+
+    Null and empty texts are scored as empty and stay unless an empty text is rejected; equal texts share their fate; an empty table stays empty; without labelled rows of
+    both classes every row stays.  Ids may be null or repeated; other columns, whatever their names, are not read.
+    """
     model = train(docs, labels, per_class)
     compute = lambda texts: [rejects(model, predict(model, texts)).tolist()]
     name = fresh(docs, "rejected")
