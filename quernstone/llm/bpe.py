@@ -5,12 +5,16 @@ its tokens is compatible: undoing the merges of both tokens in reverse order nev
 have come first.  That test runs on numpy arrays over all pairs not seen before; only words with an incompatible pair are
 merged step by step.
 
+Letter case, composition and letter classes come from this Python's Unicode tables.  The library has later ones, so runs with a character that
+these tables don't have, or have otherwise, are normalised and split by the library itself; proposing, verifying and merging are the same for them.
+
 The splitting rule of the vocabulary never lets a token cross white space (and neither canonical composition nor case mapping does),
 so the unit of work and of caching is a run without white space.  Caches are bounded and belong to a worker process.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -38,8 +42,26 @@ LONG = 192
 NONE = 1 << 30
 
 
+#: Marks whose order among marks the library's tables give otherwise.
+ODD_MARKS = "\u1df6\U0001e4ec\U0001e4ed"
+
+
+@functools.cache
+def rare() -> re.Pattern:
+    """A character that is unassigned in this Python's Unicode tables, or an odd mark."""
+    spans, begin = [], None
+    for c in range(0x80, 0x110001):
+        none = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if none and begin is None:
+            begin = c
+        elif not none and begin is not None:
+            spans.append(f"{chr(begin)}-{chr(c - 1)}")
+            begin = None
+    return re.compile("[" + "".join(spans) + ODD_MARKS + "]")
+
+
 def byte_chars() -> list[str]:
-    """The printable stand-in of each byte: itself where it prints in Latin-1, else the next code point from 256 on."""
+    """Fixed values, by rule: the printable stand-in of each byte: itself where it prints in Latin-1, else the next code point from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = iter(range(256, 512))
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
@@ -53,6 +75,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -83,7 +106,7 @@ class Encoder:
 
     def _trie(self, order: list[str]) -> None:
         """All tokens as paths of symbols: sorted edges (node, symbol), the nodes they lead to, and the token that ends at a node."""
-        byte_of = {c: b for b, c in enumerate(byte_chars())}
+        byte_of = self.byte_of = {c: b for b, c in enumerate(byte_chars())}
         edges: dict[int, int] = {}
         ends = {}
         for t, text in enumerate(order):
@@ -288,12 +311,7 @@ class Encoder:
     def _encode_runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
         if not runs:
             return []
-        joined = "\n".join(runs)
-        if joined.isascii():
-            pieces = PIECES_ASCII.findall(joined.lower())
-        else:
-            pieces = PIECES.findall(unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower())
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        raw = self._pieces("\n".join(runs), runs)
         sym = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         stop = np.cumsum(size)
@@ -310,6 +328,26 @@ class Encoder:
             a += n
         return out
 
+    def _pieces(self, joined: str, runs: list[str]) -> list[bytes]:
+        """The bytes of all pieces of the runs, a newline between runs."""
+        if joined.isascii():
+            return [p.encode() for p in PIECES_ASCII.findall(joined.lower())]
+        if not rare().search(joined):
+            return [p.encode("utf-8", "surrogatepass") for p in PIECES.findall(unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower())]
+        out = []
+        for i, r in enumerate(runs):
+            out += [b"\n"] if i else []
+            out += self._library_pieces(r) if rare().search(r) else self._pieces(r, [r])
+        return out
+
+    def _library_pieces(self, run: str) -> list[bytes]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))
+        return [bytes(self.byte_of[c] for c in p) for p, _ in found]
+
     def ready(self, runs: list[list[str]]) -> dict[str, tuple[int, str, str]]:
         """A dictionary that has all these runs: number of tokens, ids and contents joined by a space."""
         want = set().union(*runs) if runs else set()
@@ -392,7 +430,11 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and the text of its ids; null ids give null."""
+    """doc_id and the text of its ids; a null list gives null and an empty one the empty text.
+
+    Ids of rows may be null or repeated, a row each; an empty table gives no rows; a list with null or with a number that no token has fails the job.
+    Other columns are not read.
+    """
     return encoded.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{ids_col}` as ids").mapInArrow(lambda it: decode_batches(it, path), "doc_id long, text string")
 
 

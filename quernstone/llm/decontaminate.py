@@ -6,26 +6,28 @@ in overlapping diagonal bands, twice 2 e + 1 wide and half overlapping, so that
 Only bands that reach the bound are kept, and each is verified by a banded alignment of the item with that stretch of text (where the
 item stands there unchanged, comparing symbols is that alignment).
 
-Texts and items are compared as lower-case letters and digits with single spaces.  Items of under q characters are looked up as they are.
+Texts and items are compared as lower-case letters and digits with single spaces.  e is 8 % of m, rounded down, for every item.  q is 8, or
+for an item with which that gives no positive bound the largest q that does, m div (e + 1); so items of 1 to 7 characters (e = 0) are
+looked up as one q-gram, and must stand as whole words.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, codes, fresh, table
+from .common import Stage, attach, codes, fresh, table
 
 Q = 8
 EDITS = 0.08
 #: Items are sent to the executors in parts of so many characters; each part is a pass over the documents.
 PART_CHARS = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-FILTER_BITS = 22
 
 
 @functools.cache
@@ -86,47 +88,50 @@ def equal_at(stretch: np.ndarray, p: np.ndarray) -> int:
 
 
 class Index:
-    """The q-grams of some items: for each hash the items and offsets where it stands."""
+    """The q-grams of some items: for each q and hash the items and offsets where it stands."""
 
     def __init__(self, items: tuple[tuple[int | None, str], ...], q: int = Q, edits: float = EDITS):
         sym, first, _ = normal([t for _, t in items])
-        self.q, self.ids = q, [i for i, _ in items]
+        self.ids = [i for i, _ in items]
         self.sym = [sym[a : b - 1] for a, b in zip(first, first[1:], strict=False)]
-        size = np.array([len(s) for s in self.sym], dtype=np.int64)
-        self.size = size
-        self.budget = np.floor(size * edits).astype(np.int64)
-        # where the bound would not be positive, as many edits as keep it so
-        self.budget = np.minimum(self.budget, np.maximum((size - q) // q, 0))
-        self.bound = size + 1 - q * (self.budget + 1)
+        self.size = np.array([len(s) for s in self.sym], dtype=np.int64)
+        self.budget = np.floor(self.size * edits + 1e-9).astype(np.int64)
+        self.q = np.minimum(q, self.size // (self.budget + 1))
+        self.bound = self.size + 1 - self.q * (self.budget + 1)
         self.width = 2 * self.budget + 1
-        self.short = [(k, s) for k, s in enumerate(self.sym) if 0 < len(s) < q]
-        own = [grams(s, q) if len(s) >= q else np.zeros(0, np.uint64) for s in self.sym]
-        h = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        offset = np.concatenate([np.arange(len(x)) for x in own]) if own else np.zeros(0, np.int64)
+        self.whole = (self.size < q) & (self.budget == 0)  # these stand as whole words
+        self.by_q = [(int(n), *self._grams(np.flatnonzero(self.q == n), int(n))) for n in np.unique(self.q[self.size > 0])]
+
+    def _grams(self, items: np.ndarray, q: int) -> tuple[np.ndarray, ...]:
+        own = [grams(self.sym[k], q) for k in items.tolist()]
+        h = np.concatenate(own)
+        item = np.repeat(items, [len(x) for x in own])
+        offset = np.concatenate([np.arange(len(x)) for x in own])
         by = np.argsort(h, kind="stable")
-        self.item, self.offset = item[by], offset[by]
-        self.hashes, self.start, self.many = np.unique(h[by], return_index=True, return_counts=True)
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[(self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def bands(self, sym: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        hashes, start, many = np.unique(h[by], return_index=True, return_counts=True)
+        shift = np.uint64(64 - min(max(16, len(hashes).bit_length() + 3), 26))  # about one in eight places is taken
+        there = np.zeros(1 << (64 - int(shift)), dtype=bool)
+        there[(hashes >> shift).astype(np.int64)] = True
+        return item[by], offset[by], hashes, start, many, there, shift
+
+    def hits(self, sym: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each q: text, item, position and offset of every q-gram that a text and an item share."""
+        for q, items, offsets, hashes, start, many, there, shift in self.by_q:
+            h = grams(sym, q)
+            at = np.flatnonzero(there[(h >> shift).astype(np.int64)])
+            k = np.searchsorted(hashes, h[at])
+            k[k == len(hashes)] = 0
+            hit = hashes[k] == h[at]
+            at, k = at[hit], k[hit]
+            n = many[k]
+            pos = np.repeat(at, n)
+            which = np.repeat(start[k], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            doc = np.searchsorted(first, pos, side="right") - 1
+            inside = pos + q <= first[doc + 1] - 1  # not over a text's end
+            yield doc[inside], items[which[inside]], pos[inside], offsets[which[inside]]
+
+    def bands(self, first: np.ndarray, doc: np.ndarray, item: np.ndarray, pos: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, band) that reach the bound; band b of an item holds diagonals from b * width to (b + 2) * width."""
-        if not len(self.hashes):
-            return []
-        h = grams(sym, self.q)
-        at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        k = np.searchsorted(self.hashes, h[at])
-        k[k == len(self.hashes)] = 0
-        hit = self.hashes[k] == h[at]
-        at, k = at[hit], k[hit]
-        n = self.many[k]
-        pos = np.repeat(at, n)
-        which = np.repeat(self.start[k], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        item, offset = self.item[which], self.offset[which]
-        doc = np.searchsorted(first, pos, side="right") - 1
-        inside = pos + self.q <= first[doc + 1] - 1  # not over a text's end
-        pos, item, offset, doc = pos[inside], item[inside], offset[inside], doc[inside]
         diagonal = pos - first[doc] - offset
         band = np.floor_divide(diagonal, self.width[item])
         n_band = int(band.max(initial=0) - band.min(initial=0)) + 3
@@ -171,8 +176,24 @@ class Index:
         """For each text: (item id or None, start, end, edits) of what was found, places in the text itself; the best of each item and stretch."""
         sym, first, place = normal(texts)
         out: list[dict] = [{} for _ in texts]
+        for doc, item, pos, offset in self.hits(sym, first):
+            word = self.whole[item]
+            if word.any():
+                self._whole_words(sym, first, place, doc[word], item[word], pos[word], out)
+                doc, item, pos, offset = doc[~word], item[~word], pos[~word], offset[~word]
+            self._aligned(sym, first, place, self.bands(first, doc, item, pos, offset), out)
+        return [sorted(((self.ids[i], s, e, d) for (i, s, e), d in x.items()), key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) for x in out]
+
+    def _whole_words(self, sym, first, place, doc, item, pos, out) -> None:
+        end = pos + self.size[item]
+        fine = (sym[end] == 32) & ((pos == first[doc]) | (sym[np.maximum(pos - 1, 0)] == 32))
+        doc, item, pos, end = doc[fine], item[fine], pos[fine], end[fine]
+        for d, k, s, t in zip(doc.tolist(), item.tolist(), place[pos].tolist(), (place[end - 1] + 1).tolist(), strict=True):
+            out[d][k, s, t] = 0
+
+    def _aligned(self, sym, first, place, bands, out) -> None:
         stretches: list[list[int]] = []
-        for doc, item, band in self.bands(sym, first):
+        for doc, item, band in bands:
             if stretches and stretches[-1] == [doc, item, band - 1, band - 1]:
                 stretches[-1][3] = band  # two neighbours that overlap are aligned once
             else:
@@ -188,14 +209,6 @@ class Index:
                 found = (int(place[low + s]), int(place[low + t - 1]) + 1)
                 key = (item, *found)
                 out[doc][key] = min(out[doc].get(key, e), edits)
-        for k, s in self.short:
-            for doc in range(len(texts)):
-                x = sym[first[doc] : first[doc + 1]]
-                if len(x) > len(s):
-                    same = np.lib.stride_tricks.sliding_window_view(np.concatenate(([32], x)), len(s) + 2)
-                    for at in np.flatnonzero((same == np.concatenate(([32], s, [32]))).all(axis=1)).tolist():
-                        out[doc][k, int(place[first[doc] + at]), int(place[first[doc] + at + len(s) - 1]) + 1] = 0
-        return [sorted(((self.ids[i], s, e, d) for (i, s, e), d in x.items()), key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) for x in out]
 
 
 @functools.lru_cache(maxsize=2)
@@ -204,38 +217,52 @@ def index(items: tuple[tuple[int | None, str], ...], q: int, edits: float) -> In
     return Index(items, q, edits)
 
 
-def parts(benchmark: DataFrame, chars: int = PART_CHARS) -> list[tuple[tuple[int | None, str], ...]]:
-    """The items with text, in parts of about so many characters; only one part is on its way at a time."""
+def parts(benchmark: DataFrame, chars: int = PART_CHARS) -> Iterator[tuple[tuple[int | None, str], ...]]:
+    """The items with text, in parts of about so many characters; one part at a time is on the driver."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // chars)
-    return [tuple((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()) for i in range(n)]
+    for i in range(n):
+        yield tuple((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect())
 
 
-def with_regions(docs: DataFrame, benchmark: DataFrame, name: str = "regions", q: int = Q, edits: float = EDITS) -> DataFrame:
+def with_regions(docs: DataFrame, benchmark: DataFrame, name: str = "regions", q: int = Q, edits: float = EDITS, part_chars: int = PART_CHARS) -> DataFrame:
     """docs with a new column: array of (item, start, end, edits); a pass for each part of the benchmark, no shuffle.
 
     Empty and null texts have none; an empty benchmark finds none; items whose text is null or without a letter or digit are ignored,
-    those without an id are searched too (null in the region's item); an item that
-    stands more than once in a text has a region for each place.  Offsets are code points of the text, the end exclusive.
+    those without an id are searched too (null in the region's item), equal items each; of an item that stands more than once in a text each place
+    has a region, but of places that lie in one stretch of neighbouring bands only the best.  Offsets are code points of the text, the end
+    exclusive.  What a part found is written before the next part is fetched, so neither the driver nor a plan holds more than one part.
     """
     kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
     sql = "array<struct<item:bigint,start:bigint,end:bigint,edits:bigint>>"
     names = ("item", "start", "end", "edits")
     out = docs.withColumn(name, F.array().cast(sql))
     more = fresh(out, "more_regions")
-    for part in parts(benchmark):
+    stage, written, waiting = None, None, False
+    for part in parts(benchmark, part_chars):
+        if waiting:
+            stage = stage or Stage(docs.sparkSession)
+            out = stage.keep(out, "regions")
+            if written is not None:
+                stage.drop(written)
+            written = out
 
         def compute(texts: list[str], part=part) -> list:
             return [[[dict(zip(names, r, strict=True)) for r in rs] for rs in index(part, q, edits).find(texts)]]
 
         out = attach(out, [(more, sql, kind)], compute)
         out = out.withColumn(name, F.concat(name, more)).drop(more)
+        waiting = True
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item of the benchmark, all columns as they are."""
+    """The rows of docs that hold no item of the benchmark, all columns as they are.
+
+    Rows with null or empty texts stay; equal texts share their fate; an empty table stays empty and an empty benchmark takes nothing.
+    Ids may be null or repeated; other columns, whatever their names, are not read.
+    """
     name = fresh(docs, "regions")
     return with_regions(docs, benchmark, name).where(F.size(name) == 0).drop(name)
 
@@ -243,7 +270,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS) -> DataFrame:
     """doc_id, contaminated (0 or 1), n_items, items (ids in order), regions (item:start:end:edits, comma-joined) of each document.
 
-    Items without an id count as one more item, null.
+    Items without an id count as one more item, null.  Null and empty texts are not contaminated; ids may be null or repeated, a row each; an
+    empty table gives no rows.  Other columns are not read.
     """
     found = with_regions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, "regions", q, edits)
     items = F.array_sort(F.array_distinct(F.transform("regions", lambda r: r["item"])))

@@ -1,53 +1,94 @@
 """Sharding by longest processing time.
 
 Groups that must stay together (equal texts) are the jobs, their bytes the processing time.  Sorted by size they go to the
-least-loaded shard through a heap.  A heap over all groups would need them all on the driver, so jobs are made of bounded number:
+least-loaded shard through a heap.  Groups of equal size are interchangeable, so what the heap gets is not a row a group but a row a size, with
+the number of groups of that size: a run of n equal jobs goes to the shards by the n smallest of the loads at which each shard would begin its
+next one, which is what n turns of the heap would do.
 
-* a group larger than 1 / LARGE of all bytes is a job of its own (there are fewer than LARGE such groups);
-* every other group falls by the hash of its text into one of BUNDLES bundles, whose weights fall off in three tiers (nine
-  tenths of the bytes, nine hundredths, one hundredth), and a bundle is a job.  The heap ends with the small bundles, which level
-  what the large jobs left.
+So the driver holds a row for each distinct size: groups of more than 1 / LARGE of all bytes or rows by themselves (there are under 2 LARGE),
+sizes up to EXACT bytes as they are, and larger ones in steps of 1/512 of their size, a step's groups counted with their mean: at most
+2 LARGE + EXACT + 256 for each doubling beyond EXACT, however many texts there are.
 
-So at most LARGE + BUNDLES jobs reach the driver at any input size.  Copies of one text are counted by a hash aggregate that
-combines before its shuffle, and slots are numbered in (shard, bucket) parts with running offsets, so a group of copies with a
-third of all rows never meets in one task.
+Which groups of a size go to which shard is decided by their number within the size, given in buckets with running offsets, and slots are numbered in
+the same way; so neither a size that very many texts have nor a group of copies with a third of all rows meets in one task.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, table
+from .common import Stage, fresh, table
 
 N_SHARDS = 16
 LARGE = 4096
-TIERS = ((0.90, 2048), (0.09, 1024), (0.01, 1024))
-SLOT_ROWS = 50_000
+EXACT = 65_536
+STEP_BITS = 9
+PART_ROWS = 50_000
+
+
+def deal(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n jobs of one size each shard gets: of the values load + i * size (i = 0, 1, ...) the n smallest, ties to the smaller shard."""
+    at = np.array(loads, dtype=object)
+    low, high = int(min(at)), int(max(at)) + size * (n + 1)  # the largest value that is taken
+    while low < high:
+        mid = (low + high) // 2
+        if sum(max(0, (mid - x) // size + 1) for x in at) >= n:
+            high = mid
+        else:
+            low = mid + 1
+    out = [max(0, (low - 1 - x) // size + 1) for x in at]
+    left = n - sum(out)
+    for s, x in enumerate(at):
+        if left and x <= low and (low - x) % size == 0:
+            out[s] += 1
+            left -= 1
+    return out
 
 
-def lpt(jobs: list[tuple[str, int]], n_shards: int) -> dict[str, int]:
-    """Largest job first, each to the least-loaded shard (ties: the smaller shard; equal jobs by name)."""
+def lpt(jobs: list[tuple[str, int, int]], n_shards: int) -> dict[str, list[int]]:
+    """For each job (name, size, how many) the number that each shard gets: largest size first, each to the least-loaded shard (ties: the smaller one)."""
     heap = [(0, s) for s in range(n_shards)]
     out = {}
-    for name, size in sorted(jobs, key=lambda j: (-j[1], j[0])):
-        load, s = heap[0]
-        out[name] = s
-        heapq.heapreplace(heap, (load + size, s))
+    for name, size, n in sorted(jobs, key=lambda j: (-j[1], j[0])):
+        if n <= n_shards:
+            got = [0] * n_shards
+            for _ in range(n):
+                load, s = heap[0]
+                got[s] += 1
+                heapq.heapreplace(heap, (load + size, s))
+        else:
+            loads = [0] * n_shards
+            for load, s in heap:
+                loads[s] = load
+            got = deal(loads, size, n)
+            heap = [(x + k * size, s) for s, (x, k) in enumerate(zip(loads, got, strict=True))]
+            heapq.heapify(heap)
+        out[name] = got
     return out
 
 
-def _bundle(digest):
-    """Name of a digest's bundle: two independent hashes choose the tier and the bundle in it."""
-    u = F.pmod(F.xxhash64(F.lit(1), digest), F.lit(10_000)) / F.lit(10_000.0)
-    h, out, low = F.xxhash64(F.lit(2), digest), None, 0.0
-    for tier, (share, n) in enumerate(TIERS):
-        low += share
-        name = F.concat(F.lit(f"b{tier}:"), F.pmod(h, F.lit(n)).cast("string"))
-        out = F.when(u < low, name) if out is None else (out.otherwise(name) if tier == len(TIERS) - 1 else out.when(u < low, name))
-    return out
+def size_class(size: Column) -> Column:
+    """The size itself up to EXACT; beyond, the size without all but its STEP_BITS leading bits."""
+    drop = F.greatest(F.floor(F.log2(size.cast("double"))).cast("int") - (STEP_BITS - 1), F.lit(0))
+    return F.when(size <= EXACT, size).otherwise(F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop))
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], part: Column, count: int, name: str) -> DataFrame:
+    """rows with a gapless number from 0 within each value of `by`, given in parts (numbers part < some bound) that no task need hold together.
+
+    `count`: of rows, so that a part has about PART_ROWS at most.
+    """
+    at, ahead = fresh(rows, "part"), fresh(rows, "ahead")
+    parts = max(1, -(-count // PART_ROWS)) * 2
+    rows = rows.withColumn(at, F.pmod(part, F.lit(parts)))
+    before = Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    offset = rows.groupBy(by, at).agg(F.count("*").alias("n")).withColumn(ahead, F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy(by, at).orderBy(*order)
+    return rows.withColumn(name, F.row_number().over(within) - 1).join(offset, [by, at]).withColumn(name, (F.col(name) + F.col(ahead)).cast("long")).drop(at, ahead)
 
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,30 +109,27 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", tex
         ),
         "keyed",
     )
-    groups = keyed.groupBy("group_sha256").agg(F.sum("size").alias("size"))
     total, rows = keyed.agg(F.sum("size"), F.count("*")).first()
     total, rows = total or 0, rows or 0
-    unit = F.when(F.col("size") * LARGE > total, F.concat(F.lit("g:"), F.hex("group_sha256"))).otherwise(_bundle(F.col("group_sha256")))
-    jobs = groups.groupBy(unit.alias("unit")).agg(F.sum("size").alias("size")).collect()  # at most LARGE + BUNDLES rows
-    placed = lpt([(r["unit"], r["size"]) for r in jobs], n_shards)
-    plan = spark.createDataFrame(sorted(placed.items()) or [("", 0)], "unit string, shard int")
-    large, bundles = plan.where(F.col("unit").startswith("g:")), plan.where(~F.col("unit").startswith("g:"))
-    buckets = max(1, -(-rows // (n_shards * SLOT_ROWS)) * 8)
-    put = (
-        keyed.join(F.broadcast(large.select(F.unhex(F.substring("unit", 3, 64)).alias("group_sha256"), F.col("shard").alias("own"))), "group_sha256", "left")
-        .withColumn("unit", _bundle(F.col("group_sha256")))
-        .join(F.broadcast(bundles.withColumnRenamed("shard", "shared")), "unit", "left")
-        .withColumn("shard", F.coalesce("own", "shared"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(buckets)))
-    )
-    ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = put.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "group_sha256")
-    return (
-        put.withColumn("at", F.row_number().over(within))
-        .join(offset, ["shard", "bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.hex("group_sha256").alias("group_sha256"))
-    )
+    groups = keyed.groupBy("group_sha256").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    alone = (F.col("bytes") * LARGE > total) | (F.col("n") * LARGE > rows)
+    groups = stage.keep(groups.select("group_sha256", "bytes", F.when(alone, F.hex("group_sha256")).alias("own"), size_class(F.col("bytes")).alias("class")), "groups")
+    own = groups.where("own is not null").select("own", "bytes").collect()  # under 2 LARGE rows
+    classes = groups.where("own is null").groupBy("class").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()  # a row a size
+    count = sum(r["n"] for r in classes)
+    placed = lpt([(r["own"], r["bytes"], 1) for r in own] + [(f"c:{r['class']}", -(-r["bytes"] // r["n"]), r["n"]) for r in classes], n_shards)
+    large = spark.createDataFrame([(r["own"], placed[r["own"]].index(1)) for r in own] or [("", 0)], "own string, shard int")
+    # the groups of a size, in the order of their numbers, fill the shards one after the other; a row holds where each shard ends
+    ends = spark.createDataFrame([(r["class"], np.cumsum(placed[f"c:{r['class']}"]).tolist()) for r in classes] or [(0, [0])], "class long, ends array<long>")
+    small = numbered(groups.where("own is null").select("group_sha256", "class"), "class", ["group_sha256"], F.xxhash64("group_sha256", F.lit(3)), count, "number")
+    small = small.join(F.broadcast(ends), "class").select("group_sha256", F.size(F.filter("ends", lambda e: e <= F.col("number"))).alias("shard"))
+    # rows of large groups are told by a broadcast; the groups left have no more than a LARGE-th of the rows each
+    told = keyed.join(F.broadcast(large.select(F.unhex("own").alias("group_sha256"), F.col("shard").alias("own"))), "group_sha256", "left")
+    put = told.where("own is not null").withColumnRenamed("own", "shard").unionByName(told.where("own is null").drop("own").join(small, "group_sha256"))
+    put = stage.keep(put.withColumn("row", F.monotonically_increasing_id()), "put")  # written, so a row keeps its number; equal rows have different ones
+    slots = numbered(put, "shard", ["doc_id", "group_sha256", "row"], F.xxhash64("row", F.lit(3)), -(-rows // n_shards), "slot")
+    stage.drop(keyed, groups)
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.hex("group_sha256").alias("group_sha256"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

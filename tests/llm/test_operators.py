@@ -23,15 +23,26 @@ def texts(spark):
 # -- sharding
 
 
-def test_lpt_is_greedy_and_near_equal():
-    rng = random.Random(1)
-    jobs = [(str(i), rng.randint(1, 1000)) for i in range(500)]
-    placed = shard.lpt(jobs, 7)
-    load = [0] * 7
-    for name, size in sorted(jobs, key=lambda j: (-j[1], j[0])):
-        assert placed[name] == load.index(min(load))
-        load[placed[name]] += size
-    assert max(load) - min(load) <= max(s for _, s in jobs)
+def loads_of_a_heap(sizes, n):
+    load = [0] * n
+    for size in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += size
+    return load
+
+
+@pytest.mark.parametrize("top", [3, 40, 1000])
+def test_lpt_over_sizes_equals_lpt_over_groups(top):
+    rng = random.Random(top)
+    sizes = [rng.randint(1, top) for _ in range(700)]
+    placed = shard.lpt([(str(s), s, n) for s, n in collections.Counter(sizes).items()], 7)
+    load = [sum(int(name) * got[k] for name, got in placed.items()) for k in range(7)]
+    assert sum(sum(got) for got in placed.values()) == 700 and sorted(load) == sorted(loads_of_a_heap(sizes, 7))
+
+
+def test_size_classes(spark):
+    sizes = [1, 2, 255, 65_535, 65_536, 65_537, 70_000, 1 << 20, (1 << 20) + 4095, (1 << 40) + 12345]
+    got = [r["c"] for r in spark.createDataFrame([(s,) for s in sizes], "s long").select("s", shard.size_class(F.col("s")).alias("c")).orderBy("s").collect()]
+    assert all(c == s for c, s in zip(got, sizes, strict=True) if s <= shard.EXACT) and all(0 <= s - c <= s / 256 for c, s in zip(got, sizes, strict=True))
 
 
 def test_sharding(spark, texts):
@@ -45,7 +56,10 @@ def test_sharding(spark, texts):
         slots[r["shard"]].append(r["slot"])
         assert home.setdefault(t, r["shard"]) == r["shard"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(load) == 16
-    assert max(load.values()) - min(load.values()) <= max(len(t.encode()) + 1 for t in texts.values())
+    groups = collections.Counter()
+    for t in texts.values():
+        groups[t] += len(t.encode()) + 1
+    assert sorted(load.values()) == sorted(loads_of_a_heap(groups.values(), 16))  # what a heap over all groups gives
 
 
 # -- BPE and token counts
@@ -83,6 +97,14 @@ def test_encoder_equals_library(enc, library, texts):
         assert enc.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("context", ["{}", "a{}b", "{}\u0301x"])
+def test_every_code_point_as_the_library_has_it(library, context):
+    own = bpe.Encoder(bpe.tokenizer_path())
+    for low in range(0, 0x110000, 4096):
+        text = " ".join(context.format(chr(c)) for c in range(low, low + 4096) if not 0xD800 <= c < 0xE000)
+        assert not text or ours(own, text) == library.encode(text, add_special_tokens=False).ids, hex(low)
+
+
 def test_verification_agrees_with_merging(enc):
     """A proposal is kept exactly when it is what merging gives."""
     rng = random.Random(5)
@@ -205,10 +227,12 @@ def test_regions_equal_brute_force():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("aeiostn") for _ in range(rng.randint(2, 6)))
     items = [(i, " ".join(word() for _ in range(rng.randint(3, 25)))) for i in range(12)] + [(90, "abc"), (91, "zq")]
+    items += [(100 + n, "".join(rng.choice("bcdfghklm") for _ in range(n))) for n in range(8, 17)]  # around the least length with an edit
     index = decontaminate.Index(tuple(items))
-    texts, want = [], []
-    for _ in range(60):
-        k = rng.randrange(12)
+    assert [int(index.budget[k]) for k, (_, s) in enumerate(items)] == [int(len(s) * 0.08 + 1e-9) for _, s in items]
+    texts = []
+    for n in range(150):
+        k = n % len(items)
         budget, z = int(index.budget[k]), list(items[k][1])
         for _ in range(rng.randint(0, budget + 2)):
             at, kind = rng.randrange(len(z)), rng.randrange(3)
@@ -221,15 +245,29 @@ def test_regions_equal_brute_force():
         texts.append(" ".join(word() for _ in range(8)) + " " + "".join(z) + " " + " ".join(word() for _ in range(8)) + rng.choice(["", " abc.", " abcd"]))
     found = index.find(texts)
     for t, got in zip(texts, found, strict=True):
+        norm = re.sub(r"[\W_]+", " ", t.lower()).strip()
         for k, (i, s) in enumerate(items):
-            norm = re.sub(r"[\W_]+", " ", t.lower()).strip()
-            if len(s) < decontaminate.Q:
-                want = f" {s} " in f" {norm} "
-            else:
-                want = least_edits(s, norm) <= int(index.budget[k])
+            want = f" {s} " in f" {norm} " if len(s) < decontaminate.Q else least_edits(s, norm) <= int(index.budget[k])
             assert want == any(g[0] == i for g in got), (t, s)
 
 
+@pytest.mark.parametrize("n", range(12, 18))
+def test_one_substitution_in_a_short_item(n):
+    item = "abcdefghijklmnopqrstuvwxyz"[:n]
+    for at in range(n):
+        text = "some words " + item[:at] + "9" + item[at + 1 :] + " and more"
+        assert bool(decontaminate.Index(((1, item),)).find([text])[0]) == (n >= 13)
+
+
+def test_a_benchmark_in_parts(spark):
+    items = spark.createDataFrame([(i, f"item number {i} with its own words {i * 7919}") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before it. Item number {i}: with its own words {i * 7919}! after") for i in range(0, 60, 3)], "doc_id long, text string")
+    whole = {r["doc_id"]: r["regions"] for r in decontaminate.with_regions(docs, items).collect()}
+    parted = {r["doc_id"]: r["regions"] for r in decontaminate.with_regions(docs, items, part_chars=300).collect()}
+    key = lambda rs: sorted(map(tuple, rs))
+    assert {i: key(r) for i, r in whole.items()} == {i: key(r) for i, r in parted.items()} and all(bool(r) == (i < 40) for i, r in whole.items())
+
+
 def test_decontamination_finds_whole_items(spark, texts):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     norm = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()
