@@ -2,11 +2,13 @@
 
 The base patterns (e-mail, IPv4, card with Luhn digits, international phone) are always kept.  The tagger is trained in numpy from
 labelled spans: windows of sampled documents with the base patterns' spans, and the same texts with generated examples set in, also in
-shapes that the base patterns miss, and with look-alikes that are no personal data.  It reads characters as 21 classes.
+shapes that the base patterns miss (spaced, bracketed and worded e-mails, bracketed addresses, cards and phones with other separators), and with
+look-alikes that are no personal data.  It reads characters as classes.
 
-A kind of personal data here always has a digit or an @, so only windows around those are tagged; every such window of every
-text is.  Windows overlap by half.  A span cut by a window's edge that no neighbour holds whole is tagged again in a window widened
-until no edge cuts it, and what the windows of a text propose is reconciled by the best set of spans that do not overlap.  A proposal must pass its kind's exact check and stay clear of all base spans to be added.
+A span must pass its kind's exact check to be added, and no span passes without a digit, an @, a bracketed at or a worded dot.  So
+windows that hold none of these are not tagged: nothing that they propose could be added.  Every other window of every text is.  Windows overlap by half.  A span cut by
+a window's edge that no neighbour holds whole is tagged again in a window widened until no edge cuts it, so there is no greatest length; what the
+windows of a text propose is reconciled by the best set of spans that do not overlap.  Spans that overlap a base span are left out.
 """
 
 from __future__ import annotations
@@ -26,10 +28,16 @@ from .common import Stage, attach, fresh, slices, small_batches, table
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 64
 STRIDE = 32
+#: A span that ends so near to a window's edge may go on beyond it, and counts as cut.
+MARGIN = 8
 HIDDEN = 16
-STEPS = 240
+STEPS = 480
+#: Every such batch is of windows twice as wide, where long spans stand whole.
+WIDE_EVERY = 4
 BATCH = 64
 SAMPLE_DOCS = 400
+#: A sampled document gives so many stretches of so many characters, from anywhere in it.
+STRETCHES, STRETCH = 6, 900
 SEED = 7
 TAGS = 1 + 2 * len(KINDS)  # none; then for each kind its first and its further characters
 NO = -1e4
@@ -39,7 +47,14 @@ EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+HAS_BASE = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]|\sdot\s", re.I)
+AT = re.compile(r"\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?", re.I)
+WORD_AT = re.compile(r"\sat\s", re.I)
+DOT = re.compile(r"\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?|\sdot\s|\s\.\s", re.I)
+#: What goes on with an e-mail after one of its labels: more of the label, or a dot of any form and another label.
+LABEL = re.compile(r"[^\W_]+|-+[^\W_]+|\.[^\W_]+|(?:\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?|\sdot\s)[^\W_]+", re.I)
+ADDRESS = re.compile(r"[^\W_][^\s@]*@[^\s@.]+(\.[^\s@.]+)*\.[^\W\d_]{2,}")
 NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -79,7 +94,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[Span]:
     """All base spans by kind, then start."""
-    if not TRIGGER.search(text):
+    if not HAS_BASE.search(text):
         return []
     out = [(0, a, b) for a, b in emails(text)]
     for kind, pattern in ((1, IP), (2, CARD), (3, PHONE)):
@@ -87,24 +102,35 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def address(s: str) -> str:
+    """An e-mail as it would be written plainly; a worded at counts only where a dot is worded or bracketed."""
+    worded = DOT.search(s) is not None
+    s = DOT.sub(".", s)
+    return WORD_AT.sub("@", s) if worded and not AT.search(s) else AT.sub("@", s)
+
+
 def plausible(kind: int, text: str, a: int, b: int) -> bool:
     """The exact check of a proposed span: its shape, and no letter or digit next to it."""
     s = text[a:b]
     if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
         return False
     if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+\s?@\s?[^\s@.]+(\.[^\s@.]+)+", s))
+        return bool(ADDRESS.fullmatch(address(s)))
+    if kind == 1:
+        s = DOT.sub(".", s)
+        return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s)) and fine(1, s)
     digits = NOT_DIGIT.sub("", s)
     if kind == 3:
-        return bool(re.fullmatch(r"[+(]?[0-9][\x20().0-9-]+[0-9]", s)) and 10 <= len(digits) <= 15 and len(s) - len(digits) >= 2 and not re.fullmatch(r"[0-9]+(\.[0-9]+)*", s)
-    return bool(re.fullmatch(r"[0-9][\x20.0-9-]*[0-9]", s)) and fine(kind, s if kind == 1 else digits)
+        return bool(re.fullmatch(r"[+(]?[0-9][\x20()./-]+[0-9][\x20()./0-9-]*[0-9]|[+(][0-9][\x20()./0-9-]+[0-9]|[0-9]{2,5}[\x20()./-][\x20()./0-9-]+[0-9]", s) and 10 <= len(digits) <= 15 and len(s) - len(digits) >= 2 and not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s))
+    return bool(re.fullmatch(r"[0-9]([\x20._/-]{0,2}[0-9])*", s)) and fine(2, digits)
 
 
 # -- characters and training windows -----------------------------------------------------------------------------------------
 
-MARKS = "@.-_+()% :/\"=,\n"  # these have a class each
+MARKS = "@.-_+()% :/\"=,\n[]{}"  # these have a class each
+WORDED = "atdo"  # and so have the letters of the worded at and dot
 PAD, LOWER, UPPER, DIGIT, LETTER, OTHER = range(6)
-CLASSES = 6 + len(MARKS)
+CLASSES = 6 + len(MARKS) + len(WORDED)
 
 
 def classes() -> np.ndarray:
@@ -117,6 +143,8 @@ def classes() -> np.ndarray:
         out[0x61:0x7B], out[0x41:0x5B], out[0x30:0x3A] = LOWER, UPPER, DIGIT
         for i, ch in enumerate(MARKS):
             out[ord(ch)] = 6 + i
+        for i, ch in enumerate(WORDED):
+            out[ord(ch)] = out[ord(ch.upper())] = 6 + len(MARKS) + i
         _cache["classes"] = out
     return _cache["classes"]
 
@@ -128,35 +156,46 @@ def read_classes(text: str) -> np.ndarray:
     return classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
-def example(rng: random.Random) -> tuple[str, int | None]:
+def example(rng: random.Random, longest: int = 120) -> tuple[str, int | None]:
     """A generated string and its kind; None for a look-alike."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
-    pick = rng.randrange(16)
-    if pick < 3:
-        return w() + rng.choice(["", ".", "_", "-", "+"]) + rng.choice([w(), d(2)]) + rng.choice(["@", "@", " @ "]) + ".".join(w() for _ in range(rng.randint(2, 3))), 0
-    if pick < 5:
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4)), 1
-    if pick < 7:
+    w = lambda low=2, high=9: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+    pick = rng.randrange(24)
+    if pick < 8:
+        at = rng.choice(["@", "@", " @ ", "[at]", " [at] ", "(at)", " (at) ", "{at}", " at ", " AT "])
+        dot = " dot " if at in (" at ", " AT ") else rng.choice([".", ".", ".", " dot ", "[dot]", "(dot)", " [dot] ", "[.]", " . "])
+        local = rng.choice([w(), w().capitalize(), w() + rng.choice("._-+") + w(), w() + d(2), w(1, 1) + "." + w()])
+        host = [w() + rng.choice(["", "", "-" + w(), d(1)]) for _ in range(rng.randint(1, 2))] + [rng.choice(["com", "org", "net", "de", "co", "info", w(2, 4)])]
+        if rng.random() < 0.3:  # long ones
+            local += "".join(rng.choice("._-") + w() for _ in range(rng.randint(2, 6)))
+            host = [w() for _ in range(rng.randint(1, 3))] + host
+        s = local + at + dot.join(host)
+        return (s, 0) if len(s) <= longest else ("a.b" + at + "c" + dot + "org", 0)
+    if pick < 11:
+        parts, dot = [str(rng.randint(0, 255)) for _ in range(4)], rng.choice([".", ".", "[.]", "(.)", " . ", "[dot]"])
+        return dot.join(parts), 1
+    if pick < 14:
         body = d(15)
         full = next(body + c for c in "0123456789" if luhn(body + c))
-        sep = rng.choice(["", " ", "-", "."])
+        sep = rng.choice(["", " ", "-", ".", "/", "_", "  ", " - "[:2]])
         return sep.join(full[i : i + 4] for i in range(0, 16, 4)), 2
-    if pick < 11:
+    if pick < 18:
         a, b, c = d(3), d(3), d(4)
-        return rng.choice([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}"]), 3
+        return rng.choice([f"+{rng.randint(1, 99)} ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"{a}/{b}-{c}", f"00{d(2)} {a} {b} {c}", f"0{a} {b} {c}"]), 3
+    year = rng.randint(1900, 2030)
     return rng.choice([
-        f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', f"version {rng.randint(1, 9)}.{rng.randint(0, 20)}", f"{rng.randint(1900, 2030)}-{d(2)}-{d(2)}",
-        f"{d(rng.randint(1, 7))}.{d(2)}", d(rng.randint(1, 9)), f"{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 99)}", f"@{w()}", f"{w()}{d(2)}", f"{rng.randint(1, 12)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}",
+        f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', f"version {rng.randint(1, 9)}.{rng.randint(0, 20)}", f"{year}-{d(2)}-{d(2)}", f"{year}-{d(2)}-{d(2)} {d(2)}:{d(2)}:{d(2)}",
+        f"{d(rng.randint(1, 7))}.{d(2)}", d(rng.randint(1, 9)), f"{rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 99)}", f"@{w()}", f"{w()}{d(2)}", f"{rng.randint(1, 12)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"{d(2)}/{d(2)}/{year}",
+        f"{w()} at {w()}", f"{w()} dot {w()}", f"{w()} at the dot {w()}", f"{w()} at {w()}. {w().capitalize()}", f"{w()}@{w()}", f"[{d(1)}] {w()}", f"({w()}) {w()}", f"{d(3)}-{d(2)}", f"{d(4)} {d(4)}", f"{d(8)}-{d(4)}", f"{year}-{year + 1}",
     ]), None
 
 
-def training_windows(texts: list[str], n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], n: int, seed: int = SEED, wide: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Classes and tags of n windows: from the texts around base spans, and with generated examples set in."""
     rng = random.Random(seed)
     texts = [t for t in texts if t] or ["a text of plain words. "]
     real = [(t, s) for t in texts for s in base_spans(t)]
-    x, y = np.zeros((n, WINDOW), dtype=np.uint8), np.zeros((n, WINDOW), dtype=np.int8)
+    x, y = np.zeros((n, wide), dtype=np.uint8), np.zeros((n, wide), dtype=np.int8)
     for i in range(n):
         if real and rng.random() < 0.25:
             text, (_, a, b) = real[rng.randrange(len(real))]
@@ -166,19 +205,21 @@ def training_windows(texts: list[str], n: int, seed: int = SEED) -> tuple[np.nda
         else:
             text = texts[rng.randrange(len(texts))]
             o = rng.randrange(len(text))
-            text = text[o : o + 100]
+            text = text[o : o + 2 * wide]
             s, kind = example(rng)
-            before, after = text[: rng.randrange(60)], text[60:]
+            before, after = text[: rng.randrange(wide)], text[wide:]
             lead = before + rng.choice([" ", " ", " ", "\n", ": ", ""][: 6 if before[-1:].isspace() or not before else 5])
             text = lead + s + rng.choice([" ", " ", ".", ",", "\n"]) + after
             a, b = len(lead), len(lead) + len(s)
             spans = [(kind, a, b)] if kind is not None else []
-        low = max(0, min(rng.randint(b - WINDOW, a), len(text) - 1)) if b - a < WINDOW else a
-        part = text[low : low + WINDOW]
+        # a third of the windows cut the span
+        low = rng.randint(b - wide, a) if b - a < wide and rng.random() < 0.67 else rng.randint(a - wide // 2, b - wide // 2)
+        low = max(0, min(low, len(text) - 1))
+        part = text[low : low + wide]
         x[i, : len(part)] = read_classes(part)
         for kind, s, e in spans:
             s, e = s - low, e - low
-            if e > 0 and s < WINDOW:
+            if e > 0 and s < wide:
                 y[i, max(s, 0) : e] = 2 + 2 * kind
                 if s >= 0:
                     y[i, s] = 1 + 2 * kind
@@ -235,18 +276,18 @@ def lstm(m: dict, d: str, x: np.ndarray) -> dict:
 
 def lstm_back(m: dict, d: str, run: dict, dh: np.ndarray, grad: dict) -> None:
     n, t = run["x"].shape
-    next_h, next_c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
-    dz_all = np.empty((n, t, 4 * HIDDEN))
+    next_h, next_c = np.zeros((n, HIDDEN), dh.dtype), np.zeros((n, HIDDEN), dh.dtype)
+    dz_all = np.empty((n, t, 4 * HIDDEN), dh.dtype)
     for k in range(t - 1, -1, -1):
-        i, f, o, g, tc, before = run["gates"][k]
+        i, f, o, g, tc, _ = run["gates"][k]
         a = dh[:, k] + next_h
         dc = next_c + a * o * (1 - tc * tc)
         dz = np.concatenate([dc * g * i * (1 - i), dc * run["cells"][k] * f * (1 - f), a * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
         dz_all[:, k] = dz
-        grad["u" + d] += before.T @ dz
         next_h, next_c = dz @ m["u" + d].T, dc * f
     flat = dz_all.reshape(-1, 4 * HIDDEN)
-    hot = np.zeros((flat.shape[0], CLASSES))
+    grad["u" + d] += np.stack([g[5] for g in run["gates"]], 1).reshape(-1, HIDDEN).T @ flat
+    hot = np.zeros((flat.shape[0], CLASSES), dh.dtype)
     hot[np.arange(len(hot)), run["x"].ravel()] = 1
     grad["x" + d] += hot.T @ flat
     grad["c" + d] += flat.sum(0)
@@ -258,28 +299,29 @@ def emissions(m: dict, x: np.ndarray) -> tuple[np.ndarray, dict, dict, np.ndarra
     return both @ m["o"] + m["ob"], forth, back, both
 
 
-def logsum(v: np.ndarray, axis: int) -> np.ndarray:
-    top = v.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(v - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def step(m: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-    """Mean negative log-likelihood of the tags and its gradient."""
+    """Mean negative log-likelihood of the tags and its gradient; forward and backward sums are scaled at each character."""
     e, forth, back, both = emissions(m, x)
     n, t, _ = e.shape
-    trans, at = m["t"] + allowed(), np.arange(n)
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[:, 0] = e[:, 0] + m["s"]
-    for k in range(1, t):
-        alpha[:, k] = e[:, k] + logsum(alpha[:, k - 1, :, None] + trans, 1)
+    trans, at = m["t"] + allowed().astype(e.dtype), np.arange(n)
+    top = e.max(axis=2, keepdims=True)
+    seen, move = np.exp(e - top), np.exp(trans)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((n, t), e.dtype)
+    a = np.exp(m["s"]) * seen[:, 0]
+    for k in range(t):
+        if k:
+            a = (a @ move) * seen[:, k]
+        scale[:, k] = a.sum(axis=1)
+        a = a / scale[:, k, None]
+        alpha[:, k] = a
     for k in range(t - 2, -1, -1):
-        beta[:, k] = logsum(trans[None] + (e[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-    z = logsum(alpha[:, -1], 1)
+        beta[:, k] = ((seen[:, k + 1] * beta[:, k + 1]) @ move.T) / scale[:, k + 1, None]
+    z = np.log(scale).sum(1) + top.sum((1, 2))
     gold = m["s"][y[:, 0]] + e[at[:, None], np.arange(t), y].sum(1) + trans[y[:, :-1], y[:, 1:]].sum(1)
     grad = {k: np.zeros_like(v) for k, v in m.items()}
-    de = np.exp(alpha + beta - z[:, None, None])
-    for k in range(1, t):
-        grad["t"] += np.exp(alpha[:, k - 1, :, None] + trans + (e[:, k] + beta[:, k])[:, None, :] - z[:, None, None]).sum(0)
+    de = alpha * beta
+    after = (seen * beta / scale[:, :, None])[:, 1:]
+    grad["t"] = move * (alpha[:, :-1].reshape(-1, TAGS).T @ after.reshape(-1, TAGS))
     np.subtract.at(grad["t"], (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     grad["s"] = de[:, 0].sum(0) - np.bincount(y[:, 0], minlength=TAGS)
     de[at[:, None], np.arange(t), y] -= 1
@@ -292,16 +334,14 @@ def step(m: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
 
 
 def train(texts: list[str], steps: int = STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Adam over shuffled windows; the model in single precision."""
-    x, y = training_windows(texts, BATCH * max(8, steps // 6), seed)
-    m, rng = start_model(seed), np.random.default_rng(seed)
+    """Adam over shuffled windows, every WIDE_EVERY-th batch of them twice as wide; the model in single precision."""
+    n = BATCH * max(8, steps // 6)
+    sets = [training_windows(texts, n, seed), training_windows(texts, n // 2, seed + 1, 2 * WINDOW)]
+    m, rng = {k: v.astype(np.float32) for k, v in start_model(seed).items()}, np.random.default_rng(seed)
     one, two = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
-    order = rng.permutation(len(x))
     for k in range(1, steps + 1):
-        at = (k - 1) * BATCH % len(x)
-        if not at:
-            order = rng.permutation(len(x))
-        part = order[at : at + BATCH]
+        x, y = sets[k % WIDE_EVERY == 0]
+        part = rng.choice(len(x), min(BATCH if k % WIDE_EVERY else BATCH // 2, len(x)), replace=False)
         _, g = step(m, x[part], y[part].astype(np.int64))
         size = np.sqrt(sum((v**2).sum() for v in g.values()))
         rate = 0.02 * (1 - (k - 1) / steps) + 0.001
@@ -373,9 +413,11 @@ def tagged(m: dict, texts: list[str], where: list[tuple[int, int, int]]) -> Iter
                 x[k, : b - a] = read_classes(texts[i][a:b])
             tags, lead = decode(m, x)
             spans: list[list] = [[] for _ in part]
-            for k, s in zip(*np.nonzero(tags % 2 == 1), strict=True):
+            begins = tags % 2 == 1
+            begins[:, 0] |= tags[:, 0] > 0  # inside a span that began before the window
+            for k, s in zip(*np.nonzero(begins), strict=True):
                 a = part[k][1]
-                inside, e = tags[k, s] + 1, s + 1
+                inside, e = tags[k, s] + tags[k, s] % 2, s + 1
                 while e < size and tags[k, e] == inside:
                     e += 1
                 spans[k].append(((int(inside) - 2) // 2, int(a + s), int(a + e), float(max(lead[k, s:e].sum(), 1e-6))))
@@ -385,9 +427,12 @@ def tagged(m: dict, texts: list[str], where: list[tuple[int, int, int]]) -> Iter
 def hopeless(kind: int, piece: str) -> bool:
     """Whether no span that holds this piece can be plausible."""
     if kind == 0:
-        return piece.count("@") > 1 or len(re.findall(r"\s", piece)) > 2
+        inner = piece.split()[1:-1]  # the words at the ends may be cut
+        joins = [re.fullmatch(r"[\[({]?(?:at|dot|@|\.)?[\])}]?", x, re.I) is not None for x in inner]
+        apart = [not (x or y or re.search(r"[@.\])}]$", u) or re.match(r"[@.\[({]", v)) for x, y, u, v in zip(joins, joins[1:], inner, inner[1:], strict=False)]
+        return piece.count("@") > 1 or any(apart)
     if kind == 1:
-        return not all(p.isdecimal() and fine(1, p) for p in piece.split(".")[1:-1])
+        return not all(p.isdecimal() and fine(1, p) for p in DOT.sub(".", piece).split(".")[1:-1] if p)
     return len(NOT_DIGIT.sub("", piece)) > (19 if kind == 2 else 15)
 
 
@@ -414,7 +459,7 @@ def proposals(m: dict, texts: list[str]) -> list[list[Span]]:
             for kind, s, e, score in spans:
                 if pieces is not None and not any(s < y and x < e for x, y in pieces):
                     continue  # narrower windows hold it
-                left, right = s == a and a > 0, e == b and b < len(texts[i])
+                left, right = s - a < MARGIN and a > 0, b - e < MARGIN and b < len(texts[i])
                 if not (left or right):
                     found[i].append((kind, s, e, score))
                 elif not hopeless(kind, texts[i][s:e]):
@@ -423,14 +468,35 @@ def proposals(m: dict, texts: list[str]) -> list[list[Span]]:
     return [reconcile(f) for f in found]
 
 
+def snapped(kind: int, text: str, a: int, b: int) -> Span:
+    """A proposal whose ends are moved outward to the ends of what they stand in: a run of digits, or an e-mail's local part and labels."""
+    if kind:
+        while a and text[a - 1].isdecimal():
+            a -= 1
+        while b < len(text) and text[b].isdecimal():
+            b += 1
+        return kind, a, b
+    while a and text[a - 1] in LOCAL and text[a - 1] not in ".%":
+        a -= 1
+        while a > 1 and text[a - 1] in ".%" and text[a - 2] in LOCAL:
+            a -= 1
+    while m := LABEL.match(text, b):
+        b = m.end()
+    return kind, a, b
+
+
 def all_spans(m: dict | None, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
     base = [base_spans(t) for t in texts]
     more = proposals(m, texts) if m is not None else [[] for _ in texts]
     out = []
     for t, b, p in zip(texts, base, more, strict=True):
-        added = [s for s in p if all(s[2] <= x or s[1] >= y for _, x, y in b) and plausible(*s[:1], t, *s[1:])]
-        out.append((b, added))
+        ends = sorted({snapped(k, t, x, y) for k, x, y in p}, key=lambda s: (s[1] - s[2], s[1], s[0]))  # the longest first
+        added: list[Span] = []
+        for s in ends:
+            if plausible(s[0], t, s[1], s[2]) and all(s[2] <= x or s[1] >= y for _, x, y in [*b, *added]):
+                added.append(s)
+        out.append((b, sorted(added)))
     return out
 
 
@@ -448,17 +514,39 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id") -> dict[str, np.ndarray]:
-    """A model from at most about SAMPLE_DOCS documents, half of them such as have a digit or an @; up to 4000 characters around."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    u = F.xxhash64(F.lit(11), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    n = rows.select("doc_id").count()
-    part = rows.where(u * n < 20 * SAMPLE_DOCS).withColumn("marked", F.col("text").rlike("[0-9@]").cast("int"))
-    at = F.greatest(F.lit(1), F.expr("regexp_instr(text, '[0-9@]')") - 500)
+def stretches(text: str, seed: int, many: int = STRETCHES, size: int = STRETCH) -> list[str]:
+    """At most `many` stretches of a text: up to two thirds of them around base spans, the others from anywhere; the whole text if it is no longer than one."""
+    if len(text) <= size:
+        return [text]
+    rng = random.Random(seed)
+    spans = base_spans(text)
+    at = [(a + b) // 2 for _, a, b in rng.sample(spans, min(len(spans), 2 * many // 3))]
+    at += [rng.randrange(len(text)) for _ in range(many - len(at))]
+    return [text[max(0, x - size // 2) : x + size // 2] for x in sorted(at)]
+
+
+def stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in slices(batches, 1):
+        found = [stretches(t, h) for t, h in zip(texts, batch.column(0).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["h", "parts"])
+
+
+def learn(docs: DataFrame) -> dict[str, np.ndarray]:
+    """A model from stretches of at most SAMPLE_DOCS different texts, half of them such as have a digit or an @.
+
+    The texts are those with the smallest hashes, so the sample is the same whatever the partitioning, and copies count once.
+    """
+    h = F.xxhash64(F.lit(11), "text")
+    rows = docs.select(h.alias("h"), "text").where(F.col("text").isNotNull())
+    u = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    n = docs.select(F.lit(1)).count()
     stage = Stage(docs.sparkSession)
-    part = stage.keep(part.select("doc_id", "marked", F.substring("text", at, F.lit(4000)).alias("text")), "sample")  # the documents are read once
-    some = [part.where(F.col("marked") == k).orderBy(F.xxhash64(F.lit(12), "doc_id"), "doc_id").limit(SAMPLE_DOCS // 2) for k in (0, 1)]
-    texts = [r["text"] for r in some[0].unionByName(some[1]).orderBy("doc_id", "text").collect()]
+    part = rows.where(u * n < 20 * SAMPLE_DOCS).dropDuplicates(["h"]).withColumn("marked", F.col("text").rlike("[0-9@]").cast("int"))
+    part = stage.keep(part, "sample")  # the documents' texts are read once
+    some = [part.where(F.col("marked") == k).orderBy("h").limit(SAMPLE_DOCS // 2).select("h") for k in (0, 1)]
+    chosen = [r["h"] for r in some[0].unionByName(some[1]).collect()]
+    found = small_batches(part.where(F.col("h").isin(chosen)).select("h", "text")).mapInArrow(stretch_batches, "h long, parts array<string>")
+    texts = [t for r in found.orderBy("h").collect() for t in r["parts"]]
     stage.drop(part)
     return train(texts)
 
@@ -475,7 +563,7 @@ def span_batches(batches: Iterator[pa.RecordBatch], m: dict) -> Iterator[pa.Reco
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added of each document.
 
-    Null and empty texts have no spans.  Offsets are code points, the end exclusive.  Ids may be null or repeated.  Only doc_id and
+    Null and empty texts have no spans; equal texts have equal ones; an empty table gives no rows.  Offsets are code points, the end exclusive.  Ids may be null or repeated.  Only doc_id and
     text are read; one pass without a shuffle after training on a bounded sample.
     """
     m = learn(docs)
@@ -484,7 +572,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with its texts' personal data replaced by <KIND>; null stays null, all other columns are as they were."""
+    """docs with its texts' personal data (base and added spans) replaced by <KIND>; all other columns are as they were.
+
+    Null stays null and empty stays empty; equal texts become equal texts; ids may be null or repeated; an empty table stays empty.
+    """
     m = learn(docs)
 
     def compute(texts: list[str]) -> list:

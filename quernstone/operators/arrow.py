@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame
 ROWS = 256
 
 
-def attach(df: DataFrame, inputs: list[str], fields: list[tuple[str, str, pa.DataType]], compute: Callable[..., list]) -> DataFrame:
-    """df with more columns: compute(*lists of the inputs' values) gives a list for each of fields (name, SQL type, Arrow type)."""
+def attach(df: DataFrame, inputs: list[str], fields: list[tuple[str, str, pa.DataType]], compute: Callable[..., list], rows: int = ROWS) -> DataFrame:
+    """df with more columns: compute(*lists of the inputs' values) gives a list or an Arrow array for each of fields (name, SQL type, Arrow type)."""
     base = df.drop(*(n for n, _, _ in fields))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields), *(f"`{n}` {t}" for n, t, _ in fields)])
     at = [base.columns.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, ROWS):
-                b = whole.slice(low, ROWS)
+            for low in range(0, whole.num_rows, rows):
+                b = whole.slice(low, rows)
                 new = compute(*(b.column(i).to_pylist() for i in at))
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, t) for x, (_, _, t) in zip(new, fields, strict=True))], names=[*b.schema.names, *(n for n, _, _ in fields)])
+                yield pa.RecordBatch.from_arrays([*b.columns, *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, _, t) in zip(new, fields, strict=True))], names=[*b.schema.names, *(n for n, _, _ in fields)])
 
     return base.mapInArrow(run, schema)

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from quernstone.config import ChunkConfig
 from quernstone.functions import text as T
 
+from .arrow import attach
+
 BLANK_LINE = re.compile(r"\n\s*\n")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-CHUNK = "doc_id string, filename string, section_label string, ordinal int, text string"
 
 
 def hard_split(text: Column, limit: int) -> Column:
@@ -62,39 +63,40 @@ def pieces(text: str, limit: int) -> list[str]:
     return out or [text[:limit]]
 
 
-def chunk_bodies(sections: list[tuple[str, str]], config: ChunkConfig) -> list[tuple[str, str]]:
-    """(label, body) of each chunk of a document.
+def section_pieces(text: str, limit: int) -> list[str]:
+    """The pieces of a section, small neighbours merged by a newline."""
+    return packed(iter(pieces(text.strip(), limit)), "\n", limit)
+
+
+def bodies(parts: Column, config: ChunkConfig) -> Column:
+    """Chunks (label, text) from a document's pieces in order, array<struct<label, piece, first, alone>> (first, alone: of its section).
 
-    A body is the end of the piece before it in its section, a newline and the piece.  A body under min_chars is dropped where its section
-    has other pieces and it is not the document's first.  With no overlap the tail is empty, also after a dropped piece.
+    A body is the end of the piece before it in its section, a newline and the piece.  It is left out where it is under min_chars, its section has
+    other pieces and it is not the document's first.  With no overlap there is no such end.
     """
-    out: list[tuple[str, str]] = []
-    for text, label in sections:
-        merged = packed(iter(pieces(text.strip(), config.max_chars)), "\n", config.max_chars)
-        tail = ""
-        for piece in merged:
-            body = f"{tail}\n{piece}".strip() if tail else piece
-            if not (len(body) < config.min_chars and len(merged) > 1 and out):
-                out.append((label, body))
-            tail = piece[-config.overlap_chars :] if config.overlap_chars else ""
-    return out
+    before = lambda i: F.get(parts, i - 1)["piece"]
+    size = config.overlap_chars
+    tail = lambda p, i: F.when(p["first"] | F.lit(size == 0), F.lit("")).otherwise(F.substring(before(i), F.greatest(F.length(before(i)) - size + 1, F.lit(1)), F.lit(size)))
+    body = lambda p, i: F.when(tail(p, i) == "", p["piece"]).otherwise(T.strip(F.concat(tail(p, i), F.lit("\n"), p["piece"])))
+    made = F.transform(parts, lambda p, i: F.struct(p["label"].alias("label"), body(p, i).alias("text"), (p["alone"] | (i == 0)).alias("stays")))
+    return F.filter(made, lambda c: c["stays"] | (F.length(c["text"]) >= config.min_chars))
 
 
 def chunk(documents: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     """(doc_id, filename, sections array<struct<text, label, ordinal>>) to chunks; sections come in their array's order."""
     config = config or ChunkConfig()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc, name, sections in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = chunk_bodies([(s["text"] or "", s["label"] or "") for s in sections or []], config)
-                for at, (label, body) in enumerate(found):
-                    for c, v in zip(cols, (doc, name, label, at, body), strict=True):
-                        c.append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "filename", "section_label", "ordinal", "text"])
-
-    out = documents.select("doc_id", "filename", "sections").mapInArrow(run, CHUNK)
+    kind = pa.list_(pa.struct([("label", pa.string()), ("piece", pa.string()), ("first", pa.bool_()), ("alone", pa.bool_())]))
+
+    def cut(documents: list) -> list:
+        out = []
+        for sections in documents:
+            split = [(s["label"] or "", section_pieces(s["text"] or "", config.max_chars)) for s in sections or []]
+            out.append([{"label": x, "piece": p, "first": i == 0, "alone": len(ps) == 1} for x, ps in split for i, p in enumerate(ps)])
+        return [out]
+
+    docs = documents.select("doc_id", "filename", "sections")
+    docs = attach(docs, ["sections"], [("parts", "array<struct<label:string,piece:string,first:boolean,alone:boolean>>", kind)], cut)
+    out = docs.select("doc_id", "filename", F.posexplode(bodies(F.col("parts"), config)).alias("ordinal", "c"))
+    out = out.select("doc_id", "filename", F.col("c.label").alias("section_label"), "ordinal", F.col("c.text").alias("text"))
     key = T.content_id(F.col("doc_id"), F.col("section_label"), F.col("ordinal").cast("string"), F.substring("text", 1, 64))
     return out.select(key.alias("chunk_id"), "doc_id", "filename", "section_label", "ordinal", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable
 
@@ -17,22 +18,58 @@ TOKEN = re.compile(r"[a-z0-9']+")
 #: What a token and each of its trigrams adds.
 TOKEN_WEIGHT, GRAM_WEIGHT, GRAM = 1.0, 0.35, 3
 BATCH = 128
+TOKENS_KEPT = 300_000
 
 
 @functools.lru_cache(maxsize=200_000)
-def bucket(token: str, dims: int) -> int:
-    return int.from_bytes(hashlib.md5(token.encode()).digest(), "big") % dims
+def bucket(part: str, dims: int) -> int:
+    """md5 as a number modulo dims."""
+    return int.from_bytes(hashlib.md5(part.encode()).digest(), "big") % dims
 
 
-def hashed(text: str, dims: int) -> np.ndarray:
-    """Unit vector (double); all zeros without a token."""
-    v = np.zeros(dims)
-    for t in TOKEN.findall(text.lower()):
-        v[bucket(t, dims)] += TOKEN_WEIGHT
-        for i in range(len(t) - GRAM + 1):
-            v[bucket(t[i : i + GRAM], dims)] += GRAM_WEIGHT
-    n = np.sqrt((v * v).sum())
-    return v / n if n else v
+class Buckets:
+    """The buckets of each token seen, its own first and then those of its trigrams, in one row of numbers; starts anew beyond TOKENS_KEPT."""
+
+    def __init__(self, dims: int):
+        self.dims, self.place = dims, {}
+        self.flat, self.start = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """The places of tokens, which are learned first."""
+        new = [t for t in set(tokens) if t not in self.place]
+        if len(self.place) + len(new) > TOKENS_KEPT and self.place:
+            self.__init__(self.dims)
+            new = list(set(tokens))
+        if new:
+            found = [[bucket(t, self.dims), *(bucket(t[i : i + GRAM], self.dims) for i in range(len(t) - GRAM + 1))] for t in new]
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.flat = np.concatenate((self.flat, np.array([b for bs in found for b in bs], np.int64)))
+            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(bs) for bs in found])))
+        return np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
+
+
+_buckets: dict[int, Buckets] = {}
+
+
+def hashed(texts: list[str], dims: int) -> np.ndarray:
+    """A unit vector (double) for each text; all zeros without a token."""
+    known = _buckets.setdefault(dims, Buckets(dims))
+    found = [TOKEN.findall(t.lower()) for t in texts]
+    at = known.of(list(itertools.chain.from_iterable(found)))
+    row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    many = known.start[at + 1] - known.start[at]
+    first = np.cumsum(many) - many
+    cells = np.repeat(row, many) * dims + known.flat[np.repeat(known.start[at] - first, many) + np.arange(many.sum())]
+    weight = np.full(len(cells), GRAM_WEIGHT)
+    weight[first] = TOKEN_WEIGHT
+    v = np.bincount(cells, weights=weight, minlength=len(texts) * dims).reshape(len(texts), dims)
+    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(n > 0, n, 1)
+
+
+def vectors(rows: np.ndarray) -> pa.ListArray:
+    """A matrix as a column of arrays."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 class HashingEmbedder:
@@ -46,7 +83,7 @@ class HashingEmbedder:
     def embed(self, df: DataFrame, text: str = "text", out: str = "vector") -> DataFrame:
         """df with each text's vector; one pass, no shuffle."""
         dims = self.dimensions
-        return attach(df, [text], [(out, "array<double>", pa.list_(pa.float64()))], lambda ts: [[hashed(t or "", dims).tolist() for t in ts]])
+        return attach(df, [text], [(out, "array<double>", pa.list_(pa.float64()))], lambda ts: [vectors(hashed([t or "" for t in ts], dims))])
 
 
 class ModelEmbedder:
@@ -80,12 +117,17 @@ def once(make: Callable):
     return make()
 
 
-def _openai():
+def _openai(key: str = ""):
     try:
         from openai import OpenAI
     except ImportError as e:
         raise RuntimeError("the openai package is not installed; give a client factory") from e
-    return OpenAI()
+    return OpenAI(api_key=key) if key else OpenAI()
+
+
+def client_with(key: str) -> Callable:
+    """A factory of clients that use this key; without one, the package's own way of finding it."""
+    return functools.partial(_openai, key) if key else _openai
 
 
 def build_embedder(name: str = "hashing", dimensions: int | None = None, client: Callable | None = None):

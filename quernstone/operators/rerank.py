@@ -25,13 +25,16 @@ class NoReranker:
         return candidates.where(F.col("rank") <= limit)
 
 
-def overlap_score(question: Column, text: Column, rank: Column) -> Column:
-    """0 without a common content term; else coverage, phrase and rank together."""
-    q, pairs = T.content_terms(question), T.bigrams(question)
-    common = F.size(F.array_intersect(q, T.content_terms(text)))
-    low = F.lower(text)
-    phrase = F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda p: F.contains(low, p))) / F.size(pairs)).otherwise(0.0)
-    return F.when(common > 0, COVERAGE * common / F.size(q) + PHRASE * phrase + PRIOR / rank).otherwise(0.0)
+def overlap_score(candidates: DataFrame, question: str = "question", text: str = "text", rank: str = "rank") -> DataFrame:
+    """candidates with `asked` (the question's content terms) and `overlap`: 0 without a common content term, else coverage, phrase and rank together.
+
+    What an expression uses more than once is a column before, so it is computed once a row.
+    """
+    rows = candidates.withColumns({"asked": T.content_terms(F.col(question)), "pairs": T.bigrams(F.col(question)), "low": F.lower(text), "has": T.content_terms(F.col(text))})
+    rows = rows.withColumns({"common": F.size(F.array_intersect("asked", "has")), "near": F.size(F.filter("pairs", lambda p: F.contains(F.col("low"), p)))})
+    phrase = F.when(F.size("pairs") > 0, F.col("near") / F.size("pairs")).otherwise(0.0)
+    score = F.when(F.col("common") > 0, COVERAGE * F.col("common") / F.size("asked") + PHRASE * phrase + PRIOR / F.col(rank)).otherwise(0.0)
+    return rows.withColumn("overlap", F.round(score, 12)).drop("pairs", "low", "has", "common", "near")
 
 
 class OverlapReranker:
@@ -40,11 +43,11 @@ class OverlapReranker:
     name = "lexical-overlap"
 
     def rerank(self, candidates: DataFrame, limit: Column | int) -> DataFrame:
-        has = F.size(T.content_terms(F.col("question"))) > 0
-        score = F.when(has, F.round(overlap_score(F.col("question"), F.col("text"), F.col("rank")), 12)).otherwise(F.col("score"))
+        has = F.size("asked") > 0
         order = Window.partitionBy("query_id").orderBy(F.when(has, -F.col("new")).otherwise(0.0), "rank")
-        out = candidates.withColumn("new", score).withColumn("to", F.row_number().over(order)).where(F.col("to") <= limit)
-        return out.withColumn("method", F.when(has, "reranked").otherwise(F.col("method"))).withColumns({"score": F.col("new"), "rank": F.col("to")}).drop("new", "to")
+        out = overlap_score(candidates).withColumn("new", F.when(has, F.col("overlap")).otherwise(F.col("score")))
+        out = out.withColumn("to", F.row_number().over(order)).where(F.col("to") <= limit)
+        return out.withColumn("method", F.when(has, "reranked").otherwise(F.col("method"))).withColumns({"score": F.col("new"), "rank": F.col("to")}).drop("new", "to", "asked", "overlap")
 
 
 class CrossEncoderReranker:

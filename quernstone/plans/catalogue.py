@@ -17,6 +17,7 @@ from quernstone.operators.arrow import attach
 from quernstone.operators.chunk import chunk, hard_split
 from quernstone.operators.embed import HashingEmbedder
 from quernstone.operators.rerank import OverlapReranker
+from quernstone.staging import Stage
 from quernstone.sources.extract import SECTION, html_sections, text_sections
 
 DIMS, LIMIT, DEPTH, CANDIDATES = 384, 1200, 10, 12
@@ -73,7 +74,8 @@ def content_term_stats(spark, d):
 
 
 def _lexical(spark, d, k: int) -> DataFrame:
-    return S.lexical(S.with_terms(_index(spark, d)), _questions(spark, d), k)
+    forward = Stage(spark).keep(S.with_terms(_index(spark, d)).drop("text"), "forward")  # read for the size, the frequencies and the scores
+    return S.lexical(forward, _questions(spark, d), k)
 
 
 def _dense(spark, d, k: int) -> DataFrame:
@@ -120,7 +122,9 @@ def rerank_overlap(spark, d):
 
 def _passages(spark, d) -> DataFrame:
     docs = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", T.citation(F.col("source"), F.col("doc_id").cast("string")).alias("citation"))
-    return _lexical(spark, d, 4).drop("tie").join(_questions(spark, d), "query_id").join(docs, "id").persist()  # four rows a question
+    found = _lexical(spark, d, 4).drop("tie").join(_questions(spark, d), "query_id").join(docs, "id")
+    return Stage(spark).keep(found, "passages")  # four rows a question
+
 
 
 def extractive_answer(spark, d):

@@ -17,10 +17,12 @@ from quernstone.operators import answer as A
 from quernstone.operators import evaluate as E
 from quernstone.operators import search as S
 from quernstone.operators.chunk import chunk
-from quernstone.operators.embed import build_embedder
+from quernstone.operators.embed import build_embedder, client_with
 from quernstone.operators.rerank import build_reranker
-from quernstone.operators.store import Log, latest, listing, statistics
+from quernstone.operators.store import Log, latest, listing, statistics, without
+from quernstone.operators.vectors import build_vector_store
 from quernstone.sources.extract import extract, read_files, supported_extensions
+from quernstone.staging import Stage
 
 CHUNKS = "chunk_id string, doc_id string, filename string, section_label string, ordinal int, text string, vector array<double>, terms array<string>, tfs array<int>, len bigint"
 DOCUMENTS = "doc_id string, filename string, source_type string, section_count int, chunk_count int, ingested_at timestamp"
@@ -29,22 +31,18 @@ VARIANTS = ("dense", "lexical", "hybrid", "hybrid + rerank")
 RERANK_DEPTH, DEPTH = 20, 10
 
 
-def build_vector_store(kind: str = "memory", **_) -> str:
-    """Both kinds of store are the same Parquet table here; other names are refused."""
-    if kind not in ("memory", "qdrant"):
-        raise ValueError(f"no vector store named {kind!r}")
-    return kind
+RESULTS = "doc_id string, filename string, source_type string, sections int, chunks int, replaced_chunks bigint, status int, error string"
 
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder=None, reranker=None, llm=None):
         self.spark, self.settings = spark, settings or Settings()
         s = self.settings
-        build_vector_store(s.vector_backend)
-        self.log = Log(spark, root or s.root)
-        self.embedder = embedder or build_embedder(s.embedder, s.embedding_dimensions)
+        self.log, self.table = Log(spark, root or s.qdrant_url or s.root), s.qdrant_collection
+        self.embedder = embedder or build_embedder(s.embedder, s.embedding_dimensions, client_with(s.openai_api_key))
+        self.store = build_vector_store(s.vector_backend, self.log, self.embedder.dimensions)
         self.reranker = reranker or build_reranker(s.reranker)
-        self.llm = llm or A.build_llm(s.llm)
+        self.llm = llm or A.build_llm(s.llm, client_with(s.openai_api_key))
         self.chunk_config = ChunkConfig(s.chunk_max_chars, s.chunk_overlap_chars)
         self.retrieval = RetrievalConfig(final_k=s.candidate_k)
 
@@ -61,7 +59,7 @@ class Engine:
         history = self._history().select("doc_id", "version", "deleted")
         newest = history.groupBy("doc_id").agg(F.max(F.struct("version", "deleted")).alias("m"))
         old = history.where("not deleted").join(newest, "doc_id").where((F.col("version") < F.col("m.version")) | F.col("m.deleted")).select("doc_id", "version")
-        return self.log.read("chunks", CHUNK_LOG).join(old, ["doc_id", "version"], "left_anti").select(*names)
+        return without(self.log.read(self.table, CHUNK_LOG), old, ["doc_id", "version"]).select(*names)
 
     def documents(self) -> DataFrame:
         return listing(self._live().select(*(c.split()[0] for c in DOCUMENTS.split(", "))))
@@ -83,6 +81,9 @@ class Engine:
         return {"status": "ok", "vector_backend": s.vector_backend, "embedder": self.embedder.name, "reranker": self.reranker.name, "llm": self.llm.name, "documents": n["documents"], "chunks": n["indexed_chunks"]}
 
     def metrics(self) -> dict:
+        """Counts and kinds; nothing where the settings turn metrics off."""
+        if not self.settings.enable_metrics:
+            return {}
         n = self.stats()
         return {"documents": n["documents"], "indexed_chunks": n["indexed_chunks"], "vector_backend": self.settings.vector_backend, "embedding_dimensions": self.embedder.dimensions, "supported_extensions": supported_extensions()}
 
@@ -100,16 +101,20 @@ class Engine:
         made = S.with_terms(self.embedder.embed(chunk(good, self.chunk_config))).select(*(c.split()[0] for c in CHUNKS.split(", "))).persist()
         counts = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
         before = self._live().select("doc_id", F.col("chunk_count").cast("long").alias("replaced_chunks"))
-        rows = (
-            read.join(counts, "doc_id", "left").join(before, "doc_id", "left")
-            .select("doc_id", "filename", "source_type", F.size("sections").alias("sections"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.coalesce("replaced_chunks", F.lit(0)).alias("replaced_chunks"), "status", "error")
-            .orderBy("filename", "doc_id").collect()
+        rows = read.join(counts, "doc_id", "left").join(before, "doc_id", "left").select(
+            "doc_id", "filename", "source_type", F.size("sections").alias("sections"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.coalesce("replaced_chunks", F.lit(0)).cast("long").alias("replaced_chunks"), "status", "error", version
         )
         meta = good.join(counts, "doc_id", "left").select("doc_id", "filename", "source_type", F.size("sections").alias("section_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"), version, F.lit(False).alias("deleted"))
-        self.log.commit({"chunks": made.select("*", version), "documents": meta})
+        done = self.log.commit({"results": rows, self.table: made.select("*", version), "documents": meta})
         made.unpersist()
         read.unpersist()
-        return self.spark.createDataFrame(rows, "doc_id string, filename string, source_type string, sections int, chunks int, replaced_chunks bigint, status int, error string")
+        return self.log.read("results", f"{RESULTS}, version bigint").where(F.col("version") == done).drop("version")
+
+    def mirror_documents(self, table: str = "documents") -> None:
+        """Writes the metadata of all documents to the database that the settings name, in place of the table's rows."""
+        if not self.settings.database_url:
+            raise ValueError("the settings name no database_url")
+        self.documents().write.jdbc(self.settings.database_url, table, mode="overwrite")
 
     def delete(self, doc_id: str) -> int | None:
         """Chunks removed; None where there is no such document."""
@@ -124,7 +129,7 @@ class Engine:
         """Both tables anew without what is superseded or deleted; the old segments go."""
         version = F.lit(self.log.manifest()["version"] + 1).cast("long").alias("version")
         live = self.documents().select("*", version, F.lit(False).alias("deleted"))
-        self.log.commit({"chunks": self.chunks().select("*", version), "documents": live}, replace=True)
+        self.log.commit({self.table: self.chunks().select("*", version), "documents": live}, replace=True)
 
     # -- questions -----------------------------------------------------------------------------------------------------
 
@@ -167,9 +172,13 @@ class Engine:
         q = q.withColumn("context_k", depth).withColumn("handler", handler)
         searched = q.where("intent <> 'inventory' and question <> ''")
         candidates = self._passages(searched, self.hits(searched.select("query_id", "question"), "hybrid", self.settings.candidate_k))
-        passages = self.reranker.rerank(candidates, F.col("context_k")).persist()  # a few rows a question, read three times
-        listed = A.inventory(self._live()).select(F.col("text").alias("stock"), F.col("escalated").alias("no_stock"))
-        out = A.answer(q, passages, self.llm, floor).crossJoin(F.broadcast(listed))  # one row on the right
+        passages = Stage(self.spark).keep(self.reranker.rerank(candidates, F.col("context_k")), "passages")  # a few rows a question, read three times
+        out = A.answer(q, passages, self.llm, floor)
+        if q.where("intent = 'inventory'").isEmpty():  # the list of all names is made only where it is asked for
+            listed = self.spark.createDataFrame([(None, None)], "stock string, no_stock boolean")
+        else:
+            listed = A.inventory(self._live()).select(F.col("text").alias("stock"), F.col("escalated").alias("no_stock"))
+        out = out.crossJoin(F.broadcast(listed))  # one row on the right
         stock = F.col("intent") == "inventory"
         out = out.withColumns({"text": F.when(stock, F.col("stock")).otherwise(F.col("text")), "escalated": F.when(stock, F.col("no_stock")).otherwise(F.col("escalated"))})
         return out.withColumn("grounded", ~F.col("escalated")).select("query_id", "question", "text", "grounded", "escalated", "confidence", "citations", "passages", "intent", "handler")
@@ -179,9 +188,9 @@ class Engine:
     def rankings(self, questions: DataFrame) -> DataFrame:
         """(variant, query_id, id, rank) of the four variants to DEPTH."""
         index, q = self.index(), self._with_vectors(questions.select("query_id", "question"))
-        d, x = S.dense(index, q, self.retrieval.dense_k).drop("tie").persist(), S.lexical(index, q, self.retrieval.lexical_k).drop("tie").persist()
-        c = self.retrieval
-        fused = S.fuse([d, x], [c.dense_weight, c.lexical_weight], c.rrf_k, RERANK_DEPTH).persist()
+        c, stage = self.retrieval, Stage(self.spark)  # k rows a question each, read several times
+        d, x = stage.keep(S.dense(index, q, c.dense_k).drop("tie"), "dense"), stage.keep(S.lexical(index, q, c.lexical_k).drop("tie"), "lexical")
+        fused = stage.keep(S.fuse([d, x], [c.dense_weight, c.lexical_weight], c.rrf_k, RERANK_DEPTH), "fused")
         again = self.reranker.rerank(self._passages(questions.select("query_id", "question"), fused), DEPTH)
         frames = [f.where(F.col("rank") <= DEPTH).select(F.lit(v).alias("variant"), "query_id", "id", "rank") for v, f in zip(VARIANTS, (d, x, fused, again), strict=True)]
         return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
@@ -193,10 +202,10 @@ class Engine:
         E.validate(questions, keys)
         some = questions.where(F.size("relevant") > 0)
         ranks = self.rankings(some).join(keys, F.col("id") == F.col("chunk_id")).join(some.select("query_id", "relevant"), "query_id")
-        ranks = ranks.select("variant", "query_id", "rank", F.array_contains("relevant", F.col("key")).cast("int").alias("hit")).persist()
+        ranks = ranks.select("variant", "query_id", "rank", F.array_contains("relevant", F.col("key")).cast("int").alias("hit"))
+        ranks = Stage(self.spark).keep(ranks, "ranks")
         n = some.select("query_id", F.size("relevant").alias("n_relevant"))
         out = {v: E.retrieval_scores(n, ranks.where(F.col("variant") == v)).first().asDict() for v in VARIANTS}
-        ranks.unpersist()
         return out
 
     def evaluate_refusal(self, questions: DataFrame, floor: float | None = None) -> dict:

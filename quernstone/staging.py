@@ -57,6 +57,19 @@ class Stage:
         out._quern_path = path
         return out
 
+    def append(self, df: DataFrame, name: str) -> str:
+        """Adds rows to a table; what read() takes."""
+        path = f"{self.root}/{name}"
+        df.write.mode("append").parquet(path)
+        if not self.paths:
+            at, fs = self._files(self.root)
+            fs.deleteOnExit(at)
+        self.paths[name] = path
+        return path
+
+    def read(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.paths[name])
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, fs = self._files(df._quern_path)

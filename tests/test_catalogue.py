@@ -39,7 +39,3 @@ def test_sql(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 400
 
-
-@pytest.mark.parametrize("name", ["chunks", "html_page_sections", "text_file_sections"])
-def test_without_sql(spark, name):
-    assert entry.queries()[name](spark, DATA).count() > 0
