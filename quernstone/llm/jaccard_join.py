@@ -1,6 +1,7 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Rows with one text are one node.  A node's shingles are five consecutive words (lower-case letters and digits) as 64-bit hashes.  Nodes
+A row's shingles are five consecutive words (lower-case letters and digits) as 64-bit hashes.  Rows with one text are one, and texts with one set of
+shingles (such as differ in case, marks or white space only) are one node with a weight, so copies of either kind cost nothing further.  Nodes
 that agree on four MinHash values of some band are candidates.  A pair's 128 MinHash values are compared sixteen at a time; under a
 uniform prior the posterior probability of a similarity of at least the threshold, after m agreements of n, is
 P(Binomial(n + 1, threshold) <= m), and the pair is dropped once that falls below the tolerance.  Pairs that remain are
@@ -14,6 +15,7 @@ first one only, and of buckets with the same members one is kept.  Classes are t
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 from math import comb
 
@@ -178,10 +180,13 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, text) to (doc_id, digest, digest of the set of shingles, MinHash values); the last two null without shingles."""
     for batch, texts in slices(batches, 2):
         h, many = shingles(texts)
         sig = iter(signatures(h, many).view(np.int32).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([next(sig) if m else None for m in many.tolist()], pa.list_(pa.int32()))], names=["doc_id", "digest", "sig"])
+        stop = np.cumsum(many)
+        sets = [hashlib.blake2b(np.unique(h[b - n : b]).tobytes(), digest_size=16).digest() if n else None for b, n in zip(stop.tolist(), many.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array([next(sig) if m else None for m in many.tolist()], pa.list_(pa.int32()))], names=["doc_id", "digest", "set", "sig"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +219,20 @@ def _candidates(threshold: float):
 
 def _links(threshold: float):
     def cell(t: pa.Table) -> pa.Table:
-        """For each node of a cell: its links there, and the smallest node that it is connected with there."""
+        """For each node of a cell: its links there, counted in texts, and the smallest node that it is connected with there."""
         t, *rest = _cell_arrays(t)
         x, y = surviving(*rest, threshold)
         sets = [np.frombuffer(s, dtype=np.uint64) for s in t["shingles"].to_pylist()]
         real = verified(sets, x, y, threshold)
         x, y = x[real], y[real]
-        n = np.bincount(np.concatenate((x, y)), minlength=len(sets))
+        weight = t["weight"].to_numpy()
+        n = np.zeros(len(sets), np.int64)
+        np.add.at(n, x, weight[y])
+        np.add.at(n, y, weight[x])
         node = t["node"].to_numpy()
         root = node[roots(len(sets), x, y)]
         some = n > 0
-        return pa.table({"node": node[some], "n": n[some].astype(np.int64), "root": root[some]})
+        return pa.table({"node": node[some], "n": n[some], "root": root[some]})
 
     return cell
 
@@ -237,8 +245,8 @@ def few(written: DataFrame) -> DataFrame:
 CELL = ["key", "lo", "hi", "band", "side", "node"]
 
 
-def components(edges: DataFrame, stage: Stage) -> DataFrame:
-    """(node, root): the smallest node of each node's component; alternating large and small stars until nothing changes.
+def components(edges: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """(node, root): the smallest node of each node's component, and the kept table that it reads; alternating large and small stars until nothing changes.
 
     A star's centre is a hash aggregate and a join whose large side can be split, so a hub with many neighbours is no single task.
     """
@@ -247,7 +255,7 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     while True:
         state = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (state["n"], state["x"]) == seen or not state["n"]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")), e
         seen = (state["n"], state["x"])
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -276,14 +284,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     """
     stage = Stage(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
-    reps = stage.keep(
-        small_batches(keyed).mapInArrow(_signature_batches, "doc_id long, digest binary, sig array<int>")
-        .groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
-        .withColumn("node", F.monotonically_increasing_id()),
-        "reps",
+    same = stage.keep(  # a row a text
+        small_batches(keyed).mapInArrow(_signature_batches, "doc_id long, digest binary, set binary, sig array<int>")
+        .groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("set").alias("set"), F.first("sig").alias("sig")),
+        "same",
     )
+    # a row a set of shingles; it is told by the text that would be kept of its texts
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
+    reps = same.where("set is not null").groupBy("set").agg(first.alias("f"), F.count("*").alias("weight"), F.first("sig").alias("sig"))
+    reps = stage.keep(reps.select("set", F.col("f.rep").alias("rep"), F.col("f.digest").alias("digest"), "weight", "sig").withColumn("node", F.monotonically_increasing_id()), "reps")
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.slice("sig", ROWS * b + 1, ROWS)).alias("key")) for b in range(BANDS)])
-    banded = reps.where(F.col("sig").isNotNull()).select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
+    banded = reps.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("x2")).where("n > 1")
     buckets = stage.keep(buckets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     members = banded.join(few(buckets), "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "n")).alias("in"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
@@ -296,28 +307,37 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
         .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "band", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node")
     )
     schema = "key long, lo int, hi int, band int, side int, node long"
-    signed = stage.keep(reps.join(members.select("node", "mask"), "node").select("node", "digest", "rep", "sig", "mask"), "signed")
+    signed = stage.keep(reps.join(members.select("node", "mask"), "node").select("node", "digest", "rep", "weight", "sig", "mask"), "signed")
     pruned = stage.keep(cells.join(signed.select("node", "sig", "mask"), "node").groupBy("key", "lo", "hi").applyInArrow(_candidates(threshold), schema), "pruned")
     wanted = stage.keep(pruned.select("node").distinct().join(signed.select("node", "digest", "rep"), "node"), "wanted")
     texts = keyed.join(few(wanted), "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     sets = texts.mapInArrow(_set_batches, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    full = stage.keep(sets.join(signed.select("node", "sig", "mask"), "node"), "sets")
+    full = stage.keep(sets.join(signed.select("node", "weight", "sig", "mask"), "node"), "sets")
     found = stage.keep(pruned.join(full, "node").groupBy("key", "lo", "hi").applyInArrow(_links(threshold), "node long, n long, root long"), "links")
     stage.drop(full, pruned, wanted, signed, buckets)
     links = found.groupBy("node").agg(F.sum("n").alias("n_links"))
     tree = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), stage)
-    tree = links.join(tree, "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
+    tree_table = tree[1]
+    tree = links.join(tree[0], "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
     named = tree.join(reps.select("node", "rep", "digest"), "node")
-    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("first"))
-    named = named.join(chosen, "root").select("node", "n_links", F.col("first.rep").alias("class_id"), (F.col("digest") == F.col("first.digest")).alias("chosen"))
-    info = reps.select("node", "digest", "rep", "n_copies").join(named, "node", "left").select("digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("chosen", F.lit(True)).alias("chosen"))
+    chosen = named.groupBy("root").agg(first.alias("first"))
+    named = named.join(chosen, "root").select("node", "n_links", "first")
+    own = F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("digest"))
+    nodes = reps.select("node", "set", "weight", own.alias("own")).join(named, "node", "left")
+    nodes = nodes.select("set", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("first", "own").alias("first"))
+    info = same.select("digest", "set", "rep", "n_copies").join(nodes, "set", "left")  # texts without shingles have no node; their nulls meet nothing
+    info = info.select("digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("first.rep")).alias("class_id"), F.coalesce(F.col("digest") == F.col("first.digest"), F.lit(True)).alias("chosen"))
     info = stage.keep(info, "classes")
-    stage.drop(reps, found)
+    stage.drop(same, reps, found, tree_table)
     return keyed.select("doc_id", "digest").join(info, "digest").select("doc_id", "digest", "class_id", "n_links", "n_copies", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).cast("int").alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs of each class, the one that classes() keeps; all columns as they are."""
+    """One row of docs of each class, the one that classes() keeps; all columns as they are.
+
+    Of rows with the kept text and the kept id one stays.  Null texts are one class, so one of them stays; empty texts likewise, and equal texts
+    without a letter or digit.  A class whose rows have no id keeps one row too.  An empty table stays empty.  Other columns are not read.
+    """
     name = fresh(docs, "digest")
     kept = classes(docs).where("kept = 1").select("doc_id", "digest").distinct()
     rows = docs.withColumn(name, digest(F.col("text")))

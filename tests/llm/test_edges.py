@@ -93,9 +93,27 @@ def test_stages_keep_columns(spark, docs, none, labels, benchmark, tmp_path, k):
     assert stage(spark, none, str(tmp_path)).collect() == []
 
 
+def test_bpe_stage(spark, docs, none, tmp_path):
+    """A row for each row, null and empty texts without tokens, equal texts with equal digests."""
+    stage = dict(corpus_pipeline.STAGES)["bpe"]
+    rows = stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r[0]) for r in ROWS)
+    by = {r["doc_id"]: r for r in rows}
+    assert by[2]["n_tokens"] == by[3]["n_tokens"] == 0 and by[2]["ids_sha256"] == by[3]["ids_sha256"]
+    assert by[5]["ids_sha256"] == by[6]["ids_sha256"] and by[5]["n_tokens"] == 8000 * 5
+    assert stage(spark, none, str(tmp_path)).collect() == []
+
+
+def test_which_rows_the_join_stage_keeps(spark, docs, tmp_path):
+    """Null texts are one class, equal texts another, a repeated row stays once, rows without an id stay."""
+    kept = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, str(tmp_path)).collect()]
+    want = {(r[0], r[1]) for r in ROWS} - {(11, None), (6, LONG)}
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, None), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, []), (None, [1.0, 1.0]), (6, [1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("rank", F.lit(0))
     got = [tuple(r) for r in topk.top_k(v, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 6, 65536), (0, 4, 100, 32768), (100, 1, 0, 32768), (100, 2, 1, 32768), (100, 3, 2, 32768), (100, 4, 6, 32768)]
+    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 6, 65536), (0, 4, 100, 32768), (0, 5, 5, 0), (100, 1, 0, 32768), (100, 2, 1, 32768), (100, 3, 2, 32768), (100, 4, 6, 32768), (100, 5, 5, 0)]
     assert topk.top_k(v.where("false"), F.col("vec_id") % 50 == 0).collect() == []

@@ -517,6 +517,8 @@ def test_join_equals_brute_force(spark, block):
             n += 1
     texts |= {n + i: " ".join(word() for _ in range(50)) for i in range(40)}
     texts |= {n + 40 + i: texts[i] for i in range(5)}
+    texts |= {n + 50 + i: texts[i].upper().replace(" ", ", ") + "!" * i for i in range(8)}  # other texts with the same shingles
+    texts |= {n + 60 + i: texts[n + i] + "." for i in range(3)} | {n + 70: "!!", n + 71: "!!", n + 72: "?"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs, block=block).collect()}
     assert got == brute_classes(texts)
@@ -540,7 +542,7 @@ def test_pruning_bound():
 def test_components(spark, tmp_path):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
-    got = {r["node"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(edges, "u long, v long"), jaccard_join.Stage(spark)).collect()}
+    got = {r["node"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(edges, "u long, v long"), jaccard_join.Stage(spark))[0].collect()}
     parent = {x: x for e in edges for x in e}
     for _ in range(100):
         for a, b in edges:
