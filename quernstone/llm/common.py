@@ -17,6 +17,9 @@ __all__ = ["Stage", "attach", "bounded_sample", "codes", "crc_mod", "fresh", "sh
 #: Texts are handled in slices of about so many characters, so that scratch memory is bounded by a slice or by the longest text.
 SLICE_CHARS = 1 << 19
 BATCH_BYTES = "8388608b"
+#: Counted labels go to all executors up to so many.
+BROADCAST_LABELS = 100_000
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +31,26 @@ def crc_mod(col: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def bounded_sample(df: DataFrame, label: str, keys: list[str], per_class: int) -> DataFrame:
+def bounded_sample(df: DataFrame, label: str, keys: str | list[str], per_class: int) -> DataFrame:
     """About per_class rows of each label at most, the same ones whatever the partitioning; equal (label, keys) give one row.
 
     A row stays where the hash of its keys lies under per_class / (rows of its label).  As rows with equal keys share their hash and only one of them
     stays, the expected number is at most per_class a label also where one key is repeated any number of times.  Counting takes a pass over
     the labels; the aggregates combine before their shuffles.  All keys of a label with at most per_class rows stay, so only the labels with
-    more, a per_class-th of the rows at most, are sent to the rows.  Rows without a label are left out.
+    more, a per_class-th of the rows at most, meet the rows: by a broadcast up to BROADCAST_LABELS of them, counted, beyond that by a join on label and
+    salt, so that no label's rows need meet in one task.  Both ways give the same rows.  Rows without a label are left out.
     """
-    share = F.broadcast(df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n")).where(F.col("__n") > per_class))
-    u = F.xxhash64(F.lit(77), *keys).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    kept = df.where(F.col(label).isNotNull()).join(share, F.col(label) == F.col("__label"), "left")
+    keys = [keys] if isinstance(keys, str) else keys
+    stage = Stage(df.sparkSession)
+    share = stage.keep(df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n")).where(F.col("__n") > per_class), "share")
+    h = F.xxhash64(F.lit(77), *keys)
+    u = h.bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    kept, same = df.where(F.col(label).isNotNull()), F.col(label) == F.col("__label")
+    if share.count() <= BROADCAST_LABELS:
+        kept = kept.join(F.broadcast(share), same, "left")
+    else:
+        share = share.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        kept = kept.join(share, same & (F.pmod(h, F.lit(SALTS)) == F.col("__salt")), "left").drop("__salt")
     kept = kept.where(F.col("__n").isNull() | (u * F.col("__n") < per_class)).drop("__label", "__n")
     return kept.dropDuplicates([label, *keys])
 

@@ -109,3 +109,11 @@ def test_decoded_digest_comes_from_the_ids(monkeypatch):
     rows = [r for b in bpe.encode_batches(iter([batch]), bpe.tokenizer_path(), True) for r in b.to_pylist()]
     assert seen == [r["ids"] for r in rows]
     assert [r["decoded_sha256"] for r in rows] == [hashlib.sha256(decode(enc, r["ids"]).encode()).hexdigest() for r in rows]
+
+
+def test_many_labels_are_joined_with_salt(spark, monkeypatch):
+    df = spark.range(0, 6000).selectExpr("id", "case when id < 4000 then 'common' when id < 5000 then 'second' else concat('rare', id) end as label")
+    told = sorted(map(tuple, common.bounded_sample(df, "label", ["id"], 100).collect()))
+    monkeypatch.setattr(common, "BROADCAST_LABELS", 0)
+    assert sorted(map(tuple, common.bounded_sample(df, "label", ["id"], 100).collect())) == told
+    assert sum(r[1] == "common" for r in told) < 160 and sum(r[1].startswith("rare") for r in told) == 1000
