@@ -46,18 +46,16 @@ NONE = 1 << 30
 ODD_MARKS = "\u1df6\U0001e4ec\U0001e4ed"
 
 
-@functools.cache
-def rare() -> re.Pattern:
-    """A character that is unassigned in this Python's Unicode tables, or an odd mark."""
-    spans, begin = [], None
-    for c in range(0x80, 0x110001):
-        none = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if none and begin is None:
-            begin = c
-        elif not none and begin is not None:
-            spans.append(f"{chr(begin)}-{chr(c - 1)}")
-            begin = None
-    return re.compile("[" + "".join(spans) + ODD_MARKS + "]")
+#: What odd_places() knows of a code point: 0 nothing yet, 1 common, 2 odd.
+KINDS = np.zeros(0x110000, dtype=np.uint8)
+
+
+def odd_places(points: np.ndarray) -> np.ndarray:
+    """Which code points are unassigned in this Python's Unicode tables, or odd marks; each is looked up once a worker process."""
+    kinds = KINDS[points]
+    for c in np.unique(points[kinds == 0]).tolist():
+        KINDS[c] = 2 if unicodedata.category(chr(c)) == "Cn" or chr(c) in ODD_MARKS else 1
+    return (kinds if kinds.all() else KINDS[points]) == 2
 
 
 def byte_chars() -> list[str]:
@@ -332,13 +330,21 @@ class Encoder:
         """The bytes of all pieces of the runs, a newline between runs."""
         if joined.isascii():
             return [p.encode() for p in PIECES_ASCII.findall(joined.lower())]
-        if not rare().search(joined):
-            return [p.encode("utf-8", "surrogatepass") for p in PIECES.findall(unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower())]
-        out = []
-        for i, r in enumerate(runs):
-            out += [b"\n"] if i else []
-            out += self._library_pieces(r) if rare().search(r) else self._pieces(r, [r])
-        return out
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        odd = np.flatnonzero(odd_places(points))
+        out, done = [], 0
+        for i in np.unique(np.searchsorted(np.flatnonzero(points == 10), odd)).tolist():  # the runs that have an odd one
+            if i > done:
+                out += [*self._common_pieces("\n".join(runs[done:i])), b"\n"]
+            out += self._library_pieces(runs[i])
+            done = i + 1
+            if done < len(runs):
+                out.append(b"\n")
+        return out + self._common_pieces(joined if not done else "\n".join(runs[done:]))
+
+    @staticmethod
+    def _common_pieces(joined: str) -> list[bytes]:
+        return [p.encode("utf-8", "surrogatepass") for p in PIECES.findall(unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower())]
 
     def _library_pieces(self, run: str) -> list[bytes]:
         if self.library is None:
