@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op11_tokenizer_alignment
 from .bpe import op2_bpe
 from .decontaminate import op4_decontamination
 from .jaccard_join import op10_jaccard_join
@@ -15,7 +16,7 @@ from .toxicity import op9_toxicity
 
 
 def queries() -> dict:
-    found = (op1_sharding, op2_bpe, op3_language_id, op4_decontamination, op5_quality, op6_pii, op7_token_counts, op8_topk, op9_toxicity, op10_jaccard_join)
+    found = (op1_sharding, op2_bpe, op3_language_id, op4_decontamination, op5_quality, op6_pii, op7_token_counts, op8_topk, op9_toxicity, op10_jaccard_join, op11_tokenizer_alignment)
     return {f.__name__: f for f in found}
 
 
