@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -37,6 +38,33 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: The fast splitter gives up on far longer runs of white space than this; texts that have one take the other library, which gives the same ids.
 LONG_SPACE = 4096
 WIDE = re.compile(r"\s{%d}" % LONG_SPACE)
+#: A single space between two characters that aren't white space.
+UNIT = re.compile(r" (?<=\S )(?=\S)")
+#: Encoded units are kept up to so many characters (and a slice of texts more).
+KNOWN_CHARS = 1 << 20
+
+
+def listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row and how many each list has."""
+    many = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(many.sum())), many
+
+
+class Lists:
+    """A growing row of lists of ids."""
+
+    def __init__(self):
+        self.flat, self.start, self.many = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, many: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(many) - many])
+        self.flat, self.many = np.concatenate([self.flat, ids]), np.concatenate([self.many, many])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists in a row, and how many each has."""
+        many = self.many[at]
+        before = np.cumsum(many) - many
+        return self.flat[np.repeat(self.start[at] - before, many) + np.arange(int(many.sum()))], many
 
 
 class Sides:
@@ -57,6 +85,9 @@ class Sides:
         for raw, i in ranks.items():
             self.bytes_a[i] = raw
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.by_units = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        self.known: dict[str, int] = {}
+        self.chars, self.store, self.fine = 0, [Lists() for _ in "ab"], np.zeros(0, dtype=bool)
         self.bytes_b = np.array([self._piece(i) for i in range(self.b.get_piece_size())], dtype=object)
         self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         # with the sign that follows: inside a group, at its end (A: the B side follows), at the text's end
@@ -77,14 +108,68 @@ class Sides:
             self.library.encode_special_tokens = True
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def units(self, text: str) -> list[str]:
+        """A text cut at its single spaces.  Both tokenizers begin a token at such a space, so units are encoded one by one and only once."""
+        return UNIT.split(text) if self.by_units else [text]
+
+    def row_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of a space and each unit, which have no white space at their ends: encoded in a row, parted where they end in bytes."""
+        ids = np.array(self.ids_a(" " + " ".join(units)) if units else [], np.int32)
+        stops = np.cumsum(np.fromiter((len(u.encode("utf-8", "replace")) + 1 for u in units), np.int64, len(units)))
+        ends = np.cumsum(self.len_a[ids])
+        at = np.searchsorted(ends, stops)
+        if len(at) and (at[-1] >= len(ends) or (ends[at] != stops).any()):
+            return listed([self.ids_a(f" {u}") for u in units])
+        return ids, np.diff(at, prepend=-1)
+
+    def ready(self, texts: list[list[str]]) -> None:
+        """Makes all these units known; the store of known ones is emptied when it has grown to KNOWN_CHARS."""
+        want = set(chain.from_iterable(texts))
+        new = [u for u in want if u not in self.known]
+        if self.chars > KNOWN_CHARS:
+            self.known, self.chars, new = {}, 0, list(want)
+            self.store = [Lists() for _ in "ab"]
+            self.fine = np.zeros(0, dtype=bool)
+        if not new:
+            return
+        self.chars += sum(map(len, new))
+        plain = [u for u in new if u and u.strip() is u] if self.by_units else []
+        odd = [u for u in new if not u or u.strip() is not u] if self.by_units else new
+        new = plain + odd
+        row, rest = self.row_a(plain), listed([self.ids_a(f" {u}") for u in odd])
+        a = np.concatenate([row[0], rest[0]]), np.concatenate([row[1], rest[1]])
+        raw = [f" {u}".encode("utf-8", "replace") for u in new]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        fine = np.ones(len(new), dtype=bool)
+        for own, (ids, many), held, lens in ((self.store[0], a, self.bytes_a, self.len_a), (self.store[1], listed(self.b.encode(new, num_threads=1)), self.bytes_b, self.len_b)):
+            own.add(ids, many)
+            ends = np.cumsum(many)
+            same = np.diff(np.concatenate(([0], np.cumsum(lens[ids])))[ends], prepend=0) == size
+            if not same.all() or b"".join(held[ids].tolist()) != b"".join(raw):
+                same = np.array([b"".join(held[x].tolist()) == r for x, r in zip(np.split(ids, ends[:-1]), raw, strict=True)])
+            fine &= same
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.fine = np.concatenate([self.fine, fine])
+
+    def encode_many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both sides: all ids in a row and how many each text has: none where it is empty or a side's bytes aren't a space and the text."""
+        cut = [self.units(t) for t in texts]
+        self.ready(cut)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
+        good = np.fromiter(map(bool, texts), bool, len(texts))
+        good[owner[~self.fine[at]]] = False
+        kept = good[owner]
+        at, owner = at[kept], owner[kept]
+        out = []
+        for own in self.store:
+            ids, many = own.take(at)
+            out.append((ids, np.bincount(owner, weights=many, minlength=len(texts)).astype(np.int64)))
+        return out
+
     def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both sides, none where the text is empty or a side's bytes aren't a space and the text."""
-        if not text:
-            return [], []
-        want = f" {text}".encode("utf-8", "replace")
-        a, b = self.ids_a(f" {text}"), self.b.encode(text)
-        same = b"".join(self.bytes_b[b].tolist()) == want and b"".join(self.bytes_a[a].tolist()) == want
-        return (a, b) if same else ([], [])
+        (a, _), (b, _) = self.encode_many([text])
+        return a.tolist(), b.tolist()
 
     def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For tokens in a row: of each segment, the places of its tokens in a and b; and how many tokens of either side each group has."""
@@ -103,10 +188,9 @@ def sides(path_a: str, path_b: str) -> Sides:
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     two = sides(path_a, path_b)
-    ints = pa.list_(pa.int32())
     for batch, texts in slices(batches, 1, CHARS):
-        found = [two.encode(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], ints), pa.array([f[1] for f in found], ints)], names=["doc_id", "a", "b"])
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32()), pa.array(ids, pa.int32())) for ids, many in two.encode_many(texts)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "a", "b"])
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

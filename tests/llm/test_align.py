@@ -147,6 +147,21 @@ def test_clashing_columns(spark):
     assert align.Alignment(docs, *PATHS).documents().columns == FIELDS
 
 
+def test_known_units_start_anew(monkeypatch):
+    """The same ids whatever is known already, at any limit and slicing."""
+    two = align.Sides(*PATHS)
+    texts = [t for _, t in ODD if t] + ["a b  c\n d e \n f\tg", " lead and trail ", "x y " * 50]
+    want = [(two.ids_a(" " + t), two.b.encode(t)) for t in texts]
+    monkeypatch.setattr(align, "KNOWN_CHARS", 40)
+    for step in (1, 3, len(texts)):
+        for i in range(0, len(texts), step):
+            (a, many_a), (b, many_b) = two.encode_many(texts[i : i + step])
+            a, b = np.split(a, np.cumsum(many_a)[:-1]), np.split(b, np.cumsum(many_b)[:-1])
+            for t, x, y, w in zip(texts[i : i + step], a, b, want[i : i + step], strict=True):
+                assert (x.tolist(), y.tolist()) == (([], []) if "▁" in t else w)
+    assert two.chars < 40 + sum(map(len, texts))
+
+
 def test_query_covers_the_table(spark):
     rows = entry.queries()["op11_tokenizer_alignment"](spark, DATA).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
