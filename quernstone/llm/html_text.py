@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table
+from .common import bounded_sample, slices, small_batches, table
 
 #: Bounds of the labelled pages: so many of the table, each of at most so many characters, and so many made ones.
 LABELLED = 96
@@ -533,10 +533,10 @@ def learn(pages: list[str], made: int = MADE, seed: int = 12) -> Weights:
 
 
 def labelled_pages(pages: DataFrame, html_col: str = "html", n: int = LABELLED, chars: int = LABELLED_CHARS) -> list[str]:
-    """At most n pages that mark an article, of at most so many characters: those with the smallest hashes, each once."""
+    """At most n pages that mark an article, of at most so many characters, each once: the same ones whatever the partitioning."""
     text = F.col(html_col)
-    found = pages.where(F.lower(text).contains("<article") & (F.length(text) <= chars)).select(F.xxhash64(text).alias("h"), text.alias("html"))
-    return [r["html"] for r in found.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(n).collect()]
+    found = pages.where(F.lower(text).contains("<article") & (F.length(text) <= chars)).select(F.lit(1).alias("marked"), text.alias("html"))
+    return [r["html"] for r in bounded_sample(found, "marked", "html", n).orderBy(F.xxhash64("html"), "html").limit(n).collect()]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Weights | None = None) -> DataFrame:
