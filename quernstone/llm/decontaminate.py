@@ -25,6 +25,9 @@ from .common import Stage, attach, codes, fresh, table
 
 Q = 8
 EDITS = 0.08
+#: So many pairs of positions and runs of offsets are counted at a time; so many alignments are kept while a slice of texts is searched.
+PAIRS = 1 << 18
+SEEN = 512
 #: Items are sent to the executors in parts of so many characters; each part is a pass over the documents.
 PART_CHARS = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -107,54 +110,77 @@ class Index:
         h = np.concatenate(own)
         item = np.repeat(items, [len(x) for x in own])
         offset = np.concatenate([np.arange(len(x)) for x in own])
-        by = np.argsort(h, kind="stable")
-        hashes, start, many = np.unique(h[by], return_index=True, return_counts=True)
+        by = np.lexsort((offset, item, h))
+        h, item, offset = h[by], item[by], offset[by]
+        # offsets of one item that lie within a band's width of each other are one run: they give neighbouring bands
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1]) | (np.diff(offset) > self.width[item[1:]])
+        run = np.flatnonzero(new)
+        low, high = offset[run], offset[np.concatenate((run[1:], [len(h)])) - 1]
+        hashes, start, many = np.unique(h[run], return_index=True, return_counts=True)
         shift = np.uint64(64 - min(max(16, len(hashes).bit_length() + 3), 26))  # about one in eight places is taken
         there = np.zeros(1 << (64 - int(shift)), dtype=bool)
         there[(hashes >> shift).astype(np.int64)] = True
-        return item[by], offset[by], hashes, start, many, there, shift
+        return item[run], low, high, hashes, start, many, there, shift
 
     def hits(self, sym: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each q: text, item, position and offset of every q-gram that a text and an item share."""
-        for q, items, offsets, hashes, start, many, there, shift in self.by_q:
+        """Text, item, position and least and greatest offset of every q-gram of a text and run of the same q-gram in an item, PAIRS or so at a time."""
+        for q, items, low, high, hashes, start, many, there, shift in self.by_q:
             h = grams(sym, q)
             at = np.flatnonzero(there[(h >> shift).astype(np.int64)])
             k = np.searchsorted(hashes, h[at])
             k[k == len(hashes)] = 0
             hit = hashes[k] == h[at]
             at, k = at[hit], k[hit]
-            n = many[k]
-            pos = np.repeat(at, n)
-            which = np.repeat(start[k], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            doc = np.searchsorted(first, pos, side="right") - 1
-            inside = pos + q <= first[doc + 1] - 1  # not over a text's end
-            yield doc[inside], items[which[inside]], pos[inside], offsets[which[inside]]
-
-    def bands(self, first: np.ndarray, doc: np.ndarray, item: np.ndarray, pos: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, band) that reach the bound; band b of an item holds diagonals from b * width to (b + 2) * width."""
-        diagonal = pos - first[doc] - offset
-        band = np.floor_divide(diagonal, self.width[item])
-        n_band = int(band.max(initial=0) - band.min(initial=0)) + 3
-        low = int(band.min(initial=0)) - 1
-        key = (doc * len(self.ids) + item) * n_band
-        keys, counts = np.unique(np.concatenate((key + (band - low), key + (band - 1 - low))), return_counts=True)
-        pair, band = keys // n_band, keys % n_band + low
-        keep = counts >= self.bound[pair % len(self.ids)]
-        return list(zip((pair[keep] // len(self.ids)).tolist(), (pair[keep] % len(self.ids)).tolist(), band[keep].tolist(), strict=True))
-
-    def align(self, stretch: np.ndarray, item: int) -> tuple[int, int, int]:
+            doc = np.searchsorted(first, at, side="right") - 1
+            inside = at + q <= first[doc + 1] - 1  # not over a text's end
+            at, k, doc = at[inside], k[inside], doc[inside]
+            del h, hit, inside
+            cut = np.cumsum(many[k]) // PAIRS
+            edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(at)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                n = many[k[a:b]]
+                which = np.repeat(start[k[a:b]], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                yield np.repeat(doc[a:b], n), items[which], np.repeat(at[a:b], n), low[which], high[which]
+
+    def bands(self, first: np.ndarray, found: Iterator[tuple[np.ndarray, ...]]) -> list[tuple[int, int, int]]:
+        """(text, item, band) that reach the bound; band b of an item holds diagonals from b * width to (b + 2) * width.
+
+        A position of a text counts once for every band that it shares a q-gram with the item in, however often the item repeats that, as the lemma
+        needs no more.  It adds one where its bands begin and takes it away after they end, and these changes are summed up piece by piece.
+        """
+        shift = int(self.size.max(initial=0)) + 3
+        n_band = int(np.diff(first).max(initial=0)) + 2 * shift + 4
+        keys, change = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for doc, item, pos, low, high in found:
+            at, width = pos - first[doc], self.width[item]
+            pair = (doc * len(self.ids) + item) * n_band + shift
+            begin, end = pair + np.floor_divide(at - high, width) - 1, pair + np.floor_divide(at - low, width) + 1
+            keys, back = np.unique(np.concatenate((keys, begin, end)), return_inverse=True)
+            one = np.ones(len(begin), np.int64)
+            change = np.bincount(back, weights=np.concatenate((change, one, -one)), minlength=len(keys)).astype(np.int64)
+        counts = np.cumsum(change)
+        reach = np.flatnonzero(counts >= self.bound[keys // n_band % len(self.ids)])
+        reach = reach[counts[reach] > 0]
+        many = keys[np.minimum(reach + 1, len(keys) - 1)] - keys[reach]
+        every = np.repeat(keys[reach] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        pair, band = every // n_band, every % n_band - shift
+        return list(zip((pair // len(self.ids)).tolist(), (pair % len(self.ids)).tolist(), band.tolist(), strict=True))
+
+    def align(self, stretch: np.ndarray, item: int, before: int = 0) -> tuple[int, int, int]:
         """Least edits of the item against any part of a stretch of text that begins on one of its len(stretch) - m + 1 + e first
-        places, with the part's start and end.  A row for each symbol of the item holds the diagonals of the band only.
+        places, with the part's start and end.  A row for each symbol of the item holds the diagonals of the band only; `before` of them lie before
+        the stretch, for symbols that are missing where a text begins with the item.
         """
         p, n = self.sym[item], len(stretch)
         m = len(p)
         same = equal_at(stretch, p)
         if same >= 0:  # the alignment without edits
             return 0, same, same + m
-        wide = max(n - m, 0) + int(self.budget[item]) + 1
+        wide = before + max(n - m, 0) + int(self.budget[item]) + 1
         far = np.int32(m + n + 1)
-        text = np.full(m + wide, 0x7FFFFFFF, dtype=np.uint32)  # beyond the stretch nothing is equal
-        text[:n] = stretch
+        text = np.full(before + n + m + wide, 0x7FFFFFFF, dtype=np.uint32)  # beyond the stretch nothing is equal
+        text[before : before + n] = stretch
         idx = np.arange(wide, dtype=np.int32)
         row, since = np.zeros(wide, dtype=np.int32), idx.copy()
         up, came = np.empty(wide, dtype=np.int32), np.empty(wide, dtype=np.int32)
@@ -168,20 +194,23 @@ class Index:
             best = np.minimum.accumulate(flat)  # then symbols of the text that the item lacks, along the row
             since = since[np.maximum.accumulate(np.where(flat == best, idx, 0))]
             row = best + idx
-        row = np.where(idx + m <= n, row, far)
+        row = np.where(idx + m <= before + n, row, far)
         end = int(row.argmin())
-        return int(row[end]), int(since[end]), end + m
+        return int(row[end]), max(0, int(since[end]) - before), end + m - before
 
     def find(self, texts: list[str]) -> list[list[tuple[int | None, int, int, int]]]:
         """For each text: (item id or None, start, end, edits) of what was found, places in the text itself; the best of each item and stretch."""
         sym, first, place = normal(texts)
         out: list[dict] = [{} for _ in texts]
-        for doc, item, pos, offset in self.hits(sym, first):
-            word = self.whole[item]
-            if word.any():
-                self._whole_words(sym, first, place, doc[word], item[word], pos[word], out)
-                doc, item, pos, offset = doc[~word], item[~word], pos[~word], offset[~word]
-            self._aligned(sym, first, place, self.bands(first, doc, item, pos, offset), out)
+
+        def to_align() -> Iterator[tuple[np.ndarray, ...]]:
+            for doc, item, pos, low, high in self.hits(sym, first):
+                word = self.whole[item]
+                if word.any():
+                    self._whole_words(sym, first, place, doc[word], item[word], pos[word], out)
+                yield tuple(x[~word] for x in (doc, item, pos, low, high))
+
+        self._aligned(sym, first, place, self.bands(first, to_align()), out)
         return [sorted(((self.ids[i], s, e, d) for (i, s, e), d in x.items()), key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) for x in out]
 
     def _whole_words(self, sym, first, place, doc, item, pos, out) -> None:
@@ -198,13 +227,21 @@ class Index:
                 stretches[-1][3] = band  # two neighbours that overlap are aligned once
             else:
                 stretches.append([doc, item, band, band])
+        seen: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
         for doc, item, band, upto in stretches:
             w, m, e = int(self.width[item]), int(self.size[item]), int(self.budget[item])
             a, b = int(first[doc]), int(first[doc + 1]) - 1
             low, high = max(a, a + band * w - e), min(b, a + (upto + 2) * w + m + e)
             if high - low < m - e:
                 continue
-            edits, s, t = self.align(sym[low:high], item)
+            stretch = sym[low:high]
+            ahead = min(e, max(0, e - band * w))
+            known = (item, ahead, stretch.tobytes())  # repetitive texts have the same stretches over and over
+            if known not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen[known] = self.align(stretch, item, ahead)
+            edits, s, t = seen[known]
             if edits <= e and t > s:
                 found = (int(place[low + s]), int(place[low + t - 1]) + 1)
                 key = (item, *found)
