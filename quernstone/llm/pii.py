@@ -127,6 +127,8 @@ def plausible(kind: int, text: str, a: int, b: int) -> bool:
 
 # -- characters and training windows -----------------------------------------------------------------------------------------
 
+#: A proposal longer than this is none: no address has more characters (64, an @, 255), and numbers have fewer.
+LONGEST = 320
 MARKS = "@.-_+()% :/\"=,\n[]{}"  # these have a class each
 WORDED = "atdo"  # and so have the letters of the worded at and dot
 PAD, LOWER, UPPER, DIGIT, LETTER, OTHER = range(6)
@@ -256,6 +258,20 @@ def sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-v))
 
 
+def lstm_states(m: dict, d: str, x: np.ndarray) -> np.ndarray:
+    """One direction over x (batch, time): its states only."""
+    n, t = x.shape
+    h, c = np.zeros((n, HIDDEN), m["u" + d].dtype), np.zeros((n, HIDDEN), m["u" + d].dtype)
+    out = np.empty((n, t, HIDDEN), m["u" + d].dtype)
+    for k in range(t):
+        z = m["x" + d][x[:, k]] + h @ m["u" + d] + m["c" + d]
+        s = sigmoid(z[:, : 3 * HIDDEN])
+        c = s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+        h = s[:, 2 * HIDDEN :] * np.tanh(c)
+        out[:, k] = h
+    return out
+
+
 def lstm(m: dict, d: str, x: np.ndarray) -> dict:
     """One direction over x (batch, time); everything that the backward pass needs."""
     n, t = x.shape
@@ -355,7 +371,7 @@ def train(texts: list[str], steps: int = STEPS, seed: int = SEED) -> dict[str, n
 
 def decode(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best tag sequence of each window (Viterbi), and each character's emission lead of that tag over none."""
-    e = emissions(m, x)[0]
+    e = np.concatenate([lstm_states(m, "f", x), lstm_states(m, "b", x[:, ::-1])[:, ::-1]], axis=2) @ m["o"] + m["ob"]
     n, t, _ = e.shape
     trans = m["t"] + allowed().astype(np.float32)
     best, came = e[:, 0] + m["s"], np.empty((n, t, TAGS), dtype=np.int8)
@@ -426,6 +442,8 @@ def tagged(m: dict, texts: list[str], where: list[tuple[int, int, int]]) -> Iter
 
 def hopeless(kind: int, piece: str) -> bool:
     """Whether no span that holds this piece can be plausible."""
+    if len(piece) > LONGEST:
+        return True
     if kind == 0:
         inner = piece.split()[1:-1]  # the words at the ends may be cut
         joins = [re.fullmatch(r"[\[({]?(?:at|dot|@|\.)?[\])}]?", x, re.I) is not None for x in inner]
@@ -448,8 +466,15 @@ def wider(windows: list[tuple[int, int, int, tuple[int, int]]]) -> dict[tuple[in
     return {(i, a, b): pieces for i, a, b, pieces in out}
 
 
-def proposals(m: dict, texts: list[str]) -> list[list[Span]]:
-    """Reconciled spans of the tagger for each text."""
+def proposals(m: dict, texts: list[str], base: list[list[Span]] | None = None) -> list[list[Span]]:
+    """Reconciled spans of the tagger for each text.  A cut piece that meets a base span is left alone: nothing that holds it could be added."""
+    base = base or [[] for _ in texts]
+    held = [(np.array([a for _, a, _ in sorted(b, key=lambda s: s[1])]), np.maximum.accumulate([e for _, _, e in sorted(b, key=lambda s: s[1])] or [0])) for b in base]
+
+    def meets(i: int, s: int, e: int) -> bool:
+        k = int(np.searchsorted(held[i][0], e))
+        return k > 0 and int(held[i][1][k - 1]) > s
+
     todo = {(i, a, min(a + WINDOW, len(t))): None for i, t in enumerate(texts) for a in window_starts(t)}
     found: list[list] = [[] for _ in texts]
     while todo:
@@ -462,7 +487,7 @@ def proposals(m: dict, texts: list[str]) -> list[list[Span]]:
                 left, right = s - a < MARGIN and a > 0, b - e < MARGIN and b < len(texts[i])
                 if not (left or right):
                     found[i].append((kind, s, e, score))
-                elif not hopeless(kind, texts[i][s:e]):
+                elif not (meets(i, s, e) or hopeless(kind, texts[i][s:e])):
                     cut.append((i, max(0, 2 * a - b) if left else a, min(len(texts[i]), 2 * b - a) if right else b, (s, e), kind))
         todo = wider([c[:4] for c in cut if not any(k == c[4] and s <= c[3][0] and c[3][1] <= e for k, s, e, _ in found[c[0]])])
     return [reconcile(f) for f in found]
@@ -488,7 +513,7 @@ def snapped(kind: int, text: str, a: int, b: int) -> Span:
 def all_spans(m: dict | None, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
     base = [base_spans(t) for t in texts]
-    more = proposals(m, texts) if m is not None else [[] for _ in texts]
+    more = proposals(m, texts, base) if m is not None else [[] for _ in texts]
     out = []
     for t, b, p in zip(texts, base, more, strict=True):
         ends = sorted({snapped(k, t, x, y) for k, x, y in p}, key=lambda s: (s[1] - s[2], s[1], s[0]))  # the longest first
