@@ -20,6 +20,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,8 @@ PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 RUNS = re.compile(f"[^{SPACE}]+")
 END = "</w>"
-CACHED_RUNS = 125_000
+#: The cache starts anew beyond so many runs or characters, twice over; longer runs than LONG_RUN are forgotten with the next slice.
+CACHED_RUNS, CACHED_CHARS, LONG_RUN = 125_000, 1 << 24, 1024
 LONG = 192
 NONE = 1 << 30
 
@@ -100,6 +102,8 @@ class Encoder:
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.runs: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
+        self.long: list[str] = []
+        self.chars = 0
         self.counts = {"pieces": 0, "merged": 0}
 
     def _trie(self, order: list[str]) -> None:
@@ -214,28 +218,29 @@ class Encoder:
             toks[rows], made[rows] = t, g
 
     def merge_long(self, sym: np.ndarray) -> np.ndarray:
-        """The same for one long piece: a heap over linked tokens."""
-        toks = self.unit[sym].tolist()
-        n = len(toks)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        made, alive = self.merge_of, [True] * n
-        heap = [(m, i, toks[i], toks[i + 1]) for i in range(n - 1) if (m := made.get((toks[i] << 20) | toks[i + 1])) is not None]
+        """The same for one long piece: a heap of (merge, place) in one number each, over linked tokens in flat arrays."""
+        n = len(sym)
+        toks, after, before = array("q", self.unit[sym].tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        first = self.joined(self.unit[sym[:-1]], self.unit[sym[1:]])
+        at = np.flatnonzero(first < NONE)
+        heap = ((first[at] << 40) | at).tolist()
+        made, alive = self.merge_of, bytearray(b"\x01") * n
         heapq.heapify(heap)
         while heap:
-            m, i, x, y = heapq.heappop(heap)
+            m, i = divmod(heapq.heappop(heap), 1 << 40)
             j = after[i] if alive[i] else n
-            if j >= n or toks[i] != x or toks[j] != y:
-                continue
-            toks[i], alive[j], k = m, False, after[j]
+            if j >= n or made.get((toks[i] << 20) | toks[j]) != m:
+                continue  # its tokens have merged with others since
+            toks[i], alive[j], k = m, 0, after[j]
             after[i] = k
             if k < n:
                 before[k] = i
                 if (v := made.get((m << 20) | toks[k])) is not None:
-                    heapq.heappush(heap, (v, i, m, toks[k]))
+                    heapq.heappush(heap, (v << 40) | i)
             h = before[i]
             if h >= 0 and (v := made.get((toks[h] << 20) | m)) is not None:
-                heapq.heappush(heap, (v, h, toks[h], m))
-        return np.array([t for t, x in zip(toks, alive, strict=True) if x], dtype=np.int64)
+                heapq.heappush(heap, (v << 40) | h)
+        return np.frombuffer(toks, dtype=np.int64)[np.frombuffer(alive, dtype=np.uint8) > 0]
 
     def encode_symbols(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all pieces in a row, and how many each piece has."""
@@ -356,18 +361,23 @@ class Encoder:
 
     def ready(self, runs: list[list[str]]) -> dict[str, tuple[int, str, str]]:
         """A dictionary that has all these runs: number of tokens, ids and contents joined by a space."""
+        for r in self.long:
+            self.runs.pop(r, None)
         want = set().union(*runs) if runs else set()
         new = [r for r in want if r not in self.runs]
-        if len(self.runs) + len(new) > CACHED_RUNS and self.runs:
-            self.older, self.runs = self.runs, {}
+        if (len(self.runs) + len(new) > CACHED_RUNS or self.chars > CACHED_CHARS) and self.runs:
+            self.older, self.runs, self.chars = self.runs, {}, 0
             new = list(want)
         if self.older:
             old = self.older
             kept = [r for r in new if r in old]
             self.runs.update((r, old[r]) for r in kept)
+            self.chars += sum([len(r) + len(old[r][1]) + len(old[r][2]) for r in kept])
             new = [r for r in new if r not in self.runs]
         if new:
             self.learn(new)
+        self.long = [r for r in new if len(r) > LONG_RUN]
+        self.chars += sum([len(r) + len(self.runs[r][1]) + len(self.runs[r][2]) for r in new if len(r) <= LONG_RUN])
         return self.runs
 
     def decode(self, ids: list[int]) -> str:

@@ -9,18 +9,20 @@ is widened and the pair encoded again, at worst to the end of the text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import RUNS, Encoder, encoder, runs_of, tokenizer_path
+from .bpe import RUNS, SPACE, Encoder, encoder, runs_of, tokenizer_path
 from .common import slices, small_batches, table
 
 WINDOW = 16_384
 OVERLAP = 256
 LIMIT = 2048
+GAP = re.compile(f"[{SPACE}]")
 
 
 def window_spans(enc: Encoder, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
@@ -48,7 +50,8 @@ def count_tokens(enc: Encoder, text: str, window: int = WINDOW, overlap: int = O
         else:
             widened += 1
             wide *= 2
-            left_end = min(n, left_end + wide)
+            gap = GAP.search(text, left_end)  # no boundary can come before the next white space
+            left_end = min(n, max(left_end + wide, gap.end() + overlap if gap else n))
             left = window_spans(enc, text, a, left_end)
     return total + sum(c for s, _, c in left if s >= since), widened
 

@@ -1,9 +1,12 @@
 """Cases from the review of round 1 in which an operator did less than the whole job."""
 
 import hashlib
+import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quernstone.llm import bpe, common, decontaminate, entry, jaccard_join, language, pii, toxicity
 
@@ -117,3 +120,107 @@ def test_many_labels_are_joined_with_salt(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_LABELS", 0)
     assert sorted(map(tuple, common.bounded_sample(df, "label", ["id"], 100).collect())) == told
     assert sum(r[1] == "common" for r in told) < 160 and sum(r[1].startswith("rare") for r in told) == 1000
+
+
+# -- very long and repetitive texts: bounded memory and time, nothing left out
+
+
+def grown(f):
+    """What f gives, and by how many MB it raised this process's peak memory."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = f()
+    return out, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1e3
+
+
+def test_repetitive_text_meets_repetitive_item():
+    from quernstone.llm import decontaminate
+
+    index = decontaminate.Index(((1, "ab" * 200), (2, "ab" * 150 + "xyz" + "ab" * 50), (3, "the quick brown fox jumps over the lazy dog again")))
+    n = 1_500_000
+    ((found,), mb) = grown(lambda: index.find(["ab" * (n // 2) + " the quick brown fox jumps over the lazy dog again"]))
+    assert {r[0] for r in found} == {1, 2, 3} and mb < 800  # the second item's three odd letters are within its budget
+    held = np.zeros(n, dtype=bool)
+    for i, s, e, _ in found:
+        held[s:e] |= i == 1
+    assert held[1000:-1000].mean() > 0.95
+
+
+def test_repetitive_texts_equal_brute_force():
+    from quernstone.llm import decontaminate
+
+    rng = random.Random(8)
+    for _ in range(60):
+        unit = "".join(rng.choices("abc", k=rng.randint(1, 4)))
+        item = list((unit * 40)[: rng.randint(20, 60)])
+        for _ in range(rng.randint(0, 3)):
+            item[rng.randrange(len(item))] = "x"
+        text = list((unit * 60)[: rng.randint(10, 120)])
+        for _ in range(rng.randint(0, 3)):
+            text[rng.randrange(len(text))] = "y"
+        item, text = "".join(item), "".join(text)
+        index = decontaminate.Index(((1, item),))
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+            row = new
+        assert bool(index.find([text])[0]) == (min(row) <= int(index.budget[0])), (item, text)
+
+
+def test_items_with_missing_symbols_at_the_ends_of_texts():
+    from quernstone.llm import decontaminate
+
+    rng = random.Random(3)
+    for _ in range(150):
+        item = "".join(rng.choices("abcdefgh", k=rng.randint(30, 90)))
+        index = decontaminate.Index(((1, item),))
+        z, budget = list(item), int(index.budget[0])
+        for _ in range(rng.randint(1, budget)):
+            z.pop(rng.randrange(len(z)))
+        text = "".join(z)
+        for whole in (text, text + " words after it", "words before it " + text):
+            assert index.find([whole])[0], (item, whole)
+
+
+@pytest.mark.parametrize("text", ["x." * 250_000 + "@ab.de end", "a@" + "b." * 250_000 + "de end", "x" * 250_000 + "@" + "y" * 250_000, "1 " * 100_000, "a @ " * 50_000])
+def test_tagger_on_one_long_token(text):
+    from quernstone.llm import pii
+
+    m = pii.train(["mail me at a.b@c.de or 10.1.2.3 now, call +1 555 123 4567"] * 20, steps=20)
+    began = time.time()
+    (((base, _),), mb) = grown(lambda: pii.all_spans(m, [text]))
+    assert base == pii.base_spans(text) and mb < 800 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("unit", ["ab", "a", "Zx9", "東京都", "<|endoftext|>"])
+def test_long_texts_without_white_space(unit):
+    from tokenizers import Tokenizer
+
+    from quernstone.llm import bpe, token_count
+
+    enc = bpe.encoder(bpe.tokenizer_path())
+    text = unit * (400_000 // len(unit))
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    want = library.encode(text, add_special_tokens=False).ids
+    got, mb = grown(lambda: enc.ready([[text]])[text])
+    assert got[0] == len(want) and got[1] == " ".join(map(str, want)) and mb < 600
+    assert token_count.count_tokens(enc, text)[0] == len(want)
+    assert token_count.count_tokens(enc, f"some words {text} and more {text}")[0] == len(library.encode(f"some words {text} and more {text}", add_special_tokens=False).ids)
+
+
+def test_run_cache_is_bounded_in_characters(monkeypatch):
+    from quernstone.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHED_CHARS", 2000)
+    enc = bpe.Encoder(bpe.tokenizer_path())
+    runs = [f"run{i}with{i * 7}digits" for i in range(600)]
+    alone = {r: bpe.Encoder._encode_runs(enc, [r])[0] for r in runs[:50]}
+    for i in range(0, 600, 20):
+        have = enc.ready([[*runs[i : i + 20], "x" * 5000]])
+        assert all(have[r] == alone[r] for r in runs[i : i + 20] if r in alone) and have["x" * 5000][0] > 0
+        assert sum(len(r) for r in enc.runs) < 2000 + 5000 + 2000
+    enc.ready([["last"]])
+    assert "x" * 5000 not in enc.runs and "x" * 5000 not in enc.older
