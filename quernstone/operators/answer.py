@@ -90,7 +90,7 @@ def cited(passages: DataFrame, completions: DataFrame) -> DataFrame:
 
 
 def answer(questions: DataFrame, passages: DataFrame, llm=None, floor: float = 0.15) -> DataFrame:
-    """A row for each question (query_id, question): text, grounded, escalated, confidence, citations, passages.
+    """A row for each question (query_id, question): text, grounded, escalated, confidence, citations, passages, top (the best score).
 
     passages (query_id, question, id, text, citation, section_label, filename, score, method, rank) are the reranked ones.  A blank question,
     no passage, a best score under floor, or an empty completion is a refusal; a refusal keeps its passages.
@@ -112,6 +112,7 @@ def answer(questions: DataFrame, passages: DataFrame, llm=None, floor: float = 0
         F.round(F.coalesce("top", F.lit(0.0)), 4).alias("confidence"),
         F.when(refused, none).otherwise(F.col("citations")).alias("citations"),
         F.coalesce("passages", F.array().cast(out.schema["passages"].dataType)).alias("passages"),
+        "top",
     )
 
 

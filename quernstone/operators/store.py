@@ -32,6 +32,10 @@ def listing(documents: DataFrame) -> DataFrame:
     return documents.orderBy("filename", "doc_id")
 
 
+class CommitConflict(RuntimeError):
+    """Another commit came between; read again and repeat."""
+
+
 class Log:
     """Append-only Parquet segments of some tables under one root.
 
@@ -64,9 +68,14 @@ class Log:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s}" for s in segments))
 
-    def commit(self, added: dict[str, DataFrame], replace: bool = False) -> int:
-        """Adds rows to tables (replace: puts them in the place of all their rows); the new version."""
+    def commit(self, added: dict[str, DataFrame], replace: bool = False, version: int | None = None) -> int:
+        """Adds rows to tables (replace: puts them in the place of all their rows); the new version.
+
+        version: the one that the rows carry.  If another commit has taken it since, nothing changes and CommitConflict is raised.
+        """
         now = self.manifest()
+        if version is not None and version != now["version"] + 1:
+            raise CommitConflict(f"version {version} is no longer the next one; the newest is {now['version']}")
         version, tables, gone = now["version"] + 1, dict(now["tables"]), []
         for name, df in added.items():
             segment = f"{name}/{version:012d}-{uuid.uuid4().hex}"
@@ -74,7 +83,12 @@ class Log:
             gone += tables.get(name, []) if replace else []
             tables[name] = [segment] if replace else [*tables.get(name, []), segment]
         at = self.path(f"{self.root}/manifests/{version:012d}.json")
-        out = self.fs.create(at, False)
+        try:
+            out = self.fs.create(at, False)
+        except Exception as e:
+            if self.fs.exists(at):
+                raise CommitConflict(f"another commit has become version {version}") from e
+            raise
         out.write(bytearray(json.dumps({"version": version, "tables": tables}).encode()))
         out.close()
         for segment in gone:

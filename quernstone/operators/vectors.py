@@ -43,7 +43,10 @@ class TableStore:
         self.log, self.dimensions, self.name = log, dimensions, name
 
     def upsert(self, chunks: DataFrame) -> int:
-        """Rows (chunk_id, doc_id, text, vector and, if they are there, filename, section_label, ordinal); how many.  No rows: no commit."""
+        """Rows (chunk_id, doc_id, text, vector and, if they are there, filename, section_label, ordinal); how many.  No rows: no commit.
+
+        Of rows with one chunk_id that with the greatest ordinal, then text, then of the other columns holds.
+        """
         vector = F.col("vector").cast("array<double>")
         size = chunks.agg(F.count("*").alias("n"), F.count_if(vector.isNull() | (F.size(vector) != self.dimensions)).alias("bad")).first()
         if size["bad"]:
@@ -51,9 +54,12 @@ class TableStore:
         if not size["n"]:
             return 0
         of = lambda name, kind, none: F.coalesce(F.col(name).cast(kind) if name in chunks.columns else F.lit(None).cast(kind), F.lit(none)).alias(name)
-        version = F.lit(self.log.manifest()["version"] + 1).cast("long").alias("version")
+        number = self.log.manifest()["version"] + 1
+        version = F.lit(number).cast("long").alias("version")
         rows = chunks.select(point_id(F.col("chunk_id")).alias("point_id"), "chunk_id", "doc_id", of("filename", "string", ""), of("section_label", "string", ""), of("ordinal", "int", 0), "text", vector.alias("vector"), version)
-        self.log.commit({self.name: rows.dropDuplicates(["chunk_id"])})
+        rest = [c for c in rows.columns if c != "chunk_id"]
+        one = rows.groupBy("chunk_id").agg(F.max(F.struct("ordinal", "text", *(c for c in rest if c not in ("ordinal", "text")))).alias("r")).select("chunk_id", "r.*").select(*rows.columns)
+        self.log.commit({self.name: one}, version=number)
         return size["n"]
 
     def all_chunks(self) -> DataFrame:
@@ -71,7 +77,7 @@ class TableStore:
         n = self.all_chunks().where(F.col("doc_id") == doc_id).count()
         if n:
             version = self.log.manifest()["version"] + 1
-            self.log.commit({f"{self.name}_gone": self.log.spark.createDataFrame([(doc_id, version)], "doc_id string, version bigint")})
+            self.log.commit({f"{self.name}_gone": self.log.spark.createDataFrame([(doc_id, version)], "doc_id string, version bigint")}, version=version)
         return n
 
     def count(self) -> int:

@@ -18,6 +18,7 @@ from quernstone.operators import evaluate as E
 from quernstone.operators import search as S
 from quernstone.operators.chunk import chunk
 from quernstone.operators.embed import build_embedder, client_with
+from quernstone.operators.metadata import JdbcMetadata
 from quernstone.operators.rerank import build_reranker
 from quernstone.operators.store import Log, latest, listing, statistics, without
 from quernstone.operators.vectors import build_vector_store
@@ -91,30 +92,42 @@ class Engine:
 
     def ingest(self, paths: list[str] | str) -> DataFrame:
         """Reads files and puts them in place of documents with their ids; a row a file, with its status and error."""
-        return self.ingest_documents(extract(read_files(self.spark, paths), self.settings.max_upload_mb << 20))
+        return self.ingest_documents(self.extracted(read_files(self.spark, paths)))
+
+    def extracted(self, files: DataFrame) -> DataFrame:
+        """Rows of binaryFile as DOCUMENT rows, within the settings' limits."""
+        return extract(files, self.settings.max_upload_mb << 20, self.settings.sheet_max_rows or None)
 
     def ingest_documents(self, documents: DataFrame) -> DataFrame:
         """The same for DOCUMENT rows: one commit of new segments, in which a document's chunks and its metadata come together."""
-        version = F.lit(self.log.manifest()["version"] + 1).cast("long").alias("version")
-        read = documents.persist()
-        good = read.where("error is null").dropDuplicates(["doc_id"])
-        made = S.with_terms(self.embedder.embed(chunk(good, self.chunk_config))).select(*(c.split()[0] for c in CHUNKS.split(", "))).persist()
-        counts = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
-        before = self._live().select("doc_id", F.col("chunk_count").cast("long").alias("replaced_chunks"))
-        rows = read.join(counts, "doc_id", "left").join(before, "doc_id", "left").select(
-            "doc_id", "filename", "source_type", F.size("sections").alias("sections"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.coalesce("replaced_chunks", F.lit(0)).cast("long").alias("replaced_chunks"), "status", "error", version
-        )
-        meta = good.join(counts, "doc_id", "left").select("doc_id", "filename", "source_type", F.size("sections").alias("section_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"), version, F.lit(False).alias("deleted"))
-        done = self.log.commit({"results": rows, self.table: made.select("*", version), "documents": meta})
-        made.unpersist()
-        read.unpersist()
-        return self.log.read("results", f"{RESULTS}, version bigint").where(F.col("version") == done).drop("version")
-
-    def mirror_documents(self, table: str = "documents") -> None:
-        """Writes the metadata of all documents to the database that the settings name, in place of the table's rows."""
+        number = self.log.manifest()["version"] + 1
+        version = F.lit(number).cast("long").alias("version")
+        read, made = documents.persist(), None
+        try:
+            # of rows with one id that with the greatest hash of its content holds, whichever task finds it
+            good = latest(read.where("error is null").withColumn("__h", F.xxhash64("filename", "source_type", "sections")), ["doc_id"], "__h").drop("__h")
+            made = S.with_terms(self.embedder.embed(chunk(good, self.chunk_config))).select(*(c.split()[0] for c in CHUNKS.split(", "))).persist()
+            counts = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
+            before = self._live().select("doc_id", F.col("chunk_count").cast("long").alias("replaced_chunks"))
+            rows = read.join(counts, "doc_id", "left").join(before, "doc_id", "left").select(
+                "doc_id", "filename", "source_type", F.size("sections").alias("sections"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.coalesce("replaced_chunks", F.lit(0)).cast("long").alias("replaced_chunks"), "status", "error", version
+            )
+            meta = good.join(counts, "doc_id", "left").select("doc_id", "filename", "source_type", F.size("sections").alias("section_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"), version, F.lit(False).alias("deleted"))
+            self.log.commit({"results": rows, self.table: made.select("*", version), "documents": meta}, version=number)
+        finally:
+            if made is not None:
+                made.unpersist()
+            read.unpersist()
+        return self.log.read("results", f"{RESULTS}, version bigint").where(F.col("version") == number).drop("version")
+
+    def mirror_documents(self, table: str = "documents") -> int:
+        """Brings a table of the database that the settings name up to date with the metadata of all documents; how many rows it put there."""
         if not self.settings.database_url:
             raise ValueError("the settings name no database_url")
-        self.documents().write.jdbc(self.settings.database_url, table, mode="overwrite")
+        there, now = JdbcMetadata(self.spark, self.settings.database_url, table), self.documents()
+        for r in without(there.documents(), now, ["doc_id"]).select("doc_id").toLocalIterator():
+            there.delete(r["doc_id"])
+        return there.upsert(now)
 
     def delete(self, doc_id: str) -> int | None:
         """Chunks removed; None where there is no such document."""
@@ -122,14 +135,15 @@ class Engine:
         if row is None:
             return None
         version = self.log.manifest()["version"] + 1
-        self.log.commit({"documents": self.spark.createDataFrame([row.asDict() | {"version": version, "deleted": True}], DOCUMENT_LOG)})
+        self.log.commit({"documents": self.spark.createDataFrame([row.asDict() | {"version": version, "deleted": True}], DOCUMENT_LOG)}, version=version)
         return row["chunk_count"]
 
     def compact(self) -> None:
         """Both tables anew without what is superseded or deleted; the old segments go."""
-        version = F.lit(self.log.manifest()["version"] + 1).cast("long").alias("version")
+        number = self.log.manifest()["version"] + 1
+        version = F.lit(number).cast("long").alias("version")
         live = self.documents().select("*", version, F.lit(False).alias("deleted"))
-        self.log.commit({self.table: self.chunks().select("*", version), "documents": live}, replace=True)
+        self.log.commit({self.table: self.chunks().select("*", version), "documents": live}, replace=True, version=number)
 
     # -- questions -----------------------------------------------------------------------------------------------------
 
@@ -163,7 +177,11 @@ class Engine:
 
         The intent says how many passages are read; an inventory question is answered from the list of documents.
         """
-        floor = self.settings.min_relevance if floor is None else floor
+        out = self._answered(questions, self.settings.min_relevance if floor is None else floor)
+        return out.select("query_id", "question", "text", "grounded", "escalated", "confidence", "citations", "passages", "intent", "handler")
+
+    def _answered(self, questions: DataFrame, floor: float) -> DataFrame:
+        """The same with `top`, the best passage's score as it is compared with the floor; null where no passage counts."""
         q = questions.select("query_id", T.strip(F.coalesce("question", F.lit(""))).alias("question")).withColumn("intent", T.intent(F.col("question")))
         depth, handler = F.lit(None).cast("int"), F.lit(None).cast("string")
         for name, (k, said) in A.HANDLERS.items():
@@ -181,7 +199,7 @@ class Engine:
         out = out.crossJoin(F.broadcast(listed))  # one row on the right
         stock = F.col("intent") == "inventory"
         out = out.withColumns({"text": F.when(stock, F.col("stock")).otherwise(F.col("text")), "escalated": F.when(stock, F.col("no_stock")).otherwise(F.col("escalated"))})
-        return out.withColumn("grounded", ~F.col("escalated")).select("query_id", "question", "text", "grounded", "escalated", "confidence", "citations", "passages", "intent", "handler")
+        return out.withColumn("grounded", ~F.col("escalated")).withColumn("top", F.when(stock, F.when(~F.col("escalated"), F.lit(float("inf")))).otherwise(F.col("top")))
 
     # -- evaluation ------------------------------------------------------------------------------------------------------
 
@@ -211,3 +229,16 @@ class Engine:
     def evaluate_refusal(self, questions: DataFrame, floor: float | None = None) -> dict:
         answers = self.ask(questions.select("query_id", "question"), floor).join(questions.select("query_id", (F.size("relevant") > 0).alias("answerable")), "query_id")
         return E.refusal_scores(answers).first().asDict()
+
+    def refusal_sweep(self, questions: DataFrame, floors: list[float]) -> DataFrame:
+        """Both refusal rates at each floor; the questions (query_id, question, relevant) are answered once."""
+        return E.refusal_sweep(self._scores(questions), floors)
+
+    def refusal_curve(self, questions: DataFrame, places: int = 4) -> DataFrame:
+        """The same at every score that occurs; E.best_floor picks one by its cost."""
+        return E.refusal_curve(self._scores(questions), places)
+
+    def _scores(self, questions: DataFrame) -> DataFrame:
+        answerable = questions.select("query_id", (F.size("relevant") > 0).alias("answerable"))
+        told = self._answered(questions.select("query_id", "question"), float("-inf")).join(answerable, "query_id")
+        return told.select("answerable", F.col("top").alias("score"), F.col("escalated").alias("refused"))

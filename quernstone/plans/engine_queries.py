@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.config import Settings
 from quernstone.functions import text as T
 from quernstone.operators import answer as A
 from quernstone.operators import evaluate as E
@@ -24,8 +25,10 @@ from .engine import RERANK_DEPTH, VARIANTS, Engine
 
 #: Questions for the intents that the items don't have, and one that nothing answers.
 ASKED = ((-1, "Which documents are there?"), (-2, "Give me a summary of the and of"), (-3, "xyzzy plugh frobnicate"), (-4, "   "))
-DELETED, LIMIT = 50, 6
-_engines: dict[tuple[str, str], Engine] = {}
+LIMIT = 6
+#: The floors of the published sweep.
+SWEEP = [0.10, 0.15, 0.20, 0.25, 0.35, 0.60]
+_engines: dict[tuple, Engine] = {}
 
 
 def _files(spark: SparkSession, d: str, text: str = "text") -> DataFrame:
@@ -43,9 +46,15 @@ def _new(spark: SparkSession) -> Engine:
     return Engine(spark, f"{stage.root}/root")
 
 
+def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """How many files a table has, their bytes, and when the newest was written."""
+    files = spark.read.parquet(path).groupBy("_metadata.file_path").agg(F.max("_metadata.file_size").alias("size"), F.max(F.unix_micros("_metadata.file_modification_time")).alias("at"))
+    return tuple(files.agg(F.count("*"), F.sum("size"), F.max("at")).first())
+
+
 def _engine(spark: SparkSession, d: str) -> Engine:
-    """An engine that holds all documents; one for each application and folder, which no query changes."""
-    key = (spark.sparkContext.applicationId, d)
+    """An engine that holds all documents; one for each application, folder and state of its files, which no query changes."""
+    key = (spark.sparkContext.applicationId, d, *_state(spark, f"{d}/documents.parquet"))
     if key not in _engines:
         engine = _new(spark)
         engine.ingest_documents(_files(spark, d))
@@ -108,7 +117,7 @@ def engine_reingest(spark, d):
 def engine_delete(spark, d):
     """Some documents deleted, one that isn't there too: what each took, and what is left in both tables."""
     e = _new(spark)
-    e.ingest_documents(_files(spark, d).where(F.col("doc_id").cast("long") < DELETED))
+    e.ingest_documents(_files(spark, d))
     gone = [(str(i), e.delete(str(i))) for i in (1, 3, 5, 999_999_999)]
     e.compact()
     s = e.stats()
@@ -152,12 +161,32 @@ def engine_refusal(spark, d):
     return spark.createDataFrame([(s["unanswerable"], s["answerable"], round(s["false_answer_rate"], 6), round(s["wrongly_refused_rate"], 6))], "unanswerable long, answerable long, false_answer_rate double, wrongly_refused_rate double")
 
 
+def refusal_curve(spark, d):
+    """Both refusal rates at every floor: the score is a query vector's best cosine, and it is answerable where that one has its label."""
+    labels = C._vectors(spark, d).select(F.col("vec_id").cast("string").alias("key"), "label")
+    asked = labels.select(F.col("key").alias("query_id"), F.col("label").alias("asked"))
+    best = C._cosine(spark, d).where("rank = 2").join(asked, "query_id").join(labels, F.col("id") == F.col("key"))  # the first is itself
+    rows = best.select((F.col("label") == F.col("asked")).alias("answerable"), "score", F.lit(False).alias("refused"))
+    curve = E.refusal_curve(rows, 3)
+    return curve.select("floor", "unanswerable", "answerable", F.round("false_answer_rate", 9).alias("false_answer_rate"), F.round("wrongly_refused_rate", 9).alias("wrongly_refused_rate"))
+
+
+def engine_refusal_sweep(spark, d):
+    """Both refusal rates at each published floor, from answering the questions once."""
+    out = _engine(spark, d).refusal_sweep(_labelled(spark, d), SWEEP)
+    return out.select("floor", "unanswerable", "answerable", F.round("false_answer_rate", 6).alias("false_answer_rate"), F.round("wrongly_refused_rate", 6).alias("wrongly_refused_rate"))
+
+
 def extract_files(spark, d):
-    """Documents as files of several names: what is read, what is refused and why; ids hash name and content."""
-    ext = F.element_at(F.array(*map(F.lit, (".md", ".txt", ".rst", ".MD", ".csv", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
-    content = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text")).cast("binary")
-    files = C._documents(spark, d).select(F.concat(F.lit("file:/x/f"), F.col("doc_id").cast("string"), ext).alias("path"), content.alias("content")).select("path", F.octet_length("content").cast("long").alias("length"), "content")
-    out = extract(files, 5000)
+    """All documents as files of several names, some again under names that have no extractor, and empty files: what is read, what is refused and why."""
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".txt", ".rst", ".MD"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = C._documents(spark, d)
+    path = lambda start, end: F.concat(F.lit(f"file:/x/{start}"), F.col("doc_id").cast("string"), end).alias("path")
+    text = F.col("text").cast("binary").alias("content")
+    files = docs.select(path("f", ext), text)
+    files = files.unionByName(docs.where("doc_id % 7 = 0").select(path("g", F.lit(".csv")), text)).unionByName(docs.where("doc_id % 7 = 1").select(path("h", F.lit("")), text))
+    files = files.unionByName(docs.where("doc_id % 11 = 0").select(path("e", F.lit(".txt")), F.lit(b"").alias("content")))
+    out = extract(files.select("path", F.octet_length("content").cast("long").alias("length"), "content"), Settings().max_upload_mb << 20)
     return out.select("doc_id", "filename", "source_type", "status", F.size("sections").alias("n_sections"), F.md5(F.concat_ws("\x1f", F.transform("sections", lambda s: F.concat(s["label"], F.lit("\x1e"), s["text"])))).alias("sections_md5"))
 
 
@@ -191,7 +220,7 @@ def vector_store(spark, d):
 def queries() -> dict:
     found = (
         engine_ingest, engine_chunks, engine_documents, engine_get, engine_stats, engine_reingest, engine_delete, engine_search_dense, engine_search_lexical, engine_search_hybrid, engine_ask, engine_rankings, engine_evaluate, engine_refusal,
-        extract_files, sheet_lines, vector_store,
+        refusal_curve, engine_refusal_sweep, extract_files, sheet_lines, vector_store,
     )
     return {f.__name__: f for f in found}
 
@@ -333,7 +362,7 @@ def oracle_sql() -> dict:
     counts = f"with {chunk_sql(FILES)}, n as (select doc_id, filename, count(*) as n from chunk0 group by all)"
     upper = f"select cast(doc_id as varchar) as doc_id, {NAME} as filename, 'body' as label, case when doc_id in (select doc_id from labels where toxic = 1) then upper(text) else text end as text from documents"
     gain = "sum(case when hit then 1 / log2(rank + 1) else 0 end)"
-    ext = "case doc_id % 6 when 0 then '.md' when 1 then '.txt' when 2 then '.rst' when 3 then '.MD' when 4 then '.csv' else '' end"
+    ext = "case doc_id % 4 when 0 then '.md' when 1 then '.txt' when 2 then '.rst' else '.MD' end"
     return {
         "engine_ingest": f"{counts} select doc_id, filename, 'text' as source_type, 1 as sections, cast(n as integer) as chunks, cast(0 as bigint) as replaced_chunks, 201 as status from n",
         "engine_chunks": f"""with {chunk_sql(FILES)}, t as (select *, list_transform({C._tok('body')}, lambda t: {C.STEM.format(t='t')}) as ts from chunk0)
@@ -345,7 +374,7 @@ def oracle_sql() -> dict:
         "engine_reingest": f"""with {chunk_sql(upper)}, o as (select doc_id, count(*) as n from (with {chunk_sql(FILES)} select * from chunk0) group by doc_id)
           select doc_id, count(*) as chunks, cast(sum(case when body = upper(body) then 1 else 0 end) as bigint) as upper_chunks,
             max(case when cast(doc_id as bigint) in (select doc_id from labels where toxic = 1) then n end) as replaced_chunks from chunk0 join o using (doc_id) group by doc_id""",
-        "engine_delete": f"""{counts}, picked as (select * from n where cast(doc_id as bigint) < {DELETED}), left_over as (select * from picked where doc_id not in ('1', '3', '5'))
+        "engine_delete": f"""{counts}, picked as (select * from n), left_over as (select * from picked where doc_id not in ('1', '3', '5'))
           select g.doc_id, picked.n as removed, (select count(*) from left_over) as documents, cast((select sum(n) from left_over) as bigint) as chunks, cast((select sum(n) from left_over) as bigint) as indexed_chunks
           from (values ('1'), ('3'), ('5'), ('999999999')) g(doc_id) left join picked using (doc_id)""",
         "engine_search_dense": f"with {BASE}, {DENSE} {_hits('dense', 'dense')}",
@@ -364,8 +393,20 @@ def oracle_sql() -> dict:
         "engine_refusal": f"""with {_ask(QUESTIONS)}, {LABELLED}, j as (select len(relevant) > 0 as yes, escalated from told join label on item_id = label.query_id)
           select count(*) filter (not yes) as unanswerable, count(*) filter (yes) as answerable, round(coalesce(avg(case when escalated then 0.0 else 1.0 end) filter (not yes), 0), 6)::double as false_answer_rate,
             round(coalesce(avg(case when escalated then 1.0 else 0.0 end) filter (yes), 0), 6)::double as wrongly_refused_rate from j""",
-        "extract_files": rf"""with f as (select doc_id as id, 'f' || doc_id || {ext} as filename, {ext} as ext, case when doc_id % 11 = 0 then '' else text end as text from documents),
-          s as (select *, case when ext in ('.csv', '') then 415 when strlen(text) > 5000 then 413 when text = '' then 400 else 201 end as status from f),
+        "refusal_curve": f"""with {C.COSINE}, b as (select round(score, 3) as floor, label = asked as yes from cosine where rank = 2),
+          g as (select floor, count(*) filter (yes) as y, count(*) filter (not yes) as n from b group by floor),
+          w as (select floor, sum(y) over () as all_y, sum(n) over () as all_n, coalesce(sum(y) over before, 0) as ref_y, coalesce(sum(n) over before, 0) as ref_n from g window before as (order by floor rows between unbounded preceding and 1 preceding))
+          select floor, cast(all_n as bigint) as unanswerable, cast(all_y as bigint) as answerable, round(case when all_n > 0 then (all_n - ref_n) / all_n else 0 end, 9) as false_answer_rate,
+            round(case when all_y > 0 then ref_y / all_y else 0 end, 9) as wrongly_refused_rate from w""",
+        "engine_refusal_sweep": f"""with {_ask(QUESTIONS).replace('< 0.15', '< -1')}, {LABELLED}, top as (select query_id, max(score) filter (rank = 1) as top from passage group by query_id),
+          j as (select len(relevant) > 0 as yes, intent = 'inventory' as listed, escalated, top from told join label on item_id = label.query_id left join top on top.query_id = item_id),
+          f as (select unnest({SWEEP}::double[]) as floor), e as (select floor, yes, case when listed then escalated else escalated or top is null or top < floor end as up from j, f)
+          select floor, count(*) filter (not yes) as unanswerable, count(*) filter (yes) as answerable, round(coalesce(avg(case when up then 0.0 else 1.0 end) filter (not yes), 0), 6)::double as false_answer_rate,
+            round(coalesce(avg(case when up then 1.0 else 0.0 end) filter (yes), 0), 6)::double as wrongly_refused_rate from e group by floor""",
+        "extract_files": rf"""with f as (
+            select doc_id * 4 as id, 'f' || doc_id || {ext} as filename, {ext} as ext, text from documents union all select doc_id * 4 + 1, 'g' || doc_id || '.csv', '.csv', text from documents where doc_id % 7 = 0
+            union all select doc_id * 4 + 2, 'h' || doc_id, '', text from documents where doc_id % 7 = 1 union all select doc_id * 4 + 3, 'e' || doc_id || '.txt', '.txt', '' from documents where doc_id % 11 = 0),
+          s as (select *, case when ext in ('.csv', '') then 415 when strlen(text) > {Settings().max_upload_mb << 20} then 413 when text = '' then 400 else 201 end as status from f),
           {text_sections_sql('select id, text from s where status = 201')},
           d as (select id, count(*) as n, string_agg(label || chr(30) || text, chr(31) order by section) as told from section group by id)
           select left(sha256(filename || ' ' || text), 32) as doc_id, filename, case when status = 201 and n is not null then 'text' end as source_type, case when status = 201 and n is null then 422 else status end as status, cast(coalesce(n, 0) as integer) as n_sections, md5(coalesce(told, '')) as sections_md5

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.plans.engine import Engine
-from quernstone.sources.extract import extract
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -15,7 +14,7 @@ def watch(spark: SparkSession, engine: Engine, folder: str, checkpoint: str, onc
     files = spark.readStream.schema(BINARY).format("binaryFile").load(folder)
 
     def put(batch: DataFrame, _: int) -> None:
-        engine.ingest_documents(extract(batch, engine.settings.max_upload_mb << 20)).count()
+        engine.ingest_documents(engine.extracted(batch)).count()
 
     writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

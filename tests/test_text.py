@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone import config
 from quernstone.functions import text as T
-from quernstone.operators.chunk import chunk, hard_split, packed, pieces, section_pieces, windows
+from quernstone.operators.chunk import Part, chunk, hard_split, packed, parts, section_pieces
 from quernstone.operators.embed import HashingEmbedder, build_embedder, bucket
 
 
@@ -70,7 +70,7 @@ def test_hash_embedding(spark):
 
 
 def test_hard_split(spark):
-    assert one(spark, "abcdefg", lambda x: hard_split(x, 3)) == ["abc", "def", "g"] == windows("abcdefg", 3)
+    assert one(spark, "abcdefg", lambda x: hard_split(x, 3)) == ["abc", "def", "g"]
     assert one(spark, "", lambda x: hard_split(x, 3)) == []
 
 
@@ -105,7 +105,21 @@ TEXT = st.text(alphabet="ab.!? \n", max_size=120)
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(TEXT, st.integers(3, 30))
 def test_pieces(text, limit):
-    assert [p for p in pieces(text.strip(), limit) if p] == [p for p in plain_chunks(text.strip(), limit) if p]
+    text = text.strip()
+    got = list(packed(parts(text, limit), " ", limit)) if len(text) > limit else [text]
+    assert [p for p in got if p] == [p for p in plain_chunks(text, limit) if p]
+    merged = []
+    for p in plain_chunks(text, limit):
+        if merged and len(merged[-1]) + 1 + len(p) <= limit:
+            merged[-1] += "\n" + p
+        else:
+            merged.append(p)
+    assert [p for p in section_pieces(text, limit) if p] == [p for p in merged if p]
+
+
+def test_parts_of_one_run_are_packed():
+    found = [Part("a", 1), Part("b", 1), Part("c", 2), Part("d", None), Part("e", None), Part("ffff", 3), Part("g", 3)]
+    assert list(packed(found, " ", 5)) == ["a b", "c", "d", "e", "ffff", "g"]
 
 
 @pytest.mark.parametrize("overlap", [0, 13])
