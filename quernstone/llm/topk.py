@@ -41,6 +41,24 @@ SAMPLE = 8192
 DENSE = 0.25
 
 
+#: A product of two vectors whose lengths multiply to less fits 64 bits for sure.
+SURE = 9.2e18
+#: The id of rows that have none, while they are searched; ties go to it last.
+NO_ID = (1 << 63) - 1
+
+
+class ScoreOverflow(ArithmeticError):
+    """The integer product of two vectors doesn't fit 64 bits."""
+
+
+def wide_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of rows in whole numbers of any size; one that doesn't fit 64 bits is refused."""
+    out = [sum(map(int.__mul__, x, y)) for x, y in zip(q.tolist(), c.tolist(), strict=True)]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in out):
+        raise ScoreOverflow("the product of a query and a candidate doesn't fit a long")
+    return np.array(out, dtype=np.int64)
+
+
 def best_k(owner: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
     """Positions of each owner's k best, larger score first, then smaller id."""
     order = np.lexsort((ident, -score, owner))
@@ -92,9 +110,14 @@ def search_cell(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray
                     keep = part + q_rest[h2][i] * c_rest[h2][j] + slack[i] >= floor[i]
                     i, j, part = i[keep], j[keep], part[keep]
                 s = np.einsum("ij,ij->i", qx[i], cx[j]).astype(np.int64)
+                wide = np.flatnonzero(q_len[i] * c_len[j] >= SURE)
+                s[wide] = wide_products(qx[i[wide]], cx[j[wide]])
                 stats["exact"] += len(i)
         if full:
             dense = qx[live] @ cx[a:b].T
+            if q_len[live].max(initial=0) * c_len[a] >= SURE:
+                u, v = np.nonzero((np.outer(q_len[live], c_len[a:b]) >= SURE) & (c_id[None, a:b] != q_id[live, None]))
+                dense[u, v] = wide_products(qx[live[u]], cx[a + v])
             stats["exact"] += dense.size
             dense[c_id[None, a:b] == q_id[live, None]] = np.iinfo(np.int64).min
             low = floor[live]
@@ -137,8 +160,6 @@ def blocks_of(bands: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
     return out
 
 
-class ScoreOverflow(ArithmeticError):
-    """Two vectors are so long that their integer product may not fit 64 bits."""
 
 
 def top_k(
@@ -146,24 +167,25 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products, ties to the smaller id.
 
-    Components become floor(256 * x).  Rows without id, and vectors null or with null or non-finite components take no part; shorter
-    vectors, empty ones too, count as filled up with zeros.  Rows may share an id; a query meets no row with its own.  Where the
-    square of the greatest length reaches 9.2e18, so that a product might not fit a long, ScoreOverflow is raised.  Other columns are not read.
+    Components become floor(256 * x).  Vectors null or with null or non-finite components take no part; shorter vectors, empty ones too, count as
+    filled up with zeros.  Rows may share an id; a query meets no row with its own.  Rows without an id are candidates, the last of equal ones, and no
+    queries.  A component or a product that is met and doesn't fit a long raises ScoreOverflow; no pair else is refused.  Other columns are not read.
+    An empty table, and one without queries, gives no rows.
     Beside the candidates' own shuffle, a query is copied once for each block that its bound reaches.
     """
     spark = vectors.sparkSession
     x, stage = F.col("x"), Stage(spark)
     fine = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    ok = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"), is_query.alias("is_query")).where(F.col("vec_id").isNotNull() & x.isNotNull() & fine)
+    ok = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"), (is_query & F.col(id_col).isNotNull()).alias("is_query")).where(x.isNotNull() & fine)
     floors = ok.select("vec_id", F.transform("x", lambda v: F.floor(v.cast("double") * SCALE).cast("double")).alias("f"), "is_query")
     length = F.sqrt(F.aggregate("f", F.lit(0.0), lambda a, v: a + v * v))
-    rows = stage.keep(floors.select("vec_id", "is_query", length.alias("length"), F.transform("f", lambda v: F.when(F.abs(v) < 2.0**62, v).otherwise(0.0).cast("long")).alias("v")), "vectors")
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max(F.size("v")).alias("d"), F.max("length").alias("far")).first()
+    rows = stage.keep(floors.select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "is_query", length.alias("length"), F.coalesce(F.array_max(F.transform("f", lambda v: F.abs(v))), F.lit(0.0)).alias("top"), F.transform("f", lambda v: F.when(F.abs(v) < 2.0**62, v).otherwise(0.0).cast("long")).alias("v")), "vectors")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max(F.size("v")).alias("d"), F.max("length").alias("far"), F.max("top").alias("top")).first()
     n, nq, d = size["n"] or 0, size["q"] or 0, size["d"] or 0
     if not nq:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if size["far"] ** 2 >= 9.2e18:
-        raise ScoreOverflow(f"a vector of length {size['far']:.4g} (times {SCALE}): products may not fit a long")
+    if size["top"] >= 2.0**62:
+        raise ScoreOverflow(f"a component of {size['top']:.4g} (times {SCALE}) doesn't fit a long")
     d = max(d, 1)
     u = F.xxhash64(F.lit(5), "vec_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     some = rows.where(u * n < SAMPLE).select("v").limit(2 * SAMPLE).toArrow()
@@ -224,7 +246,7 @@ def top_k(
                     if c_id is None:
                         c_id, c = np.concatenate([i for i, _ in have]), np.concatenate([w for _, w in have])
                         have = [(c_id, c)]
-                    least = np.asarray(part["least"].cast(pa.float64()).fill_null(-np.inf).to_numpy(), dtype=float)
+                    least = np.asarray(part["least"].cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(), dtype=float)
                     owner, found, score, _ = search_cell(ids, v, c_id, c, axes, k, least=least)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
@@ -232,7 +254,7 @@ def top_k(
     cells = candidates.unionByName(queries).repartition(tasks, "block", "split").sortWithinPartitions("block", "split", "as_query")
     found = small_batches(cells).mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,12 +264,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
-  from embeddings where vec_id is not null and embedding is not null
+  from embeddings where embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
          case when len(q.e) = 0 or len(c.e) = 0 then 0 else cast(list_dot_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) end as score
-  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id is distinct from q.vec_id
 ), r as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
