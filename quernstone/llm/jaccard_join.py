@@ -36,8 +36,12 @@ STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 1024
 SEED = 40_961
-#: A written table of narrow rows (40 bytes at most) goes to the executors whole up to so many rows.
-BROADCAST_ROWS = 4_000_000
+#: A written table of narrow rows goes to the executors whole up to so many rows; as a hash relation a row takes 120 bytes at most.
+BROADCAST_ROWS = 1_000_000
+#: The shingle sets of a block of nodes have about so many bytes at most (one set at least).
+BLOCK_BYTES = 1 << 25
+#: A text with more copies than this meets its class in several tasks.
+HOT_COPIES = 8192
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -180,13 +184,14 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest, text) to (doc_id, digest, digest of the set of shingles, MinHash values); the last two null without shingles."""
+    """(doc_id, digest, text) to (doc_id, digest, digest of the set of shingles, its size, MinHash values); the set and the values null without shingles."""
     for batch, texts in slices(batches, 2):
         h, many = shingles(texts)
         sig = iter(signatures(h, many).view(np.int32).tolist())
         stop = np.cumsum(many)
-        sets = [hashlib.blake2b(np.unique(h[b - n : b]).tobytes(), digest_size=16).digest() if n else None for b, n in zip(stop.tolist(), many.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array([next(sig) if m else None for m in many.tolist()], pa.list_(pa.int32()))], names=["doc_id", "digest", "set", "sig"])
+        found = [np.unique(h[b - n : b]) for b, n in zip(stop.tolist(), many.tolist(), strict=True)]
+        sets = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(list(map(len, found)), pa.int64()), pa.array([next(sig) if m else None for m in many.tolist()], pa.list_(pa.int32()))], names=["doc_id", "digest", "set", "size", "sig"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,35 +278,36 @@ def digest(text):
     return F.substring(F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("n")).cast("binary"), 256)), 1, 16)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, digest, class_id, n_links, n_copies, kept for each row of (doc_id, text).
 
     class_id is the smallest doc_id of the class: the texts connected by links, a link being a Jaccard similarity of at least
     `threshold`.  n_links is the number of other texts linked with this row's; n_copies the number of rows with its text; kept is 1
     for the rows of one text of the class whose doc_id is the class_id; where several texts of a class have that id, or none has an
     id, it is the one with the smallest digest.  Null and empty texts, and texts without a letter or digit, have no links; equal ones share a class.
-    Rows without id get the class of their text.  Other columns are not read.
+    Rows without id get the class of their text.  Other columns are not read.  Long texts are whole: a cell's task holds two blocks, each of `block`
+    nodes and about `block_bytes` of shingle sets at most, and one set at least.
     """
     stage = Stage(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
     same = stage.keep(  # a row a text
-        small_batches(keyed).mapInArrow(_signature_batches, "doc_id long, digest binary, set binary, sig array<int>")
-        .groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("set").alias("set"), F.first("sig").alias("sig")),
+        small_batches(keyed).mapInArrow(_signature_batches, "doc_id long, digest binary, set binary, size long, sig array<int>")
+        .groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("set").alias("set"), F.first("size").alias("size"), F.first("sig").alias("sig")),
         "same",
     )
     # a row a set of shingles; it is told by the text that would be kept of its texts
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
-    reps = same.where("set is not null").groupBy("set").agg(first.alias("f"), F.count("*").alias("weight"), F.first("sig").alias("sig"))
-    reps = stage.keep(reps.select("set", F.col("f.rep").alias("rep"), F.col("f.digest").alias("digest"), "weight", "sig").withColumn("node", F.monotonically_increasing_id()), "reps")
+    reps = same.where("set is not null").groupBy("set").agg(first.alias("f"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    reps = stage.keep(reps.select("set", F.col("f.rep").alias("rep"), F.col("f.digest").alias("digest"), "weight", "size", "sig").withColumn("node", F.monotonically_increasing_id()), "reps")
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.slice("sig", ROWS * b + 1, ROWS)).alias("key")) for b in range(BANDS)])
-    banded = reps.select("node", F.explode(keys).alias("k")).select("node", "k.band", "k.key")
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("x2")).where("n > 1")
-    buckets = stage.keep(buckets.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    members = banded.join(few(buckets), "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "n")).alias("in"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
-    # of a bucket with more than `block` nodes each block meets each block, itself too
+    banded = reps.select("node", "size", F.explode(keys).alias("k")).select("node", "size", "k.band", "k.key")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("x2")).where("n > 1")
+    blocks = F.least(F.greatest(F.ceil(F.col("n") / block), F.ceil(8 * F.col("size") / block_bytes)), F.col("n")).cast("int")
+    buckets = stage.keep(buckets.groupBy("n", "size", "x1", "x2").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks")), "buckets")
+    members = banded.join(few(buckets), "key").groupBy("node").agg(F.collect_list(F.struct("key", "band", "blocks")).alias("in"), F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    # of a bucket with more than `block` nodes, or with long ones, each block meets each block, itself too
     cells = (
         members.select("node", F.explode("in").alias("b")).select("node", "b.*")
-        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "band", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "node")
@@ -310,7 +316,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     signed = stage.keep(reps.join(members.select("node", "mask"), "node").select("node", "digest", "rep", "weight", "sig", "mask"), "signed")
     pruned = stage.keep(cells.join(signed.select("node", "sig", "mask"), "node").groupBy("key", "lo", "hi").applyInArrow(_candidates(threshold), schema), "pruned")
     wanted = stage.keep(pruned.select("node").distinct().join(signed.select("node", "digest", "rep"), "node"), "wanted")
-    texts = keyed.join(few(wanted), "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    few_wanted = few(wanted.withColumnRenamed("digest", "wanted_digest"))
+    texts = keyed.join(few_wanted, (F.col("digest") == F.col("wanted_digest")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     sets = texts.mapInArrow(_set_batches, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     full = stage.keep(sets.join(signed.select("node", "weight", "sig", "mask"), "node"), "sets")
     found = stage.keep(pruned.join(full, "node").groupBy("key", "lo", "hi").applyInArrow(_links(threshold), "node long, n long, root long"), "links")
@@ -329,7 +336,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     info = info.select("digest", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("first.rep")).alias("class_id"), F.coalesce(F.col("digest") == F.col("first.digest"), F.lit(True)).alias("chosen"))
     info = stage.keep(info, "classes")
     stage.drop(same, reps, found, tree_table)
-    return keyed.select("doc_id", "digest").join(info, "digest").select("doc_id", "digest", "class_id", "n_links", "n_copies", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).cast("int").alias("kept"))
+    # a text with many copies is dealt to several tasks by its rows' ids, and its row of `info` to each of them
+    salts = F.ceil(F.col("n_copies") / HOT_COPIES).cast("int")
+    hot = stage.keep(info.where(F.col("n_copies") > HOT_COPIES).select("digest", salts.alias("salts")), "hot")
+    rows = keyed.select("doc_id", "digest").join(few(hot), "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"), F.lit(0)))
+    info = info.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return rows.join(info, ["digest", "salt"]).select("doc_id", "digest", "class_id", "n_links", "n_copies", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("class_id"))).cast("int").alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
