@@ -22,12 +22,13 @@ from quernstone.operators.metadata import JdbcMetadata
 from quernstone.operators.rerank import build_reranker
 from quernstone.operators.store import Log, latest, listing, statistics, without
 from quernstone.operators.vectors import build_vector_store
-from quernstone.sources.extract import extract, read_files, supported_extensions
+from quernstone.sources.extract import extract, file_id, read_files, supported_extensions
 from quernstone.staging import Stage
 
 CHUNKS = "chunk_id string, doc_id string, filename string, section_label string, ordinal int, text string, vector array<double>, terms array<string>, tfs array<int>, len bigint"
 DOCUMENTS = "doc_id string, filename string, source_type string, section_count int, chunk_count int, ingested_at timestamp"
 CHUNK_LOG, DOCUMENT_LOG = f"{CHUNKS}, version bigint", f"{DOCUMENTS}, version bigint, deleted boolean"
+FILES = "folder string, path string, modified timestamp, length bigint, doc_id string, version bigint"
 VARIANTS = ("dense", "lexical", "hybrid", "hybrid + rerank")
 RERANK_DEPTH, DEPTH = 20, 10
 
@@ -138,6 +139,52 @@ class Engine:
         self.log.commit({"documents": self.spark.createDataFrame([row.asDict() | {"version": version, "deleted": True}], DOCUMENT_LOG)}, version=version)
         return row["chunk_count"]
 
+    def delete_all(self, ids: DataFrame) -> int:
+        """Deletes the documents with these ids (doc_id) in one commit; how many there were."""
+        number = self.log.manifest()["version"] + 1
+        gone = self._live().join(ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumns({"version": F.lit(number).cast("long"), "deleted": F.lit(True)})
+        gone = Stage(self.spark).keep(gone.select(*(c.split()[0] for c in DOCUMENT_LOG.split(", "))), "gone")
+        n = gone.count()
+        if n:
+            self.log.commit({"documents": gone}, version=number)
+        return n
+
+    def sync(self, folder: str) -> dict[str, int]:
+        """Makes the index hold what a folder holds: counts of its files that were listed, read, and gone, and of documents deleted.
+
+        A file whose time and size are those of the last sync is not opened.  Files that are new or changed are read; what a changed or removed
+        file gave before is deleted unless another file gives it too.  Files that can't be read are tried again when they change.  Running
+        it again, also after it was stopped half-way, ends in the same state.
+        """
+        stage = Stage(self.spark)
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("modificationTime").alias("modified"), "length")
+        known = stage.keep(self._files(folder), "known")
+        new = stage.keep(listed.join(known, ["path", "modified", "length"], "left_anti"), "new")
+        lost = stage.keep(known.join(listed, "path", "left_anti"), "lost")
+        n_new, n_lost, since = new.count(), lost.count(), new.agg(F.min("modified")).first()[0]
+        out = {"listed": listed.count(), "read": n_new, "gone": n_lost, "deleted": 0}
+        if not n_new and not n_lost:
+            return out
+        rows = lost.select("path", "modified", "length", F.lit(None).cast("string").alias("doc_id"))
+        if n_new:
+            # the time is a filter that keeps older files from being opened; the join leaves exactly the new ones
+            files = read_files(self.spark, folder).where(F.col("modificationTime") >= F.lit(since)).join(new.select("path"), "path", "left_semi")
+            self.ingest_documents(self.extracted(files)).count()
+            rows = rows.unionByName(new.join(files.select("path", file_id(F.col("path"), F.col("content")).alias("doc_id")), "path").select("path", "modified", "length", "doc_id"))
+        number = self.log.manifest()["version"] + 1
+        said = rows.select(F.lit(folder).alias("folder"), "path", "modified", "length", "doc_id", F.lit(number).cast("long").alias("version"))
+        self.log.commit({"files": said}, version=number)
+        held = self._files(folder)
+        before = known.join(rows.select("path"), "path", "left_semi").select("doc_id").distinct()
+        out["deleted"] = self.delete_all(before.join(held.select("doc_id"), "doc_id", "left_anti"))
+        stage.drop(known, new, lost)
+        return out
+
+    def _files(self, folder: str) -> DataFrame:
+        """(path, modified, length, doc_id) of a folder's files at the last sync."""
+        rows = self.log.read("files", FILES).where(F.col("folder") == folder).drop("folder")
+        return latest(rows, ["path"], "version").where("doc_id is not null").select("path", "modified", "length", "doc_id")
+
     def compact(self) -> None:
         """Both tables anew without what is superseded or deleted; the old segments go."""
         number = self.log.manifest()["version"] + 1

@@ -13,6 +13,8 @@ from quernstone.config import Settings
 from quernstone.functions import text as T
 from quernstone.operators import answer as A
 from quernstone.operators import evaluate as E
+from quernstone.operators import search as S
+from quernstone.operators.ann import CellIndex, recall
 from quernstone.operators.arrow import attach
 from quernstone.operators.embed import HashingEmbedder
 from quernstone.operators.store import Log
@@ -171,6 +173,18 @@ def refusal_curve(spark, d):
     return curve.select("floor", "unanswerable", "answerable", F.round("false_answer_rate", 9).alias("false_answer_rate"), F.round("wrongly_refused_rate", 9).alias("wrongly_refused_rate"))
 
 
+def ann_recall(spark, d):
+    """The approximate search against the exact one, for every hundredth vector over all: whether it finds nine in ten of the ten nearest."""
+    v = C._vectors(spark, d).select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("tie"), "vector")
+    q = v.where("tie % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    stage = Stage(spark)
+    stage.append(spark.range(0), "ann")
+    index = CellIndex.build(v, f"{stage.root}/index")
+    cells = len(index.quantiser.centres)
+    found = index.search(v, q, 10, probes=max(8, cells // 2), keep=200)
+    return recall(found, S.dense(v, q, 10)).select("questions", "wanted", (F.col("recall") >= 0.9).alias("nine_in_ten"))
+
+
 def engine_refusal_sweep(spark, d):
     """Both refusal rates at each published floor, from answering the questions once."""
     out = _engine(spark, d).refusal_sweep(_labelled(spark, d), SWEEP)
@@ -220,7 +234,7 @@ def vector_store(spark, d):
 def queries() -> dict:
     found = (
         engine_ingest, engine_chunks, engine_documents, engine_get, engine_stats, engine_reingest, engine_delete, engine_search_dense, engine_search_lexical, engine_search_hybrid, engine_ask, engine_rankings, engine_evaluate, engine_refusal,
-        refusal_curve, engine_refusal_sweep, extract_files, sheet_lines, vector_store,
+        ann_recall, refusal_curve, engine_refusal_sweep, extract_files, sheet_lines, vector_store,
     )
     return {f.__name__: f for f in found}
 
@@ -393,6 +407,8 @@ def oracle_sql() -> dict:
         "engine_refusal": f"""with {_ask(QUESTIONS)}, {LABELLED}, j as (select len(relevant) > 0 as yes, escalated from told join label on item_id = label.query_id)
           select count(*) filter (not yes) as unanswerable, count(*) filter (yes) as answerable, round(coalesce(avg(case when escalated then 0.0 else 1.0 end) filter (not yes), 0), 6)::double as false_answer_rate,
             round(coalesce(avg(case when escalated then 1.0 else 0.0 end) filter (yes), 0), 6)::double as wrongly_refused_rate from j""",
+        "ann_recall": """with q as (select vec_id from embeddings where vec_id % 100 = 0), n as (select count(*) as n from embeddings)
+          select (select count(*) from q) as questions, (select count(*) from q) * least(10, (select n from n)) as wanted, true as nine_in_ten""",
         "refusal_curve": f"""with {C.COSINE}, b as (select round(score, 3) as floor, label = asked as yes from cosine where rank = 2),
           g as (select floor, count(*) filter (yes) as y, count(*) filter (not yes) as n from b group by floor),
           w as (select floor, sum(y) over () as all_y, sum(n) over () as all_n, coalesce(sum(y) over before, 0) as ref_y, coalesce(sum(n) over before, 0) as ref_n from g window before as (order by floor rows between unbounded preceding and 1 preceding))
