@@ -14,6 +14,7 @@ looked up as one q-gram, and must stand as whole words.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,29 +270,33 @@ def with_regions(docs: DataFrame, benchmark: DataFrame, name: str = "regions", q
     Empty and null texts have none; an empty benchmark finds none; items whose text is null or without a letter or digit are ignored,
     those without an id are searched too (null in the region's item), equal items each; of an item that stands more than once in a text each place
     has a region, but of places that lie in one stretch of neighbouring bands only the best.  Offsets are code points of the text, the end
-    exclusive.  What a part found is written before the next part is fetched, so neither the driver nor a plan holds more than one part.
+    exclusive.  One part is on the driver at a time.  With several parts the rows are written once under a number each; a part's pass reads numbers and texts
+    and writes the numbers and regions of the rows that hold something, and these are joined with the rows at the end.
     """
     kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
     sql = "array<struct<item:bigint,start:bigint,end:bigint,edits:bigint>>"
     names = ("item", "start", "end", "edits")
-    out = docs.withColumn(name, F.array().cast(sql))
-    more = fresh(out, "more_regions")
-    stage, written, waiting = None, None, False
-    for part in parts(benchmark, part_chars):
-        if waiting:
-            stage = stage or Stage(docs.sparkSession)
-            out = stage.keep(out, "regions")
-            if written is not None:
-                stage.drop(written)
-            written = out
-
-        def compute(texts: list[str], part=part) -> list:
+    none = F.array().cast(sql)
+
+    def searched(rows: DataFrame, part: tuple) -> DataFrame:
+        def compute(texts: list[str]) -> list:
             return [[[dict(zip(names, r, strict=True)) for r in rs] for rs in index(part, q, edits).find(texts)]]
 
-        out = attach(out, [(more, sql, kind)], compute)
-        out = out.withColumn(name, F.concat(name, more)).drop(more)
-        waiting = True
-    return out
+        return attach(rows, [(name, sql, kind)], compute)
+
+    some = parts(benchmark, part_chars)
+    first, second = next(some, None), next(some, None)
+    if first is None:
+        return docs.withColumn(name, none)
+    if second is None:
+        return searched(docs, first)
+    stage, key = Stage(docs.sparkSession), fresh(docs, "row_number")
+    rows = stage.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    for part in itertools.chain((first, second), some):
+        stage.append(searched(rows.select(key, "text"), part).where(F.size(name) > 0).select(key, name), "regions")
+    found = stage.read("regions", f"`{key}` long, `{name}` {sql}").groupBy(key).agg(F.flatten(F.collect_list(name)).alias(name))
+    out = rows.join(found, key, "left")
+    return out.select(*docs.columns, F.coalesce(F.col(name), none).alias(name))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
