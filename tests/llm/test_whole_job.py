@@ -224,3 +224,32 @@ def test_run_cache_is_bounded_in_characters(monkeypatch):
         assert sum(len(r) for r in enc.runs) < 2000 + 5000 + 2000
     enc.ready([["last"]])
     assert "x" * 5000 not in enc.runs and "x" * 5000 not in enc.older
+
+
+# -- op1_sharding: the bound of scheduling large sizes by their class's mean
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_large_sizes_are_balanced_within_the_bound_of_their_steps(seed):
+    """A size of a step differs from the step's mean by under 1/256 of it, so a shard's real load is within 1/256 of the one that the heap sees, and the heap's loads differ by one job at most."""
+    from quernstone.llm import shard
+
+    rng = random.Random(seed)
+    sizes = [int(65_536 * 2 ** rng.uniform(0, 6)) for _ in range(30_000)]
+    step = lambda s: s >> (s.bit_length() - shard.STEP_BITS) << (s.bit_length() - shard.STEP_BITS)
+    members = {}
+    for s in sizes:
+        members.setdefault(step(s), []).append(s)
+    assert all(s - c <= s / 256 for c, ss in members.items() for s in ss)
+    mean = {c: -(-sum(ss) // len(ss)) for c, ss in members.items()}
+    placed = shard.lpt([(f"c:{c}", mean[c], len(ss)) for c, ss in members.items()], 16)
+    seen, real = [0] * 16, [0] * 16
+    for c, ss in members.items():
+        rng.shuffle(ss)
+        at = 0
+        for k, n in enumerate(placed[f"c:{c}"]):
+            seen[k] += n * mean[c]
+            real[k] += sum(ss[at : at + n])
+            at += n
+    assert max(seen) - min(seen) <= max(mean.values()) and all(abs(r - s) <= s / 256 for r, s in zip(real, seen, strict=True))
+    assert max(real) / (sum(real) / 16) - 1 < 1 / 256
