@@ -7,6 +7,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.staging import Stage
+
 from . import search as S
 from .store import Log, latest, without
 
@@ -22,6 +24,8 @@ class VectorStore(Protocol):
 
     def delete_document(self, doc_id: str) -> int: ...
 
+    def delete_documents(self, ids: DataFrame) -> int: ...
+
     def count(self) -> int: ...
 
     def all_chunks(self) -> DataFrame: ...
@@ -80,12 +84,24 @@ class TableStore:
             self.log.commit({f"{self.name}_gone": self.log.spark.createDataFrame([(doc_id, version)], "doc_id string, version bigint")}, version=version)
         return n
 
+    def delete_documents(self, ids: DataFrame) -> int:
+        """The same for all ids (doc_id) of a table, in one commit."""
+        version = self.log.manifest()["version"] + 1
+        held = self.all_chunks().join(ids.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+        stage = Stage(self.log.spark)
+        held = stage.keep(held, "gone")
+        n = held.agg(F.sum("n")).first()[0] or 0
+        if n:
+            self.log.commit({f"{self.name}_gone": held.select("doc_id", F.lit(version).cast("long").alias("version"))}, version=version)
+        stage.drop(held)
+        return n
+
     def count(self) -> int:
         return self.all_chunks().count()
 
 
-def build_vector_store(kind: str = "memory", log: Log | None = None, dimensions: int = 384, **_) -> TableStore:
-    """Both public kinds are a Parquet table here; other names are refused."""
+def build_vector_store(kind: str = "memory", log: Log | None = None, dimensions: int = 384, own: VectorStore | None = None) -> VectorStore:
+    """memory: the engine's own chunk table, where it gives one; qdrant, and memory without: a table of points beside it.  Other names are refused."""
     if kind not in ("memory", "qdrant"):
         raise ValueError(f"no vector store named {kind!r}")
-    return TableStore(log, dimensions)
+    return own if kind == "memory" and own is not None else TableStore(log, dimensions)

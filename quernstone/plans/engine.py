@@ -21,7 +21,7 @@ from quernstone.operators.embed import build_embedder, client_with
 from quernstone.operators.metadata import JdbcMetadata
 from quernstone.operators.rerank import build_reranker
 from quernstone.operators.store import Log, latest, listing, statistics, without
-from quernstone.operators.vectors import build_vector_store
+from quernstone.operators.vectors import VectorStore, build_vector_store
 from quernstone.sources.extract import extract, file_id, read_files, supported_extensions
 from quernstone.staging import Stage
 
@@ -36,13 +36,43 @@ RERANK_DEPTH, DEPTH = 20, 10
 RESULTS = "doc_id string, filename string, source_type string, sections int, chunks int, replaced_chunks bigint, status int, error string"
 
 
+class OwnChunks:
+    """The engine's own chunk table as a vector store: its commits bring and take chunks, so there is nothing to put in or to delete besides."""
+
+    def __init__(self, engine: Engine):
+        self.engine = engine
+
+    def upsert(self, chunks: DataFrame) -> int:
+        return 0
+
+    def search(self, questions: DataFrame, limit: int = 8) -> DataFrame:
+        return S.dense(self.engine.index(), questions, limit).drop("tie")
+
+    def delete_document(self, doc_id: str) -> int:
+        return 0
+
+    def delete_documents(self, ids: DataFrame) -> int:
+        return 0
+
+    def count(self) -> int:
+        return self.all_chunks().count()
+
+    def all_chunks(self) -> DataFrame:
+        return self.engine.chunks()
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder=None, reranker=None, llm=None):
+    """store: where dense searches and chunk counts go and what follows every ingest and delete; by default what the settings' vector_backend names.
+
+    A store of its own commits by itself: after a stop between the two commits, ingesting the same again makes it good.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, settings: Settings | None = None, embedder=None, reranker=None, llm=None, store: VectorStore | None = None):
         self.spark, self.settings = spark, settings or Settings()
         s = self.settings
         self.log, self.table = Log(spark, root or s.qdrant_url or s.root), s.qdrant_collection
         self.embedder = embedder or build_embedder(s.embedder, s.embedding_dimensions, client_with(s.openai_api_key))
-        self.store = build_vector_store(s.vector_backend, self.log, self.embedder.dimensions)
+        self.store = store or build_vector_store(s.vector_backend, Log(spark, f"{self.log.root}/vectors"), self.embedder.dimensions, OwnChunks(self))
         self.reranker = reranker or build_reranker(s.reranker)
         self.llm = llm or A.build_llm(s.llm, client_with(s.openai_api_key))
         self.chunk_config = ChunkConfig(s.chunk_max_chars, s.chunk_overlap_chars)
@@ -76,7 +106,7 @@ class Engine:
 
     def stats(self) -> dict:
         row = statistics(self._live()).first()
-        return {"documents": row["documents"], "chunks": row["chunks"], "indexed_chunks": self.chunks().count()}
+        return {"documents": row["documents"], "chunks": row["chunks"], "indexed_chunks": self.store.count()}
 
     def health(self) -> dict:
         s, n = self.settings, self.stats()
@@ -115,6 +145,8 @@ class Engine:
             )
             meta = good.join(counts, "doc_id", "left").select("doc_id", "filename", "source_type", F.size("sections").alias("section_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"), version, F.lit(False).alias("deleted"))
             self.log.commit({"results": rows, self.table: made.select("*", version), "documents": meta}, version=number)
+            self.store.delete_documents(good.select("doc_id"))
+            self.store.upsert(made)
         finally:
             if made is not None:
                 made.unpersist()
@@ -137,6 +169,7 @@ class Engine:
             return None
         version = self.log.manifest()["version"] + 1
         self.log.commit({"documents": self.spark.createDataFrame([row.asDict() | {"version": version, "deleted": True}], DOCUMENT_LOG)}, version=version)
+        self.store.delete_document(doc_id)
         return row["chunk_count"]
 
     def delete_all(self, ids: DataFrame) -> int:
@@ -147,6 +180,7 @@ class Engine:
         n = gone.count()
         if n:
             self.log.commit({"documents": gone}, version=number)
+            self.store.delete_documents(gone)
         return n
 
     def sync(self, folder: str) -> dict[str, int]:
@@ -202,7 +236,10 @@ class Engine:
         if mode == "lexical":
             return S.lexical(index, questions, limit).drop("tie")
         questions = self._with_vectors(questions)
-        return S.dense(index, questions, limit).drop("tie") if mode == "dense" else S.hybrid(index, questions, self.retrieval, limit)
+        if mode == "dense":
+            return self.store.search(questions, limit)
+        c = self.retrieval
+        return S.fuse([self.store.search(questions, c.dense_k), S.lexical(index, questions, c.lexical_k)], [c.dense_weight, c.lexical_weight], c.rrf_k, limit or c.final_k)
 
     def _passages(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
         text = self.chunks().select(F.col("chunk_id").alias("id"), "doc_id", "filename", "section_label", "text", T.citation(F.col("filename"), F.col("section_label")).alias("citation"))
@@ -254,7 +291,7 @@ class Engine:
         """(variant, query_id, id, rank) of the four variants to DEPTH."""
         index, q = self.index(), self._with_vectors(questions.select("query_id", "question"))
         c, stage = self.retrieval, Stage(self.spark)  # k rows a question each, read several times
-        d, x = stage.keep(S.dense(index, q, c.dense_k).drop("tie"), "dense"), stage.keep(S.lexical(index, q, c.lexical_k).drop("tie"), "lexical")
+        d, x = stage.keep(self.store.search(q, c.dense_k), "dense"), stage.keep(S.lexical(index, q, c.lexical_k).drop("tie"), "lexical")
         fused = stage.keep(S.fuse([d, x], [c.dense_weight, c.lexical_weight], c.rrf_k, RERANK_DEPTH), "fused")
         again = self.reranker.rerank(self._passages(questions.select("query_id", "question"), fused), DEPTH)
         frames = [f.where(F.col("rank") <= DEPTH).select(F.lit(v).alias("variant"), "query_id", "id", "rank") for v, f in zip(VARIANTS, (d, x, fused, again), strict=True)]
