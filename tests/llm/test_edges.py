@@ -115,5 +115,5 @@ def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, None), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, []), (None, [1.0, 1.0]), (6, [1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("rank", F.lit(0))
     got = [tuple(r) for r in topk.top_k(v, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 6, 65536), (0, 4, 100, 32768), (0, 5, 5, 0), (100, 1, 0, 32768), (100, 2, 1, 32768), (100, 3, 2, 32768), (100, 4, 6, 32768), (100, 5, 5, 0)]
+    assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 6, 65536), (0, 4, None, 65536), (0, 5, 100, 32768), (100, 1, None, 65536), (100, 2, 0, 32768), (100, 3, 1, 32768), (100, 4, 2, 32768), (100, 5, 6, 32768)]
     assert topk.top_k(v.where("false"), F.col("vec_id") % 50 == 0).collect() == []
