@@ -25,12 +25,13 @@ def docs(spark):
 
 def bundle(text):
     """The sum over all letters of the bound vectors of the symbol before, the letter and the symbol after; any run of other characters is one word bound."""
-    base, symbols = language.letters()[2].astype(np.int64), language.symbols()
+    symbols = language.symbols()
     run = [0]
     for ch in text.lower() + "\n":
         s = int(symbols[ord(ch)])
         if s or run[-1]:
             run.append(s)
+    base = {x: v.astype(np.int64) for x, v in zip(set(run), language.letters(np.array(list(set(run)))), strict=True)}
     out = np.zeros(language.DIMS, np.int64)
     for a, b, c in zip(run, run[1:], run[2:]):
         if b:
@@ -57,12 +58,26 @@ def test_language_of_every_row(spark, docs):
         cos = proto @ unit(v)
         want[i] = (crc("" if i is None else i, 4) == 2, langs[int(cos.argmax())], max(float(cos.max()), 0.0)) if v.any() else (crc(i, 4) == 2, "und", 0.0)
     got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
-    assert len(got) == len(rows)
-    for r in got:
+    blocks = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), languages=1).collect()
+    assert len(got) == len(blocks) == len(rows)
+    for r in [*got, *blocks]:
         held, lang, score = want[r["doc_id"]]
         assert (r["held_out"], r["lang_pred"]) == (held, lang) and r["score"] == pytest.approx(score, abs=1e-5)
 
 
+def test_letters_of_all_scripts_differ(spark):
+    """Letters that share the low bits of their code points have vectors of their own, and scripts that share no letter are kept apart."""
+    some = np.array([0x61, 0x05D0, 0x0950, 0x0627, 0x09A7, 0x4E00, 0x4E80, 0xAC00, 0x10400])
+    v = language.letters(some).astype(np.int64)
+    dots = v @ v.T
+    assert set(np.unique(v).tolist()) == {-1, 1} and (np.abs(dots - np.diag(np.diag(dots))) < 200).all()
+    assert (language.letters(some[:1]) == v[0]).all() and len(np.unique(language.letters(np.arange(0x4E00, 0x5E00)), axis=0)) == 0x1000
+    spread = lambda base, k: " ".join("".join(chr(base + (7 * k + 3 * j + i) % 22) for i in range(5)) for j in range(6))
+    rows = [(i, spread({"he": 0x05D0, "hi": 0x0915, "ar": 0x0641, "bn": 0x0995, "zh": 0x4E00}[x], i), x) for i, x in enumerate(["he", "hi", "ar", "bn", "zh"] * 12)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2).collect()
+    assert len(got) == 60 and all(r["lang_pred"] == rows[r["doc_id"]][2] for r in got)
+
+
 # -- quality: log densities by numpy.linalg
 
 
