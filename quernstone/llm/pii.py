@@ -35,9 +35,8 @@ STEPS = 480
 #: Every such batch is of windows twice as wide, where long spans stand whole.
 WIDE_EVERY = 4
 BATCH = 64
-SAMPLE_DOCS = 400
-#: A sampled document gives so many stretches of so many characters, from anywhere in it.
-STRETCHES, STRETCH = 6, 900
+#: Training takes so many stretches; a stretch is this many characters and the windows that end in it.
+SAMPLE, STRETCH = 800, 900
 SEED = 7
 TAGS = 1 + 2 * len(KINDS)  # none; then for each kind its first and its further characters
 NO = -1e4
@@ -539,41 +538,35 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def stretches(text: str, seed: int, many: int = STRETCHES, size: int = STRETCH) -> list[str]:
-    """At most `many` stretches of a text: up to two thirds of them around base spans, the others from anywhere; the whole text if it is no longer than one."""
-    if len(text) <= size:
-        return [text]
-    rng = random.Random(seed)
-    spans = base_spans(text)
-    at = [(a + b) // 2 for _, a, b in rng.sample(spans, min(len(spans), 2 * many // 3))]
-    at += [rng.randrange(len(text)) for _ in range(many - len(at))]
-    return [text[max(0, x - size // 2) : x + size // 2] for x in sorted(at)]
+def stretches(text: str) -> list[str]:
+    """The whole text in stretches that overlap by a wide window, so that every window of the text stands whole in one."""
+    return [text[a : a + STRETCH + 2 * WINDOW] for a in range(0, max(len(text) - 2 * WINDOW, 1), STRETCH)]
 
 
 def stretch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches, 1):
-        found = [stretches(t, h) for t, h in zip(texts, batch.column(0).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["h", "parts"])
+        for h, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            found = stretches(text)
+            yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=["h", "at", "part"])
 
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """A model from stretches of at most SAMPLE_DOCS different texts, half of them such as have a digit or an @.
+    """A model from SAMPLE labelled rows: stretches of different texts, half of them such as have a digit or an @.
 
-    The texts are those with the smallest hashes, so the sample is the same whatever the partitioning, and copies count once.
+    Of about 10 x SAMPLE different texts, the ones with the smallest hashes, every stretch of the whole text can be taken; those with the
+    smallest hashes are, so the sample is the same whatever the partitioning, and copies count once.
     """
     h = F.xxhash64(F.lit(11), "text")
     rows = docs.select(h.alias("h"), "text").where(F.col("text").isNotNull())
     u = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     n = docs.select(F.lit(1)).count()
     stage = Stage(docs.sparkSession)
-    part = rows.where(u * n < 20 * SAMPLE_DOCS).dropDuplicates(["h"]).withColumn("marked", F.col("text").rlike("[0-9@]").cast("int"))
-    part = stage.keep(part, "sample")  # the documents' texts are read once
-    some = [part.where(F.col("marked") == k).orderBy("h").limit(SAMPLE_DOCS // 2).select("h") for k in (0, 1)]
-    chosen = [r["h"] for r in some[0].unionByName(some[1]).collect()]
-    found = small_batches(part.where(F.col("h").isin(chosen)).select("h", "text")).mapInArrow(stretch_batches, "h long, parts array<string>")
-    texts = [t for r in found.orderBy("h").collect() for t in r["parts"]]
-    stage.drop(part)
-    return train(texts)
+    texts = small_batches(rows.where(u * n < 10 * SAMPLE)).dropDuplicates(["h"])  # the documents' texts are read once
+    parts = texts.mapInArrow(stretch_batches, "h long, at long, part string").withColumn("order", F.xxhash64(F.lit(13), "h", "at"))
+    parts = stage.keep(parts.withColumn("marked", F.col("part").rlike("[0-9@]")), "sample")
+    chosen = [parts.where(F.col("marked") == k).orderBy("order", "h", "at").limit(SAMPLE // 2).collect() for k in (False, True)]
+    stage.drop(parts)
+    return train([r["part"] for r in sorted(chosen[0] + chosen[1], key=lambda r: (r["order"], r["h"], r["at"]))])
 
 
 def span_batches(batches: Iterator[pa.RecordBatch], m: dict) -> Iterator[pa.RecordBatch]:

@@ -253,3 +253,14 @@ def test_large_sizes_are_balanced_within_the_bound_of_their_steps(seed):
             at += n
     assert max(seen) - min(seen) <= max(mean.values()) and all(abs(r - s) <= s / 256 for r, s in zip(real, seen, strict=True))
     assert max(real) / (sum(real) / 16) - 1 < 1 / 256
+
+
+def test_every_window_of_a_text_can_be_trained_on(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(5000))
+    for n in (0, 1, 127, 128, 129, 899, 900, 1027, 1028, 1029, 1929, 5000):
+        cut = pii.stretches(text[:n])
+        wide = 2 * pii.WINDOW
+        assert all(len(c) <= pii.STRETCH + wide for c in cut) and all(any(text[a : min(a + wide, n)] in c for c in cut) for a in range(max(1, n - wide + 1)))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["mail a.b@c.de", None, "", "no such thing " * 400, "call +1 555 123 4567 " * 200] * 2)], "doc_id long, text string")
+    one, two = pii.learn(rows), pii.learn(rows.repartition(5))
+    assert all((one[k] == two[k]).all() for k in one)
