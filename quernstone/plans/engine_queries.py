@@ -19,6 +19,7 @@ from quernstone.operators.arrow import attach
 from quernstone.operators.embed import HashingEmbedder
 from quernstone.operators.store import Log
 from quernstone.operators.vectors import TableStore
+from quernstone.sources import office
 from quernstone.sources.extract import DOCUMENT, extract, row_lines
 from quernstone.staging import Stage
 
@@ -204,6 +205,26 @@ def extract_files(spark, d):
     return out.select("doc_id", "filename", "source_type", "status", F.size("sections").alias("n_sections"), F.md5(F.concat_ws("\x1f", F.transform("sections", lambda s: F.concat(s["label"], F.lit("\x1e"), s["text"])))).alias("sections_md5"))
 
 
+def office_files(spark, d):
+    """All suppliers as DOCX, all parts as PPTX and all orders as XLSX files, a workbook for each hundred order keys, read back: a row a section."""
+    import pyarrow as pa
+
+    content = [("content", "binary", pa.binary())]
+    path = lambda key, end: F.concat(F.lit("file:/x/"), F.lit(end[0]), F.col(key).cast("string"), F.lit(f".{end}")).alias("path")
+    s = C._table(spark, d, "supplier").select(path("s_suppkey", "docx"), "s_suppkey", "s_name", "s_nationkey")
+    s = attach(s, ["s_suppkey", "s_name", "s_nationkey"], content, lambda *c: [[office.docx([(None, [f"About <{k}> & others", " "]), (n, [f"Nation {a}"])], [[["key", "nation"], ["", ""], [str(k), str(a)]]]) for k, n, a in zip(*c, strict=True)]])
+    p = C._table(spark, d, "part").select(path("p_partkey", "pptx"), "p_name", "p_type", "p_brand", "p_size")
+    p = attach(p, ["p_name", "p_type", "p_brand", "p_size"], content, lambda *c: [[office.pptx([([n, t], b), ([f"Size {z}"] if z % 2 else [], None), (["Last"], None)]) for n, t, b, z in zip(*c, strict=True)]])
+    # order keys are unique, so a workbook has at most a hundred rows
+    o = C._table(spark, d, "orders").withColumn("book", F.expr("o_orderkey div 100"))
+    o = o.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("rows")).select(path("book", "xlsx"), "rows")
+    head = ["order", None, "priority"]
+    o = attach(o, ["rows"], content, lambda rs: [[office.xlsx("Orders", [head, *((r["o_orderkey"], r["o_orderstatus"] if r["o_orderkey"] % 3 else None, r["o_orderpriority"], "beyond") for r in x)]) for x in rs]])
+    files = s.select("path", "content").unionByName(p.select("path", "content")).unionByName(o.select("path", "content"))
+    out = extract(files.select("path", F.octet_length("content").cast("long").alias("length"), "content"), Settings().max_upload_mb << 20)
+    return out.select("filename", "source_type", "status", F.inline("sections")).select("filename", "source_type", "status", "label", "ordinal", "text")
+
+
 def sheet_lines(spark, d):
     """Each customer as a row of a sheet, by the rule that gives a sheet's lines: blank values skipped, columns without a header named, cells beyond the header dropped."""
     import pyarrow as pa
@@ -233,7 +254,7 @@ def vector_store(spark, d):
 def queries() -> dict:
     found = (
         engine_ingest, engine_chunks, engine_documents, engine_get, engine_stats, engine_reingest, engine_delete, engine_search_dense, engine_search_lexical, engine_search_hybrid, engine_ask, engine_rankings, engine_evaluate, engine_refusal,
-        ann_recall, refusal_curve, engine_refusal_sweep, extract_files, sheet_lines, vector_store,
+        ann_recall, refusal_curve, engine_refusal_sweep, extract_files, office_files, sheet_lines, vector_store,
     )
     return {f.__name__: f for f in found}
 
@@ -377,6 +398,13 @@ def oracle_sql() -> dict:
     gain = "sum(case when hit then 1 / log2(rank + 1) else 0 end)"
     ext = "case doc_id % 4 when 0 then '.md' when 1 then '.txt' when 2 then '.rst' else '.MD' end"
     return {
+        "office_files": """with d as (select 'd' || s_suppkey || '.docx' as filename, 'docx' as source_type, unnest(['body', s_name, 'table 1']) as label, unnest([0, 1, 2]) as ordinal,
+            unnest(['About <' || s_suppkey || '> & others', s_name || chr(10) || 'Nation ' || s_nationkey, 'key | nation' || chr(10) || s_suppkey || ' | ' || s_nationkey]) as text from supplier),
+          p as (select 'p' || p_partkey || '.pptx' as filename, 'pptx' as source_type, unnest(case when p_size % 2 = 1 then ['slide 1', 'slide 2', 'slide 3'] else ['slide 1', 'slide 3'] end) as label, unnest(case when p_size % 2 = 1 then [0, 1, 2] else [0, 1] end) as ordinal,
+            unnest(list_filter([p_name || chr(10) || p_type || chr(10) || 'Speaker notes: ' || p_brand, case when p_size % 2 = 1 then 'Size ' || p_size end, 'Last'], lambda x: x is not null)) as text from part),
+          o as (select 'x' || (o_orderkey // 100) || '.xlsx' as filename, 'xlsx' as source_type, 'sheet Orders' as label, 0 as ordinal,
+            string_agg('order: ' || o_orderkey || case when o_orderkey % 3 <> 0 then ' | col2: ' || o_orderstatus else '' end || ' | priority: ' || o_orderpriority, chr(10) order by o_orderkey) as text from orders group by o_orderkey // 100)
+          select filename, source_type, 201 as status, label, ordinal, text from (select * from d union all select * from p union all select * from o)""",
         "engine_ingest": f"{counts} select doc_id, filename, 'text' as source_type, 1 as sections, cast(n as integer) as chunks, cast(0 as bigint) as replaced_chunks, 201 as status from n",
         "engine_chunks": f"""with {chunk_sql(FILES)}, t as (select *, list_transform({C._tok('body')}, lambda t: {C.STEM.format(t='t')}) as ts from chunk0)
           select {CHUNK_ID} as chunk_id, doc_id, filename, label as section_label, ordinal, md5(body) as text_md5, cast(len(ts) as bigint) as len, cast(len(list_distinct(ts)) as integer) as n_terms from t""",
