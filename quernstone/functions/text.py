@@ -26,6 +26,27 @@ INTENTS = (
     ("lookup", r"\b([A-Z][A-Z0-9_]{4,}|error code|sku|invoice \d+)\b"),
 )
 
+#: The letters whose upper case in F.upper is several letters, and the one letter that each has where case goes letter by letter.
+WIDE = (
+    "ß\u0149\u01f0\u0390\u03b0\u0587\u1e96\u1e97\u1e98\u1e99\u1e9a\u1f50\u1f52\u1f54\u1f56\u1f80\u1f81\u1f82\u1f83\u1f84\u1f85\u1f86\u1f87\u1f88\u1f89\u1f8a"
+    "\u1f8b\u1f8c\u1f8d\u1f8e\u1f8f\u1f90\u1f91\u1f92\u1f93\u1f94\u1f95\u1f96\u1f97\u1f98\u1f99\u1f9a\u1f9b\u1f9c\u1f9d\u1f9e\u1f9f\u1fa0\u1fa1\u1fa2\u1fa3\u1fa4"
+    "\u1fa5\u1fa6\u1fa7\u1fa8\u1fa9\u1faa\u1fab\u1fac\u1fad\u1fae\u1faf\u1fb2\u1fb3\u1fb4\u1fb6\u1fb7\u1fbc\u1fc2\u1fc3\u1fc4\u1fc6\u1fc7\u1fcc\u1fd2\u1fd3\u1fd6"
+    "\u1fd7\u1fe2\u1fe3\u1fe4\u1fe6\u1fe7\u1ff2\u1ff3\u1ff4\u1ff6\u1ff7\u1ffc\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06\ufb13\ufb14\ufb15\ufb16\ufb17"
+)
+NARROW = (
+    "ẞ\u0149\u01f0\u0390\u03b0\u0587\u1e96\u1e97\u1e98\u1e99\u1e9a\u1f50\u1f52\u1f54\u1f56\u1f88\u1f89\u1f8a\u1f8b\u1f8c\u1f8d\u1f8e\u1f8f\u1f88\u1f89\u1f8a"
+    "\u1f8b\u1f8c\u1f8d\u1f8e\u1f8f\u1f98\u1f99\u1f9a\u1f9b\u1f9c\u1f9d\u1f9e\u1f9f\u1f98\u1f99\u1f9a\u1f9b\u1f9c\u1f9d\u1f9e\u1f9f\u1fa8\u1fa9\u1faa\u1fab\u1fac"
+    "\u1fad\u1fae\u1faf\u1fa8\u1fa9\u1faa\u1fab\u1fac\u1fad\u1fae\u1faf\u1fb2\u1fbc\u1fb4\u1fb6\u1fb7\u1fbc\u1fc2\u1fcc\u1fc4\u1fc6\u1fc7\u1fcc\u1fd2\u1fd3\u1fd6"
+    "\u1fd7\u1fe2\u1fe3\u1fe4\u1fe6\u1fe7\u1ff2\u1ffc\u1ff4\u1ff6\u1ff7\u1ffc\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06\ufb13\ufb14\ufb15\ufb16\ufb17"
+)
+
+
+def upper(text: Column) -> Column:
+    """Upper case letter by letter, so that a text keeps its length: ẞ for ß, where F.upper writes SS."""
+    parts = F.regexp_extract_all(text, F.lit(f"[{WIDE}]+|[^{WIDE}]+"), F.lit(0))
+    each = F.transform(parts, lambda p: F.when(p.rlike(f"^[{WIDE}]"), F.translate(p, WIDE, NARROW)).otherwise(F.upper(p)))
+    return F.when(text.rlike(f"[{WIDE}]"), F.array_join(each, "")).otherwise(F.upper(text))
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and apostrophe, in order, repeats kept."""
