@@ -6,7 +6,7 @@ import functools
 import hashlib
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,19 @@ TOKEN = re.compile(r"[a-z0-9']+")
 #: What a token and each of its trigrams adds.
 TOKEN_WEIGHT, GRAM_WEIGHT, GRAM = 1.0, 0.35, 3
 BATCH = 128
-TOKENS_KEPT = 300_000
+#: Bounds of a worker's memory: distinct tokens whose buckets it keeps, tokens whose trigrams it lays out at once, characters of a text that is taken as a whole.
+TOKENS_KEPT, TOKENS_AT_ONCE, WHOLE = 1 << 17, 1 << 15, 1 << 20
 
 
-@functools.lru_cache(maxsize=200_000)
 def bucket(part: str, dims: int) -> int:
     """md5 as a number modulo dims."""
     return int.from_bytes(hashlib.md5(part.encode()).digest(), "big") % dims
 
 
+#: Trigrams are few (37 characters), tokens are not: those are kept by Buckets.
+gram = functools.lru_cache(maxsize=1 << 16)(bucket)
+
+
 class Buckets:
     """The buckets of each token seen, its own first and then those of its trigrams, in one row of numbers; starts anew beyond TOKENS_KEPT."""
 
@@ -41,7 +45,7 @@ class Buckets:
             self.__init__(self.dims)
             new = list(set(tokens))
         if new:
-            found = [[bucket(t, self.dims), *(bucket(t[i : i + GRAM], self.dims) for i in range(len(t) - GRAM + 1))] for t in new]
+            found = [[bucket(t, self.dims), *(gram(t[i : i + GRAM], self.dims) for i in range(len(t) - GRAM + 1))] for t in new]
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.flat = np.concatenate((self.flat, np.array([b for bs in found for b in bs], np.int64)))
             self.start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(bs) for bs in found])))
@@ -51,18 +55,36 @@ class Buckets:
 _buckets: dict[int, Buckets] = {}
 
 
+def windows(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The tokens of texts in order, with the places of their texts, at most about TOKENS_AT_ONCE at a time."""
+    rows: list[int] = []
+    held: list[str] = []
+    for row, text in enumerate(texts):
+        low = text.lower()
+        found = iter(TOKEN.findall(low)) if len(low) <= WHOLE else (m.group() for m in TOKEN.finditer(low))
+        while part := list(itertools.islice(found, TOKENS_AT_ONCE - len(held))):
+            held += part
+            rows += [row] * len(part)
+            if len(held) >= TOKENS_AT_ONCE:
+                yield rows, held
+                rows, held = [], []
+    if held:
+        yield rows, held
+
+
 def hashed(texts: list[str], dims: int) -> np.ndarray:
-    """A unit vector (double) for each text; all zeros without a token."""
-    known = _buckets.setdefault(dims, Buckets(dims))
-    found = [TOKEN.findall(t.lower()) for t in texts]
-    at = known.of(list(itertools.chain.from_iterable(found)))
-    row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-    many = known.start[at + 1] - known.start[at]
-    first = np.cumsum(many) - many
-    cells = np.repeat(row, many) * dims + known.flat[np.repeat(known.start[at] - first, many) + np.arange(many.sum())]
-    weight = np.full(len(cells), GRAM_WEIGHT)
-    weight[first] = TOKEN_WEIGHT
-    v = np.bincount(cells, weights=weight, minlength=len(texts) * dims).reshape(len(texts), dims)
+    """A unit vector (double) for each text; all zeros without a token.  Tokens and trigrams are counted as whole numbers, so windows make no difference."""
+    known, size = _buckets.setdefault(dims, Buckets(dims)), len(texts) * dims
+    whole, grams = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for rows, tokens in windows(texts):
+        at = known.of(tokens)
+        many = known.start[at + 1] - known.start[at]
+        first = np.cumsum(many) - many
+        cells = np.repeat(np.array(rows, np.int64), many) * dims + known.flat[np.repeat(known.start[at] - first, many) + np.arange(many.sum())]
+        own = np.bincount(cells[first], minlength=size)
+        whole += own
+        grams += np.bincount(cells, minlength=size) - own
+    v = (TOKEN_WEIGHT * whole + GRAM_WEIGHT * grams).reshape(len(texts), dims)
     n = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return v / np.where(n > 0, n, 1)
 
