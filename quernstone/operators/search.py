@@ -22,13 +22,15 @@ from quernstone.config import RetrievalConfig
 from quernstone.functions import text as T
 from quernstone.staging import Stage
 
+from .arrow import small_batches
+
 #: Fixed values of the lexical score.
 K1, B = 1.5, 0.75
 #: Scores are ranked as rounded to so many places, so that the order of a sum can't decide between equal ones.
 PLACES = 9
 QUESTIONS_IN_BLOCK = 2048
 #: A task scores so many pairs of rows and questions at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
@@ -87,10 +89,11 @@ def scored(index: DataFrame, columns: list[str], tie: str, names: list[str], k:
             for low in range(0, whole.num_rows if names else 0, step):
                 b = whole.slice(low, step)
                 best.add(score(b.columns[2:]), b.column(0), b.column(1))
+        pa.default_memory_pool().release_unused()  # the worker process lives on
         if len(best.q):
             yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in best.q.tolist()]), pa.array(best.ids.tolist(), pa.string()), pa.array(best.ties.tolist(), kind), pa.array(best.s)], names=["query_id", "id", "tie", "score"])
 
-    return index.select(F.col("id").cast("string").alias("id"), F.col(tie).alias("tie"), *columns).mapInArrow(run, schema)
+    return small_batches(index.select(F.col("id").cast("string").alias("id"), F.col(tie).alias("tie"), *columns)).mapInArrow(run, schema)
 
 
 def ranked(found: DataFrame, k: int, method: str) -> DataFrame:
