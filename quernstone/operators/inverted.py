@@ -22,7 +22,7 @@ from quernstone.functions import text as T
 from . import search as S
 
 BUCKETS = 16
-DOCUMENTS_IN_SHARD = 8192
+DOCUMENTS_IN_SHARD = 2048
 #: Up to so many terms of a block of questions become a filter that reaches the files; more are joined.
 TERMS_IN_FILTER = 4096
 
