@@ -68,8 +68,17 @@ class Log:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s}" for s in segments))
 
-    def commit(self, added: dict[str, DataFrame], replace: bool = False, version: int | None = None) -> int:
-        """Adds rows to tables (replace: puts them in the place of all their rows); the new version.
+    def write(self, name: str, df: DataFrame, version: int) -> str:
+        """A new segment of a table, which is none of its segments until a commit takes it."""
+        segment = f"{name}/{version:012d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{segment}")
+        return segment
+
+    def segment(self, segment: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{segment}")
+
+    def commit(self, added: dict[str, DataFrame | str], replace: bool = False, version: int | None = None) -> int:
+        """Adds rows to tables (replace: puts them in the place of all their rows), or segments written before; the new version.
 
         version: the one that the rows carry.  If another commit has taken it since, nothing changes and CommitConflict is raised.
         """
@@ -78,8 +87,7 @@ class Log:
             raise CommitConflict(f"version {version} is no longer the next one; the newest is {now['version']}")
         version, tables, gone = now["version"] + 1, dict(now["tables"]), []
         for name, df in added.items():
-            segment = f"{name}/{version:012d}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{segment}")
+            segment = df if isinstance(df, str) else self.write(name, df, version)
             gone += tables.get(name, []) if replace else []
             tables[name] = [segment] if replace else [*tables.get(name, []), segment]
         at = self.path(f"{self.root}/manifests/{version:012d}.json")

@@ -23,7 +23,7 @@ from quernstone.operators.rerank import build_reranker
 from quernstone.operators.store import Log, latest, listing, statistics, without
 from quernstone.operators.vectors import VectorStore, build_vector_store
 from quernstone.sources.extract import extract, file_id, read_files, supported_extensions
-from quernstone.staging import Stage
+from quernstone.staging import Stage, near
 
 CHUNKS = "chunk_id string, doc_id string, filename string, section_label string, ordinal int, text string, vector array<double>, terms array<string>, tfs array<int>, len bigint"
 DOCUMENTS = "doc_id string, filename string, source_type string, section_count int, chunk_count int, ingested_at timestamp"
@@ -77,6 +77,7 @@ class Engine:
         self.llm = llm or A.build_llm(s.llm, client_with(s.openai_api_key))
         self.chunk_config = ChunkConfig(s.chunk_max_chars, s.chunk_overlap_chars)
         self.retrieval = RetrievalConfig(final_k=s.candidate_k)
+        self._old: tuple[int, DataFrame | None] = (-1, None)
 
     # -- state ---------------------------------------------------------------------------------------------------------
 
@@ -88,10 +89,19 @@ class Engine:
 
     def chunks(self) -> DataFrame:
         names = [c.split()[0] for c in CHUNKS.split(", ")]
-        history = self._history().select("doc_id", "version", "deleted")
-        newest = history.groupBy("doc_id").agg(F.max(F.struct("version", "deleted")).alias("m"))
-        old = history.where("not deleted").join(newest, "doc_id").where((F.col("version") < F.col("m.version")) | F.col("m.deleted")).select("doc_id", "version")
-        return without(self.log.read(self.table, CHUNK_LOG), old, ["doc_id", "version"]).select(*names)
+        rows, old = self.log.read(self.table, CHUNK_LOG), self._superseded()
+        return (rows if old is None else rows.join(old, ["doc_id", "version"], "left_anti")).select(*names)
+
+    def _superseded(self) -> DataFrame | None:
+        """(doc_id, version) of the versions whose chunks no longer hold, found once a commit; None without any.  Few are sent along, so the chunks aren't shuffled."""
+        now = self.log.manifest()
+        if self._old[0] != now["version"]:
+            newest = self._history().groupBy("doc_id").agg(F.max(F.struct("version", "deleted")).alias("m"), F.collect_set(F.when(~F.col("deleted"), F.col("version"))).alias("had"))
+            old = newest.select("doc_id", F.explode("had").alias("version"), "m").where((F.col("version") < F.col("m.version")) | F.col("m.deleted")).select("doc_id", "version")
+            # one segment has each document once and no deletion
+            old = Stage(self.spark).keep(old, "old") if len(now["tables"].get("documents", [])) > 1 else None
+            self._old = now["version"], None if old is None or old.isEmpty() else near(old)
+        return self._old[1]
 
     def documents(self) -> DataFrame:
         return listing(self._live().select(*(c.split()[0] for c in DOCUMENTS.split(", "))))
@@ -133,23 +143,34 @@ class Engine:
         """The same for DOCUMENT rows: one commit of new segments, in which a document's chunks and its metadata come together."""
         number = self.log.manifest()["version"] + 1
         version = F.lit(number).cast("long").alias("version")
-        read, made = documents.persist(), None
+        read, stage = documents.persist(), Stage(self.spark)
         try:
-            # of rows with one id that with the greatest hash of its content holds, whichever task finds it
-            good = latest(read.where("error is null").withColumn("__h", F.xxhash64("filename", "source_type", "sections")), ["doc_id"], "__h").drop("__h")
-            made = S.with_terms(self.embedder.embed(chunk(good, self.chunk_config))).select(*(c.split()[0] for c in CHUNKS.split(", "))).persist()
+            # of rows with one id that with the greatest hash of its content holds, whichever task finds it; only such rows are shuffled with their texts
+            valid = read.where("error is null")
+            twice = stage.keep(valid.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id"), "twice")
+            good = valid
+            if not twice.isEmpty():
+                few, same = near(twice), valid["doc_id"].eqNullSafe(twice["__id"])
+                again = valid.join(few, same, "left_semi").withColumn("__h", F.xxhash64("filename", "source_type", "sections"))
+                good = valid.join(few, same, "left_anti").unionByName(latest(again, ["doc_id"], "__h").drop("__h").select(*valid.columns))
+            made = S.with_terms(self.embedder.embed(chunk(good, self.chunk_config))).select(*(c.split()[0] for c in CHUNKS.split(", ")))
+            segment = self.log.write(self.table, made.select("*", version), number)
+            made = self.log.segment(segment, CHUNK_LOG).drop("version")
             counts = made.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
             before = self._live().select("doc_id", F.col("chunk_count").cast("long").alias("replaced_chunks"))
-            rows = read.join(counts, "doc_id", "left").join(before, "doc_id", "left").select(
-                "doc_id", "filename", "source_type", F.size("sections").alias("sections"), F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.coalesce("replaced_chunks", F.lit(0)).cast("long").alias("replaced_chunks"), "status", "error", version
+            # the texts stay behind: a join would shuffle them
+            size = F.size("sections")
+            told = read.select("doc_id", "filename", "source_type", size.alias("sections"), "status", "error")
+            rows = told.join(counts, "doc_id", "left").join(before, "doc_id", "left").select(
+                "doc_id", "filename", "source_type", "sections", F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.coalesce("replaced_chunks", F.lit(0)).cast("long").alias("replaced_chunks"), "status", "error", version
             )
-            meta = good.join(counts, "doc_id", "left").select("doc_id", "filename", "source_type", F.size("sections").alias("section_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"), version, F.lit(False).alias("deleted"))
-            self.log.commit({"results": rows, self.table: made.select("*", version), "documents": meta}, version=number)
+            known = good.select("doc_id", "filename", "source_type", size.alias("section_count"))
+            meta = known.join(counts, "doc_id", "left").select(*known.columns, F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("ingested_at"), version, F.lit(False).alias("deleted"))
+            self.log.commit({"results": rows, self.table: segment, "documents": meta}, version=number)
             self.store.delete_documents(good.select("doc_id"))
             self.store.upsert(made)
+            stage.drop(twice)
         finally:
-            if made is not None:
-                made.unpersist()
             read.unpersist()
         return self.log.read("results", f"{RESULTS}, version bigint").where(F.col("version") == number).drop("version")
 
@@ -243,7 +264,8 @@ class Engine:
 
     def _passages(self, questions: DataFrame, hits: DataFrame) -> DataFrame:
         text = self.chunks().select(F.col("chunk_id").alias("id"), "doc_id", "filename", "section_label", "text", T.citation(F.col("filename"), F.col("section_label")).alias("citation"))
-        return hits.join(questions, "query_id").join(text, "id")
+        found = Stage(self.spark).keep(hits.join(questions, "query_id"), "hits")  # k rows a question
+        return near(found).join(text, "id")
 
     def search(self, questions: DataFrame, mode: str = "hybrid", limit: int = 6) -> DataFrame:
         """Passages of each question (query_id, question): id, text, citation, section_label, filename, score, method, rank."""
@@ -295,7 +317,7 @@ class Engine:
         fused = stage.keep(S.fuse([d, x], [c.dense_weight, c.lexical_weight], c.rrf_k, RERANK_DEPTH), "fused")
         again = self.reranker.rerank(self._passages(questions.select("query_id", "question"), fused), DEPTH)
         frames = [f.where(F.col("rank") <= DEPTH).select(F.lit(v).alias("variant"), "query_id", "id", "rank") for v, f in zip(VARIANTS, (d, x, fused, again), strict=True)]
-        return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+        return stage.keep(frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3]), "ranks")
 
     def evaluate(self, questions: DataFrame) -> dict[str, dict]:
         """Metrics of each variant over the answerable questions (query_id, question, relevant)."""
@@ -303,7 +325,7 @@ class Engine:
         keys = self.chunks().select("chunk_id", T.section_key(F.col("filename"), F.col("section_label")).alias("key"))
         E.validate(questions, keys)
         some = questions.where(F.size("relevant") > 0)
-        ranks = self.rankings(some).join(keys, F.col("id") == F.col("chunk_id")).join(some.select("query_id", "relevant"), "query_id")
+        ranks = near(self.rankings(some)).join(keys, F.col("id") == F.col("chunk_id")).join(some.select("query_id", "relevant"), "query_id")
         ranks = ranks.select("variant", "query_id", "rank", F.array_contains("relevant", F.col("key")).cast("int").alias("hit"))
         ranks = Stage(self.spark).keep(ranks, "ranks")
         n = some.select("query_id", F.size("relevant").alias("n_relevant"))

@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables that stand on disk go to all executors up to so many rows, counted; Spark can't tell how small they are.
+BROADCAST_ROWS = 200_000
 
 
 class NoSharedFolder(RuntimeError):
@@ -31,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def near(df: DataFrame) -> DataFrame:
+    """A table that was written as one that a join sends along, if it has few rows: the other side isn't shuffled then."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Stage:
     """Writes intermediate tables into the shared folder, so that a lost executor costs a reread, not a recomputation.
 
