@@ -45,7 +45,7 @@ def upper(text: Column) -> Column:
     """Upper case letter by letter, so that a text keeps its length: ẞ for ß, where F.upper writes SS."""
     parts = F.regexp_extract_all(text, F.lit(f"[{WIDE}]+|[^{WIDE}]+"), F.lit(0))
     each = F.transform(parts, lambda p: F.when(p.rlike(f"^[{WIDE}]"), F.translate(p, WIDE, NARROW)).otherwise(F.upper(p)))
-    return F.when(text.rlike(f"[{WIDE}]"), F.array_join(each, "")).otherwise(F.upper(text))
+    return F.when(text.rlike(f"(?=[\u00df-\uffff])[{WIDE}]"), F.array_join(each, "")).otherwise(F.upper(text))
 
 
 def tokens(text: Column) -> Column:
