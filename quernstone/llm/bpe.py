@@ -22,9 +22,11 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +35,13 @@ from .common import slices, small_batches, table
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The splitting pattern of the vocabulary file; letters are lower case when it is applied.
 #: A newline, which no run holds, separates runs.
-PIECES_ASCII = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+PIECES_ASCII = re.compile(rb"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 RUNS = re.compile(f"[^{SPACE}]+")
 END = "</w>"
 #: The cache starts anew beyond so many runs or characters, twice over; longer runs than LONG_RUN are forgotten with the next slice.
-CACHED_RUNS, CACHED_CHARS, LONG_RUN = 125_000, 1 << 24, 1024
+CACHED_RUNS, CACHED_CHARS, LONG_RUN = 250_000, 1 << 24, 1024
 LONG = 192
 NONE = 1 << 30
 
@@ -67,6 +69,54 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+def places_in_rows(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... many[i] of them, for each i in turn."""
+    stop = np.cumsum(many)
+    return np.arange(stop[-1] if len(stop) else 0) + np.repeat(start - (stop - many), many)
+
+
+class Rows:
+    """Rows of ids in one flat array; rows are added at the end and cut off there."""
+
+    def __init__(self):
+        self.flat, self.end = np.zeros(1 << 10, np.int32), np.zeros(1 << 8, np.int64)
+        self.n = 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, flat: np.ndarray, many: np.ndarray) -> None:
+        used, n = self.used(), self.n + len(many)
+        if n > len(self.end):
+            self.end = np.concatenate([self.end[: self.n], np.zeros(2 * n - self.n, np.int64)])
+        if used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(used + 2 * len(flat), np.int32)])
+        self.flat[used : used + len(flat)] = flat
+        self.end[self.n : n] = used + np.cumsum(many)
+        self.n = n
+
+    def used(self) -> int:
+        return int(self.end[self.n - 1]) if self.n else 0
+
+    def many(self, at: np.ndarray) -> np.ndarray:
+        return self.end[at] - self._start(at)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these rows in a row, and how many each has."""
+        start = self._start(at)
+        many = self.end[at] - start
+        return self.flat[places_in_rows(start, many)], many
+
+    def cut(self, n: int) -> None:
+        """Only the first n rows stay; room that long ones took is given back."""
+        self.n = n
+        if len(self.flat) > 4 * self.used() + (1 << 20):
+            self.flat = self.flat[: self.used()].copy()
+
+    def _start(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at > 0, self.end[at - 1], 0)
+
+
 class Encoder:
     """Encodes runs of non-space text with the vocabulary of one tokenizer file (BPE with word ends, byte level, lower case).
 
@@ -83,8 +133,7 @@ class Encoder:
         made = {a + b for a, b in pairs}
         order = sorted(t for t in vocab if t not in made) + [a + b for a, b in pairs]
         self.n_base = len(order) - len(pairs)
-        self.number = np.array([str(vocab[t]) for t in order], dtype=object)
-        self.text = np.array(order, dtype=object)
+        self.ids = np.array([vocab[t] for t in order], dtype=np.int32)
         self.content = {i: t for t, i in vocab.items()}
         index = {t: i for i, t in enumerate(order)}
         l = np.array([index[a] for a, _ in pairs], dtype=np.int64)
@@ -99,9 +148,12 @@ class Encoder:
         self._trie(order)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.content |= {i: t for t, i in self.special.items()}
-        self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.runs: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.digits = pa.array(map(str, range(max(self.content) + 1)), pa.string())
+        #: The cache: where each run's ids are among the rows; and those of before it last started anew.
+        self.runs: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.rows, self.older_rows = Rows(), Rows()
         self.long: list[str] = []
         self.chars = 0
         self.counts = {"pieces": 0, "merged": 0}
@@ -290,31 +342,32 @@ class Encoder:
 
     # -- runs and texts -----------------------------------------------------------------------------------------------------
 
-    def learn(self, runs: list[str]) -> None:
-        """Puts the runs into the cache."""
-        plain = []
-        for r in runs:
-            if "<" in r and self.special_re is not None and self.special_re.search(r):
-                self.runs[r] = self._with_special(r)
-            else:
-                plain.append(r)
-        for r, got in zip(plain, self._encode_runs(plain), strict=True):
-            self.runs[r] = got
-
-    def _with_special(self, run: str) -> tuple[int, str, str]:
-        got, at = [], 0
-        for m in [*self.special_re.finditer(run), None]:
-            between = run[at : m.start() if m else len(run)]
-            got += self._encode_runs([between]) if between else []
-            if m:
-                got.append((1, str(self.special[m.group()]), m.group()))
-                at = m.end()
-        return sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
-
-    def _encode_runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
+    def encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs in a row, and how many each run has; past the cache."""
+        joined = "\n".join(runs)
+        if self.special_re is None or not self.special_re.search(joined):
+            return self._encode_plain(joined, runs)
+        parts, of, special = [], [], []
+        for i, r in enumerate(runs):
+            for k, part in enumerate(self.special_re.split(r)):  # every second part is a special token
+                if part:
+                    parts.append(part)
+                    of.append(i)
+                    special.append(k % 2 == 1)
+        own = np.array(special)
+        between = [p for p, x in zip(parts, special, strict=True) if not x]
+        flat, some = self._encode_plain("\n".join(between), between)
+        many = np.ones(len(parts), np.int64)
+        many[~own] = some
+        where = np.repeat(own, many)
+        out = np.zeros(len(where), np.int32)
+        out[~where], out[where] = flat, [self.special[p] for p, x in zip(parts, special, strict=True) if x]
+        return out, np.bincount(of, weights=many, minlength=len(runs)).astype(np.int64)
+
+    def _encode_plain(self, joined: str, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not runs:
-            return []
-        raw = self._pieces("\n".join(runs), runs)
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        raw = self._pieces(joined, runs)
         sym = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         stop = np.cumsum(size)
@@ -323,18 +376,20 @@ class Encoder:
         keep = np.repeat(~ends_run, size)
         flat, many = self.encode_symbols(sym[keep], size[~ends_run])
         run_of = np.cumsum(ends_run)[~ends_run]
-        counts = np.bincount(run_of, weights=many, minlength=len(runs)).astype(np.int64).tolist()
-        number, text = self.number[flat].tolist(), self.text[flat].tolist()
-        out, a = [], 0
-        for n in counts:
-            out.append((n, " ".join(number[a : a + n]), " ".join(text[a : a + n])))
-            a += n
-        return out
+        return self.ids[flat], np.bincount(run_of, weights=many, minlength=len(runs)).astype(np.int64)
+
+    def _encode_runs(self, runs: list[str]) -> list[tuple[int, str, str]]:
+        return self._told(*self.encode_runs(runs))
+
+    def _told(self, flat: np.ndarray, many: np.ndarray) -> list[tuple[int, str, str]]:
+        stop = np.cumsum(many).tolist()
+        ids = [flat[a:b].tolist() for a, b in zip([0, *stop], stop, strict=False)]
+        return [(len(x), " ".join(map(str, x)), self.decode(x)) for x in ids]
 
     def _pieces(self, joined: str, runs: list[str]) -> list[bytes]:
         """The bytes of all pieces of the runs, a newline between runs."""
         if joined.isascii():
-            return [p.encode() for p in PIECES_ASCII.findall(joined.lower())]
+            return PIECES_ASCII.findall(joined.lower().encode())
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         odd = np.flatnonzero(odd_places(points))
         out, done = [], 0
@@ -359,30 +414,55 @@ class Encoder:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))
         return [bytes(self.byte_of[c] for c in p) for p, _ in found]
 
-    def ready(self, runs: list[list[str]]) -> dict[str, tuple[int, str, str]]:
-        """A dictionary that has all these runs: number of tokens, ids and contents joined by a space."""
+    def _places(self, runs: list[str]) -> np.ndarray:
+        """Where among self.rows each run's ids are, until the next call; new runs are encoded."""
         for r in self.long:
-            self.runs.pop(r, None)
-        want = set().union(*runs) if runs else set()
-        new = [r for r in want if r not in self.runs]
+            del self.runs[r]
+        self.rows.cut(len(self.rows) - len(self.long))
+        self.long = []
+        at = self._known(runs)
+        missing = np.flatnonzero(at < 0)
+        new = dict.fromkeys([runs[i] for i in missing.tolist()])
         if (len(self.runs) + len(new) > CACHED_RUNS or self.chars > CACHED_CHARS) and self.runs:
-            self.older, self.runs, self.chars = self.runs, {}, 0
-            new = list(want)
-        if self.older:
-            old = self.older
-            kept = [r for r in new if r in old]
-            self.runs.update((r, old[r]) for r in kept)
-            self.chars += sum([len(r) + len(old[r][1]) + len(old[r][2]) for r in kept])
-            new = [r for r in new if r not in self.runs]
-        if new:
-            self.learn(new)
-        self.long = [r for r in new if len(r) > LONG_RUN]
-        self.chars += sum([len(r) + len(self.runs[r][1]) + len(self.runs[r][2]) for r in new if len(r) <= LONG_RUN])
-        return self.runs
+            self.older, self.older_rows, self.runs, self.rows, self.chars = self.runs, self.rows, {}, Rows(), 0
+            missing, new = np.arange(len(runs)), dict.fromkeys(runs)
+        kept = [r for r in new if r in self.older]
+        self._add(kept, *self.older_rows.take(np.fromiter(map(self.older.get, kept), np.int64, len(kept))))
+        plain, other = [], []
+        for r in new:
+            if r not in self.runs:
+                (self.long if len(r) > LONG_RUN else plain if r.isascii() else other).append(r)
+        for some in (plain, other, self.long):  # long ones last: they go first
+            self._add(some, *self.encode_runs(some))
+        at[missing] = self._known([runs[i] for i in missing.tolist()])
+        return at
+
+    def _known(self, runs: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.runs.get, runs, repeat(-1)), np.int64, len(runs))
+
+    def _add(self, runs: list[str], flat: np.ndarray, many: np.ndarray) -> None:
+        self.runs.update(zip(runs, range(len(self.rows), len(self.rows) + len(runs)), strict=True))
+        self.rows.add(flat, many)
+        if runs is not self.long:
+            self.chars += sum(map(len, runs)) + 4 * len(flat)
+
+    def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs in a row, and how many each run has."""
+        at = self._places(runs)  # first: it may start other rows
+        return self.rows.take(at)
+
+    def counts_of(self, runs: list[str]) -> np.ndarray:
+        at = self._places(runs)
+        return self.rows.many(at)
+
+    def ready(self, runs: list[list[str]]) -> dict[str, tuple[int, str, str]]:
+        """A dictionary of all these runs: number of tokens, ids and contents joined by a space."""
+        want = list(set().union(*runs))
+        return dict(zip(want, self._told(*self.encode(want)), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """The contents joined by a space, special tokens too: what a vocabulary file without a decoder means."""
-        return " ".join([self.content[i] for i in ids])
+        return " ".join(map(self.content.__getitem__, ids))
 
 
 def runs_of(text: str) -> list[str]:
@@ -404,21 +484,18 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep_ids: bool)
     enc = encoder(path)
     for batch, texts in slices(batches, 1):
         runs = [runs_of(t) for t in texts]
-        have = enc.ready(runs)
-        n, ids, text, raw = [], [], [], []
-        for rs in runs:
-            got = [have[r] for r in rs]
-            joined = " ".join([g[1] for g in got])
-            numbers = list(map(int, joined.split()))
-            n.append(sum([g[0] for g in got]))
-            ids.append(hashlib.sha256(joined.encode()).hexdigest())
-            text.append(hashlib.sha256(enc.decode(numbers).encode("utf-8", "surrogatepass")).hexdigest())
-            if keep_ids:
-                raw.append(numbers)
-        cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
+        flat, many = enc.encode(list(chain.from_iterable(runs)))
+        ends = np.concatenate(([0], np.cumsum(many)))[np.cumsum([0, *map(len, runs)])]  # where each text's ids start, and the last one's end
+        offsets = pa.array(ends, pa.int32())
+        said = pc.binary_join(pa.ListArray.from_arrays(offsets, enc.digits.take(pa.array(flat))), " ")
+        ids = [hashlib.sha256(x.as_buffer()).hexdigest() for x in said]
+        numbers, text = flat.tolist(), []
+        for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+            text.append(hashlib.sha256(enc.decode(numbers[a:b]).encode("utf-8", "surrogatepass")).hexdigest())
+        cols = [batch.column(0).cast(pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids:
-            cols.append(pa.array(raw, pa.list_(pa.int32())))
+            cols.append(pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ GAP = re.compile(f"[{SPACE}]")
 def window_spans(enc: Encoder, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each run of text[a:b], offsets in the whole text."""
     found = [(m.start(), m.end(), m.group()) for m in RUNS.finditer(text, a, b)]
-    have = enc.ready([[r for _, _, r in found]])
-    return [(s, e, have[r][0]) for s, e, r in found]
+    many = enc.counts_of([r for _, _, r in found]).tolist()
+    return [(s, e, n) for (s, e, _), n in zip(found, many, strict=True)]
 
 
 def count_tokens(enc: Encoder, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[int, int]:
@@ -60,8 +62,8 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, ove
     enc = encoder(path)
     for batch, texts in slices(batches, 1):
         short = [runs_of(t) if len(t) <= window else [] for t in texts]
-        have = enc.ready(short)
-        n = [sum([have[r][0] for r in rs]) for rs in short]
+        many = enc.counts_of(list(chain.from_iterable(short)))
+        n = np.diff(np.concatenate(([0], np.cumsum(many)))[np.cumsum([0, *map(len, short)])]).tolist()
         for i, t in enumerate(texts):
             if len(t) > window:
                 n[i] = count_tokens(enc, t, window, overlap)[0]
