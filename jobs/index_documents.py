@@ -45,15 +45,17 @@ def run(spark: SparkSession, s: Settings) -> int:
     def add(batch: DataFrame, number: int) -> None:
         held = batch.sparkSession
         docs = batch.select(batch[s.id_column].alias("doc_id"), batch[s.text_column].alias("text"))
-        size = I.sizes(docs).first()
-        rows = I.laid_out(I.postings(docs, size["n"]))
+        n = docs.count()
+        rows = I.laid_out(I.postings(docs, n))
         at = f"{s.output}/postings/batch={number}"
         rows.write.mode("overwrite").partitionBy("bucket").parquet(at)
         schema = POSTINGS.format(id=s.id_type).replace(", batch int", "")
-        I.term_counts(held.read.schema(schema).parquet(at)).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{s.output}/terms/batch={number}")
-        held.createDataFrame([(size["n"], size["total"])], "n long, total long").coalesce(1).write.mode("overwrite").parquet(f"{s.output}/sizes/batch={number}")
-        taken.append(size["n"])
-        log.info("batch %d: read %d documents with %d tokens from %s, wrote their postings to %s", number, size["n"], size["total"], s.documents, at)
+        written = held.read.schema(schema).parquet(at)
+        I.term_counts(written).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{s.output}/terms/batch={number}")
+        total = I.tokens(written)
+        held.createDataFrame([(n, total)], "n long, total long").coalesce(1).write.mode("overwrite").parquet(f"{s.output}/sizes/batch={number}")
+        taken.append(n)
+        log.info("batch %d: read %d documents with %d tokens from %s, wrote their postings to %s", number, n, total, s.documents, at)
 
     stream = source.writeStream.foreachBatch(add).option("checkpointLocation", s.checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()

@@ -111,9 +111,9 @@ def intent(question: Column) -> Column:
 
 
 def bucket(token: Column, dims: int) -> Column:
-    """md5 as a 128-bit number modulo dims, folded from its four 32-bit words."""
-    digest, step, out = F.md5(token), F.lit((1 << 32) % dims), F.lit(0).cast("long")
-    for i in range(4):
+    """md5 as a 128-bit number modulo dims, folded from its four 32-bit words; only the last one counts where dims divides 2^32."""
+    digest, step, out = F.md5(token), (1 << 32) % dims, F.lit(0).cast("long")
+    for i in range(4) if step else (3,):
         word = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
-        out = (out * step + word) % dims
+        out = (out * F.lit(step) + word) % dims if step else word % dims
     return out

@@ -50,9 +50,9 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term", "bucket").agg(F.count("*").alias("df"))
 
 
-def sizes(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row: documents (texts null or empty too) and all their tokens."""
-    return documents.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(T.tokens(F.coalesce(F.col(text), F.lit(""))))), F.lit(0)).cast("long").alias("total"))
+def tokens(rows: DataFrame) -> int:
+    """All tokens of the documents whose postings these are, so that no text is split twice."""
+    return rows.agg(F.sum("tf")).first()[0] or 0
 
 
 def matching(rows: DataFrame, vocabulary: list[str]) -> DataFrame:

@@ -36,11 +36,11 @@ PAIRS = 1 << 19
 def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
     """df with `terms`, `tfs` (a forward index: distinct stems in order and their counts) and `len` (all stems); no shuffle.
 
-    The sorted stems of a row are cut where neighbours differ.
+    The sorted stems of a row are cut where neighbours differ.  sort_array compares them natively, array_sort by an interpreted function.
     """
     kept = [F.col(c) for c in df.columns if c not in ("terms", "tfs", "len")]
     n, at = F.size("__stems"), lambda i: F.get(F.col("__stems"), i)
-    rows = df.withColumn("__stems", F.array_sort(T.lexical_tokens(F.coalesce(F.col(text), F.lit("")))))
+    rows = df.withColumn("__stems", F.sort_array(T.lexical_tokens(F.coalesce(F.col(text), F.lit("")))))
     rows = rows.withColumn("__ends", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | (at(i) != at(i - 1))))
     tfs = F.transform("__ends", lambda e, i: (e - F.coalesce(F.get(F.col("__ends"), i - 1), F.lit(0))).cast("int"))
     return rows.select(*kept, F.transform("__ends", lambda e: at(e - 1)).alias("terms"), tfs.alias("tfs"), n.cast("long").alias("len"))
